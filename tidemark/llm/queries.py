@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import entropy_mix
+from .packing import best_fit_pack
+from .sharding import kd_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +20,20 @@ def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents in sequences of at most 2048 tokens."""
+    return best_fit_pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near-equal bytes."""
+    return kd_shards(_table(spark, sf_dir, "documents"), shards=40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
+    "op2_best_fit_pack": op2_best_fit_pack,
+    "op8_kd_shards": op8_kd_shards,
 }
 
 ORACLES: dict[str, str] = {}

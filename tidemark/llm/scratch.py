@@ -7,7 +7,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 #: Text handled at once inside a Python worker, in bytes; a longer text is a slice of its own.
@@ -105,3 +106,22 @@ def word_counts(column: pa.Array) -> np.ndarray:
     if not len(data):
         return np.zeros(len(at) - 1, np.int64)
     return np.bincount(words(data, at)[2], minlength=len(at) - 1).astype(np.int64)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "pos", salts: int = 1024) -> DataFrame:
+    """Number the rows of each group of ``keys`` from 0 without gaps, in hash order of ``order``.
+
+    Groups are split by hash into ``salts`` parts that are numbered on their own; only counts of parts
+    meet, so that a group of any size is spread over many tasks. ``keys`` must not be null.
+    """
+    parted = df.withColumn("_h", F.xxhash64(*order)).withColumn("_salt", F.pmod(F.col("_h"), F.lit(salts)).cast("int"))
+    counts = parted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_salt", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_salt").orderBy("_h", *order)
+    return (
+        parted.withColumn("_rn", F.row_number().over(inside))
+        .join(starts, [*keys, "_salt"])
+        .withColumn(name, F.col("_off") + F.col("_rn") - 1)
+        .drop("_h", "_salt", "_rn", "_off")
+    )
