@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import ngram_jaccard
 from .mixing import entropy_mix
 from .packing import best_fit_pack
 from .sharding import kd_shards
@@ -25,6 +26,11 @@ def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingle sets reach a Jaccard similarity of 0.8."""
+    return ngram_jaccard(_table(spark, sf_dir, "documents"))
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near-equal bytes."""
     return kd_shards(_table(spark, sf_dir, "documents"), shards=40)
@@ -33,6 +39,7 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op2_best_fit_pack": op2_best_fit_pack,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_kd_shards": op8_kd_shards,
 }
 
