@@ -16,8 +16,8 @@ import pyarrow as pa
 from .scratch import flat
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words remembered by a worker, and the longest one, in bytes.
-MOST_WORDS, LONGEST_WORD = 700_000, 48
+#: Words met twice that a worker remembers, words met once, and the longest one, in bytes.
+MOST_WORDS, MOST_NEW, LONGEST_WORD = 400_000, 100_000, 48
 #: ASCII marks that the pattern keeps together (the apostrophe starts units of its own).
 _MARKS = ".,;:!?\"()[]{}<>/\\|@#$%^&*-_=+~`"
 #: Letters whose lower case depends on what stands around them or has two characters.
@@ -45,6 +45,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.fresh: dict[bytes, bytes] = {}
         self.model = self.tokenizer.model
 
     def _unit(self, unit: str) -> bytes:
@@ -67,17 +68,19 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.split() for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.known)
-        if len(self.known) + len(new) > MOST_WORDS:
+        seen = set(chain.from_iterable(split)).difference(self.known)
+        again = seen.intersection(self.fresh)
+        if len(self.known) + len(again) > MOST_WORDS:
             self.known.clear()
-            new = set(chain.from_iterable(split))
-        rare: dict[bytes, bytes] = {}
-        self._learn([w for w in new if len(w) <= LONGEST_WORD], self.known)
-        self._learn([w for w in new if len(w) > LONGEST_WORD], rare)
-        table = self.known
-        if rare:
-            return [b"".join([rare[w] if w in rare else table[w] for w in ws]) for ws in split]
-        return [b"".join([table[w] for w in ws]) for ws in split]
+            seen = set(chain.from_iterable(split))
+        self.known.update((w, self.fresh.pop(w)) for w in again)
+        if len(self.fresh) > MOST_NEW:
+            self.fresh.clear()
+        own: dict[bytes, bytes] = {}
+        self._learn([w for w in seen if w not in self.known], own)
+        self.fresh.update((w, own[w]) for w in own if len(w) <= LONGEST_WORD)
+        known = self.known
+        return [b"".join([known[w] if w in known else own[w] for w in ws]) for ws in split]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
