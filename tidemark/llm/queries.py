@@ -10,6 +10,7 @@ from .jaccard import ngram_jaccard
 from .mixing import entropy_mix
 from .packing import best_fit_pack
 from .sharding import kd_shards
+from .suffixes import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of each document when every repeated 400-byte string goes."""
+    return suffix_dedup(_table(spark, sf_dir, "documents"), keep="none").drop("kept")
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near-equal bytes."""
     return kd_shards(_table(spark, sf_dir, "documents"), shards=40)
@@ -40,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op2_best_fit_pack": op2_best_fit_pack,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_kd_shards": op8_kd_shards,
 }
 
