@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .jaccard import ngram_jaccard
 from .mixing import entropy_mix
+from .neighbours import embedding_dedup
 from .packing import best_fit_pack
 from .sharding import kd_shards
 from .suffixes import suffix_dedup
+from .topk import voronoi_topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,11 @@ def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best others of every twentieth vector by inner product of whole numbers."""
+    return voronoi_topk(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets reach a Jaccard similarity of 0.8."""
     return ngram_jaccard(_table(spark, sf_dir, "documents"))
@@ -42,12 +50,31 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and survivors among all vectors with cosine 0.95 or more."""
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op2_best_fit_pack": op2_best_fit_pack,
+    "op3_voronoi_topk": op3_voronoi_topk,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_kd_shards": op8_kd_shards,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_voronoi_topk": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+        ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+}
