@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .html import main_text
 from .jaccard import ngram_jaccard
 from .mixing import entropy_mix
 from .neighbours import embedding_dedup
@@ -50,6 +51,11 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, components and survivors among all vectors with cosine 0.95 or more."""
     return embedding_dedup(_table(spark, sf_dir, "embeddings"))
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_kd_shards": op8_kd_shards,
+    "op9_html_text": op9_html_text,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
