@@ -15,6 +15,7 @@ from .packing import best_fit_pack
 from .sharding import kd_shards
 from .suffixes import suffix_dedup
 from .topk import voronoi_topk
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,12 @@ def op3_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_topk(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every whole text, learnt from four of five folds of the labels."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets reach a Jaccard similarity of 0.8."""
     return ngram_jaccard(_table(spark, sf_dir, "documents"))
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_mix": op1_entropy_mix,
     "op2_best_fit_pack": op2_best_fit_pack,
     "op3_voronoi_topk": op3_voronoi_topk,
+    "op4_toxicity": op4_toxicity,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_kd_shards": op8_kd_shards,
