@@ -12,6 +12,7 @@ from .jaccard import ngram_jaccard
 from .mixing import entropy_mix
 from .neighbours import embedding_dedup
 from .packing import best_fit_pack
+from .rollups import token_rollup
 from .sharding import kd_shards
 from .suffixes import suffix_dedup
 from .topk import voronoi_topk
@@ -43,6 +44,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, _table(spark, sf_dir, "labels")).drop("text")
 
 
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by source, language and tokenizer version, kept by signed batches."""
+    return token_rollup(_table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose five-word shingle sets reach a Jaccard similarity of 0.8."""
     return ngram_jaccard(_table(spark, sf_dir, "documents"))
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_pack": op2_best_fit_pack,
     "op3_voronoi_topk": op3_voronoi_topk,
     "op4_toxicity": op4_toxicity,
+    "op5_token_rollup": op5_token_rollup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_kd_shards": op8_kd_shards,
