@@ -98,8 +98,11 @@ def round_rates(size: np.ndarray, n: np.ndarray, rate: np.ndarray, target: float
     return copies
 
 
-def entropy_mix(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), fraction: float = 1.0, cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tolerance: float = 1e-9, steps: int = 60) -> DataFrame:
-    """``id_col``, ``source_col``, size, source_size, target, rate, copies, taken; a row per input row."""
+def entropy_mix(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), fraction: float = 1.0, cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tolerance: float = 1e-9, steps: int = 60, carry_hash: bool = False) -> DataFrame:
+    """``id_col``, ``source_col``, size, source_size, target, rate, copies, taken; a row per input row.
+
+    ``carry_hash`` adds ``_hash``, ``xxhash64(id, text)``, to find the rows again.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
 
@@ -149,5 +152,5 @@ def entropy_mix(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), fracti
         .join(quota, ["sid", "size", "salt"])
         .join(F.broadcast(of), "sid")
         .withColumn("copies", F.col("base") + (F.col("_rn") <= F.col("more")).cast("long"))
-        .select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["_hash"] if carry_hash else []))
     )
