@@ -35,7 +35,7 @@ LENGTH, GRAM = 400, 100
 #: Different contexts of one anchor that one suffix array takes; more are settled window by window.
 MOST_CONTEXTS = 256
 #: Bytes of one suffix array.
-ARRAY_BYTES = 2 << 20
+ARRAY_BYTES = 512 << 10
 _SLICE, _PLACE = 1 << 20, np.uint64((1 << 28) - 1)
 
 
