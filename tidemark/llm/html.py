@@ -245,7 +245,7 @@ def train(pages: Iterable[tuple[str, str]], steps: int = 600, decay: float = 1.0
     names = {f: i for i, f in enumerate(sorted(f for f in often if often[f] >= RARE))}
     rows = [[f for f in r if f in names] for r in rows]
     i = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    j = np.array([names[f] for r in rows for f in r])
+    j = np.array([names[f] for r in rows for f in r], np.int64)
     y, w = np.array(labels, float), np.zeros(len(names))
     bend = np.bincount(j, minlength=len(names)) * SHARED / 4 + decay
     for _ in range(steps):
