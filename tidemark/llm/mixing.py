@@ -29,6 +29,10 @@ from .scratch import Scratch, slices, word_counts
 SALTS = 256
 #: Sources the driver holds numbers for; each costs about 100 bytes.
 MOST_SOURCES = 200_000
+#: Sums are kept in millionths of a word, as whole numbers.
+PARTS = 1_000_000
+#: Sizes tried when a source's large documents leave its words off target.
+MOST_TRIED = 64
 
 
 def shares(sizes: Sequence[int], weights: Sequence[float], fraction: float, cap: float) -> list[float]:
@@ -53,6 +57,7 @@ def _tilted(h, cap: float):
 def _solve(hist: DataFrame, sources: list[dict], cap: float, tolerance: float, steps: int) -> None:
     """Newton's method on the dual, kept inside a bracket; sets ``tilt`` of each source."""
     spark = hist.sparkSession
+    exact = lambda term: F.sum(F.round(term * PARTS).cast("decimal(38,0)"))  # noqa: E731  the same in any order of rows
     open_ = {s["sid"]: s for s in sources if 0 < s["target"] < cap * s["total"]}
     for s in sources:
         s |= {"tilt": math.inf if s["total"] and s["target"] >= cap * s["total"] else -math.inf if s["target"] <= 0 else 0.0, "low": -math.inf, "high": math.inf}
@@ -67,17 +72,18 @@ def _solve(hist: DataFrame, sources: list[dict], cap: float, tolerance: float, s
             hist.join(F.broadcast(now), "sid")
             .select("sid", "n", "size", x.alias("x"), rate.alias("r"))
             .groupBy("sid")
-            .agg(F.sum(F.col("n") * F.col("size") * F.col("r")).alias("words"), F.sum(F.col("n") * F.col("size") * F.col("x") * F.col("r") * (1 - F.col("r") / cap)).alias("slope"))
+            .agg(exact(F.col("n") * F.col("size") * F.col("r")).alias("words"), exact(F.col("n") * F.col("size") * F.col("x") * F.col("r") * (1 - F.col("r") / cap)).alias("slope"))
             .collect()
         )
         for row in rows:
             s = open_[row.sid]
-            gap = row.words - s["target"]
+            words, slope = float(row.words) / PARTS, float(row.slope) / PARTS
+            gap = words - s["target"]
             if abs(gap) <= tolerance * max(1.0, s["target"]):
                 del open_[row.sid]
                 continue
             s["high" if gap > 0 else "low"] = s["tilt"]
-            step = s["tilt"] - (gap / row.slope if row.slope > 0 else math.copysign(1.0, gap))
+            step = s["tilt"] - (gap / slope if slope > 0 else math.copysign(1.0, gap))
             if not s["low"] < step < s["high"]:
                 low, high = s["low"], s["high"]
                 step = (low + high) / 2 if math.isfinite(low + high) else s["tilt"] - math.copysign(2 * abs(s["tilt"]) + 1, gap)
@@ -88,14 +94,30 @@ def round_rates(size: np.ndarray, n: np.ndarray, rate: np.ndarray, target: float
     """Whole copies for each class of ``n`` documents of one size; the sum of words comes near ``target``."""
     whole = np.floor(np.cumsum(n * rate) + 0.5)
     copies = np.clip(np.diff(whole, prepend=0.0), 0, cap * n).astype(np.int64)
-    gap = int(round(target)) - int((copies * size).sum())
+    copies, gap = _repaired(size, n, copies, int(round(target)) - int((copies * size).sum()), cap)
+    if abs(gap) > 0.002 * target:  # a few large documents: try one more or one less of each size
+        best = (abs(gap), copies)
+        for i in np.argsort(np.abs(size - abs(gap)), kind="stable")[:MOST_TRIED].tolist():
+            for step in (1, -1):
+                if 0 <= copies[i] + step <= cap * n[i]:
+                    other = copies.copy()
+                    other[i] += step
+                    tried, left = _repaired(size, n, other, gap - step * int(size[i]), cap)
+                    best = min(best, (abs(left), tried), key=lambda b: b[0])
+        copies = best[1]
+    return copies
+
+
+def _repaired(size: np.ndarray, n: np.ndarray, copies: np.ndarray, gap: int, cap: int) -> tuple[np.ndarray, int]:
+    """``copies`` with ever smaller documents added or taken away until ``gap`` words are made up for."""
+    copies = copies.copy()
     for i in range(len(size) - 1, -1, -1):
         if not 0 < size[i] <= abs(gap):
             continue
         step = min(abs(gap) // int(size[i]), int(cap * n[i] - copies[i]) if gap > 0 else int(copies[i]))
         copies[i] += step if gap > 0 else -step
         gap -= (step if gap > 0 else -step) * int(size[i])
-    return copies
+    return copies, gap
 
 
 def entropy_mix(docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), fraction: float = 1.0, cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tolerance: float = 1e-9, steps: int = 60, carry_hash: bool = False) -> DataFrame:
