@@ -30,3 +30,16 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
         last = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``labels`` after more links: only the links between different labels are contracted again."""
+    ends = links.select("a", "b")
+    for side in ("a", "b"):
+        known = labels.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))
+        ends = ends.join(known, side, "left").withColumn(side, F.coalesce(f"_{side}", side)).drop(f"_{side}")
+    top = scratch.keep(components(ends, scratch, name), f"{name}-top")
+    up = top.select(F.col("node").alias("root"), F.col("root").alias("_root"))
+    old = labels.join(up, "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
+    new = top.join(labels.select("node"), "node", "left_anti").select("node", "root")
+    return scratch.keep(old.union(new), f"{name}-labels")
