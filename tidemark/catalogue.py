@@ -526,6 +526,62 @@ def hash_chain_verify(spark, sf_dir):
     return tape.chain(table(spark, sf_dir, "conversations"), "conv_id", "turn", ["role", "text"]).select("conv_id", "turn", "previous_hash", "record_hash")
 
 
+_NBBO = ", ".join(f"last_value(CASE WHEN venue = '{v}' THEN bid END IGNORE NULLS) OVER w AS bid_{v}, last_value(CASE WHEN venue = '{v}' THEN ask END IGNORE NULLS) OVER w AS ask_{v}" for v in ("click", "error", "view"))
+
+
+@query(f"""WITH q AS (SELECT event_id, user_id, ts, event_type AS venue, value * 0.99 AS bid, value * 1.02 AS ask FROM events WHERE event_type IN ('click', 'error', 'view')),
+    s AS (SELECT event_id, {_NBBO} FROM q WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+    b AS (SELECT event_id, greatest(bid_click, bid_error, bid_view) AS best_bid, least(ask_click, ask_error, ask_view) AS best_ask FROM s)
+    SELECT event_id, round(best_bid, 5) AS best_bid, round(best_ask, 5) AS best_ask, CASE WHEN best_bid > best_ask THEN 'crossed' WHEN best_bid = best_ask THEN 'locked' ELSE 'regular' END AS state FROM b""")
+def nbbo_best(spark, sf_dir):
+    q = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "error", "view")).select("event_id", "user_id", "ts", F.col("event_type").alias("venue"), (F.col("value") * 0.99).alias("bid"), (F.col("value") * 1.02).alias("ask"))
+    best = market.best_quotes(q, "user_id", ["ts", "event_id"], ["click", "error", "view"])
+    return best.select("event_id", *_r(5, best_bid="best_bid", best_ask="best_ask"), "state")
+
+
+@query()
+def order_book_exec(spark, sf_dir):
+    """Executions of a price-level book per user: adds rest, purchases execute against them, errors cancel."""
+    kind = F.when(F.col("event_type") == "purchase", "execute").when(F.col("event_type") == "error", "cancel").otherwise("add")
+    steps = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", kind.alias("kind"), F.get_json_object("props", "$.k").cast("long").alias("size"), "value")
+    return market.book_executions(steps, "user_id")
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    """Percentile interval of the mean of daily means, days drawn with replacement by hash."""
+    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("x"))
+    return statistics.cluster_bootstrap(days, "day", "x", 200)
+
+
+@query()
+def lr_scores(spark, sf_dir):
+    """Logistic regression of returned lines on earlier years, scored on later ones."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate", (F.col("l_returnflag") == "R").cast("double").alias("label"))  # noqa: E741
+    return statistics.time_split_logistic(l, "l_shipdate", "1996-01-01", ["l_quantity", "l_extendedprice", "l_discount"], ["l_orderkey", "l_linenumber"])
+
+
+@query("""WITH d AS (SELECT o_custkey, o_orderdate, o_totalprice, lag(o_totalprice) OVER w AS prior, lead(o_totalprice) OVER w AS later FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+    t AS (SELECT CASE WHEN o_totalprice > prior THEN 'up' ELSE 'down' END AS signal, later / o_totalprice - 1 AS outcome FROM d WHERE prior IS NOT NULL AND later IS NOT NULL), c AS (SELECT unnest([0.0, 5.0, 10.0]) AS bps)
+    SELECT signal, CAST(bps AS INTEGER) AS bps, count(*) AS n, round(avg(outcome - bps / 1e4), 5) AS mean, round(avg(CASE WHEN outcome > bps / 1e4 THEN 1.0 ELSE 0 END), 6) AS win FROM t, c GROUP BY ALL""")
+def scenario_cube(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    d = table(spark, sf_dir, "orders").withColumns({"prior": F.lag("o_totalprice").over(w), "later": F.lead("o_totalprice").over(w)}).filter("prior IS NOT NULL AND later IS NOT NULL")
+    t = d.select(F.when(F.col("o_totalprice") > F.col("prior"), "up").otherwise("down").alias("signal"), (F.col("later") / F.col("o_totalprice") - 1).alias("outcome"), F.explode(F.array(F.lit(0), F.lit(5), F.lit(10))).alias("bps"))
+    return t.groupBy("signal", "bps").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("outcome") - F.col("bps") / 1e4), 5).alias("mean"), F.round(F.avg((F.col("outcome") > F.col("bps") / 1e4).cast("double")), 6).alias("win"))
+
+
+@query("""SELECT conv_id, string_agg(role || '@' || turn, ';' ORDER BY turn) AS packed, count(*) AS turns, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY conv_id""")
+def packed_points(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("l"), F.count(F.lit(1)).alias("turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+    return c.select("conv_id", F.array_join(F.transform("l", lambda x: F.concat(x["role"], F.lit("@"), x["turn"].cast("string"))), ";").alias("packed"), "turns", "first_turn", "last_turn")
+
+
+@query("""SELECT c_mktsegment, count(*) AS n, bool_and(c_acctbal > -1000) AS all_above, bool_or(c_acctbal > 9000) AS any_rich, CAST(count(*) FILTER (c_acctbal < 0) AS BIGINT) AS negative FROM customer GROUP BY ALL""")
+def gate_conjunctions(spark, sf_dir):
+    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("c_acctbal") > -1000).alias("all_above"), F.bool_or(F.col("c_acctbal") > 9000).alias("any_rich"), F.count_if(F.col("c_acctbal") < 0).alias("negative"))
+
+
 # --- graph --------------------------------------------------------------------------------------------
 
 

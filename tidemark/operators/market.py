@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +95,38 @@ def realized_volatility(tape: DataFrame, seconds: int) -> DataFrame:
     t = t.withColumn("r", F.when(F.col("points") >= 3, steps)).withColumn("m", F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / F.size("r"))
     squares = F.aggregate(F.transform("r", lambda x: (x - F.col("m")) * (x - F.col("m"))), F.lit(0.0), lambda a, x: a + x)
     return t.select("seq", "symbol", "points", F.sqrt(squares / (F.size("r") - 1)).alias("volatility"))
+
+
+def best_quotes(quotes: DataFrame, key: str, order: list[str], venues: list[str]) -> DataFrame:
+    """Best bid and ask over the last quote of each venue at every update, and whether they cross or lock."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    held = {f"{side}_{v}": F.last(F.when(F.col("venue") == v, F.col(side)), ignorenulls=True).over(w) for v in venues for side in ("bid", "ask")}
+    out = quotes.withColumns(held).withColumns({"best_bid": F.greatest(*(f"bid_{v}" for v in venues)), "best_ask": F.least(*(f"ask_{v}" for v in venues))})
+    return out.withColumn("state", F.when(F.col("best_bid") > F.col("best_ask"), "crossed").when(F.col("best_bid") == F.col("best_ask"), "locked").otherwise("regular"))
+
+
+def book_executions(steps: DataFrame, key: str) -> DataFrame:
+    """Replays a book of resting orders per key, oldest first: add, cancel the oldest, execute ``size`` of them."""
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        resting: deque[list] = deque()
+        out = []
+        for r in pdf.sort_values(["ts", "event_id"]).itertuples():
+            if r.kind == "add":
+                resting.append([r.event_id, int(r.size or 0), r.value])
+            elif r.kind == "cancel":
+                if resting:
+                    resting.popleft()
+            else:
+                left = int(r.size or 0)
+                while left and resting:
+                    took = min(left, resting[0][1])
+                    if took:
+                        out.append((getattr(r, key), r.event_id, resting[0][0], took, resting[0][2]))
+                    left -= took
+                    resting[0][1] -= took
+                    if not resting[0][1]:
+                        resting.popleft()
+        return pd.DataFrame(out, columns=[key, "event_id", "resting_id", "executed", "price"])
+
+    return steps.groupBy(key).applyInPandas(replay, f"{key} bigint, event_id bigint, resting_id bigint, executed bigint, price double")
