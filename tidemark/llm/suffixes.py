@@ -33,7 +33,7 @@ from .scratch import Scratch, buckets, filter_of, flat, maybe, slices
 
 LENGTH, GRAM = 400, 100
 #: Different contexts of one anchor that one suffix array takes; more are settled window by window.
-MOST_CONTEXTS = 256
+MOST_CONTEXTS = 1024
 #: Bytes of one suffix array.
 ARRAY_BYTES = 512 << 10
 _SLICE, _PLACE = 1 << 20, np.uint64((1 << 28) - 1)
@@ -200,26 +200,33 @@ def repeated_spans(slim: DataFrame, scratch: Scratch, *, length: int, gram: int,
             dk, order = (b.column(k).to_numpy() for k in (0, 1))
             many = maybe(hot.value, ah)
             some = maybe(near.value, ah) & ~many
-            i = np.flatnonzero(some)
+            i = np.flatnonzero(some | many)
             held = data.tobytes()
             text = [held[s:e] for s, e in zip(first[i].tolist(), (last[i] + length).tolist())]
-            i2 = np.flatnonzero(many)
-            count = last[i2] - first[i2] + 1
-            s = np.repeat(first[i2] - np.concatenate(([0], np.cumsum(count)))[:-1], count) + np.arange(int(count.sum()))
-            wh = mix((sums[s + length] - sums[s]) * powers(len(data) + 1)[1][s], 34).view(np.int64)
-            r = np.repeat(row[i2], count)
-            none = pa.nulls(len(s), pa.binary())
-            for a, c, d, o, s0, t in (
-                (ah[i].view(np.int64), ch[i].view(np.int64), dk[row[i]], order[row[i]], first[i] - at[row[i]], pa.array(text, pa.binary())),
-                (np.zeros(len(s), np.int64), wh, dk[r], order[r], s - at[r], none),
-            ):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(d), pa.array(o), pa.array(s0), t], names=["ah", "ch", "dk", "ord", "s0", "ctx"])
-
-    second = scratch.keep(slim.mapInArrow(contexts, "ah bigint, ch bigint, dk bigint, ord bigint, s0 bigint, ctx binary"), "contexts")
-    leads = second.filter("ctx IS NOT NULL").groupBy("ch").agg(F.min(F.struct("ord", "dk", "s0", "ah", "ctx")).alias("x")).select("x.*")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (many[i], ah[i].view(np.int64), ch[i].view(np.int64), dk[row[i]], order[row[i]], first[i] - at[row[i]])] + [pa.array(text, pa.binary())],
+                names=["hot", "ah", "ch", "dk", "ord", "s0", "ctx"],
+            )
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices([whole], "ctx", _SLICE):
+                data, at = flat(b.column(3))
+                count = np.diff(at) - length + 1
+                s = np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(count)))[:-1], count) + np.arange(int(count.sum()))
+                r = np.repeat(np.arange(b.num_rows), count)
+                sums = prefix_hash(data)
+                wh = mix((sums[s + length] - sums[s]) * powers(len(data) + 1)[1][s], 34).view(np.int64)
+                dk, order, s0 = (b.column(k).to_numpy()[r] for k in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(wh), pa.array(dk), pa.array(order), pa.array(s0 + s - at[r])], names=["wh", "dk", "ord", "s0"])
+
+    second = slim.mapInArrow(contexts, "hot boolean, ah bigint, ch bigint, dk bigint, ord bigint, s0 bigint, ctx binary")
+    leads = second.groupBy("ch").agg(F.min(F.struct("ord", "dk", "s0", "ah", "hot", "ctx")).alias("x")).select("x.*")
+    leads = scratch.keep(leads, "leads")
     parts = buckets(slim.sparkSession)
-    edges = leads.groupBy(F.pmod(F.xxhash64("ah"), F.lit(parts)).alias("part")).applyInPandas(_repeats(length, keep), "dk bigint, s bigint, e bigint")
-    windows = second.filter("ctx IS NULL").select(F.col("ch").alias("wh"), "dk", "ord", "s0")
+    edges = leads.filter("NOT hot").groupBy(F.pmod(F.xxhash64("ah"), F.lit(parts)).alias("part")).applyInPandas(_repeats(length, keep), "dk bigint, s bigint, e bigint")
+    crowd = leads.filter("hot").select("dk", "ord", "s0", "ctx")
+    windows = scratch.keep(crowd.mapInArrow(windows_of, "wh bigint, dk bigint, ord bigint, s0 bigint"), "windows")
     twice = windows.groupBy("wh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "dk", "s0")).alias("lead")).filter("c > 1").select("wh", "lead")
     found = windows.join(twice, "wh")
     if keep == "first":
