@@ -108,3 +108,27 @@ def test_toxicity_learns_and_holds_out(spark):
     assert all(0 <= r.score <= 1 for r in out) and len(out) == len(rows)
     none = toxicity(spark.createDataFrame(rows[:9], "doc_id bigint, text string, score_was string"), spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert {r.predicted for r in none.collect()} == {0}
+
+
+def test_toxicity_learns_from_few_labels(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    out = [r for r in toxicity(docs.select("doc_id", "text"), labels).collect() if r.doc_id in truth]
+    toxic, clean = ([r.predicted for r in out if truth[r.doc_id] == y] for y in (1, 0))
+    assert sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+    held = [r.predicted for r in out if truth[r.doc_id] == 1 and r.held_out]
+    assert held and all(held)
+
+
+def test_toxicity_of_a_rare_language(spark):
+    rng = random.Random(6)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    rows, labels = [], []
+    for i in range(300):
+        rare, bad = i % 20 == 3, i % 5 == 1 or i in (23, 43, 63)
+        text = [word("uvwxyz" if rare else "abcdefg") for _ in range(40)] + (["zzuvil", "yyuvil"] if rare else ["vilest", "scummy"]) * bad
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(bad)))
+    rows.append((5000, "uvwxy zzuvil wwxyz yyuvil"))
+    out = {r.doc_id: r.predicted for r in toxicity(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()}
+    assert out[5000] == 1 and all(out[i] == y for i, y in labels)

@@ -22,6 +22,7 @@ def test_stages(spark, sf_dir):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     gone = {r.doc_id for r in docs} - {r.doc_id for r in clean}
     assert sum(labels.get(d) == 0 for d in gone) <= 0.02 * len(docs)
+    assert sum(labels.get(d) == 1 for d in gone) >= 0.8 * sum(labels.get(r.doc_id) == 1 for r in docs)
 
     sets = {r.doc_id: shingles(r.text) for r in clean}
     left = {r.doc_id for r in single}
