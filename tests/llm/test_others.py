@@ -36,6 +36,24 @@ def test_links_and_components(spark):
     assert embedding_dedup(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_links_in_a_dense_region(spark):
+    """All vectors share a direction (cosine about 0.85) and pairs at 0.95 to 0.96 are planted, at two sizes."""
+    r = np.random.default_rng(5)
+    for n in (2000, 12000):
+        x = np.sqrt(0.85) * np.eye(64)[0] + np.sqrt(0.15) * (lambda g: g / np.linalg.norm(g, axis=1, keepdims=True))(r.standard_normal((n, 64)))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for i in range(0, 400, 2):
+            side = r.standard_normal(64)
+            side -= side @ x[i] * x[i]
+            x[i + 1] = 0.955 * x[i] + np.sqrt(1 - 0.955**2) * side / np.linalg.norm(side)
+        x = x.astype("f4").astype(float)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+        assert want[:400].all()
+        out = embedding_dedup(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")).collect()
+        assert {r.vec_id: r.n_links for r in out} == dict(enumerate(want.tolist()))
+
+
 def test_topk_is_exact(spark):
     rows = vectors()
     out = voronoi_topk(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0, k=5, pivots=6).collect()

@@ -1,13 +1,14 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-Each pass orders the vectors lexicographically by a concatenation of random hashes: the signs of random
-projections, then the value of one more projection, then the id. Vectors that point alike share long
-prefixes and stand close; each is compared, in double precision, with the ``window`` before it. Ranges of
-the order are dealt to tasks together with the window's worth of rows before each range. Pairs at or above
-the threshold from all passes are united, and what they connect are components. Groups larger than a
-window can reach are finished exactly: the vectors of a component are cut into blocks, and pairs of blocks
-are compared as matrices, so that a vector's links are counted in full whatever the size of its group;
-only counts leave a task. Equal vectors are merged first and count as many times as they occur.
+"""Near-duplicate vectors by an exact join of blocks.
+
+Vectors are dealt to the pivot (one of the vectors) that they are nearest to, and each pivot's vectors are
+cut into blocks of about ``window`` rows. Two blocks are compared as matrices, all pairs of their vectors,
+unless the angle between their pivots less both radii shows that none can reach the threshold: no pair is
+left out, whatever the density or size of the table. The price is work that grows with the square of the
+rows where blocks can't be told apart, as with directions drawn evenly in many dimensions. Products are
+taken in single precision and again in double where that could decide otherwise. A pair of blocks returns
+spanning links, and what they connect are components. Then the vectors of a component are cut into blocks
+again, so that a vector's links are counted in full whatever the size of its group; only counts leave a
+task. Equal vectors are merged first and count as many times as they occur.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing;
 vectors of different dimension never link; rows that share a vec_id are separate rows of one id; an empty
@@ -21,22 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .scratch import Scratch
 
-PASSES, WINDOW, BITS = 24, 48, 48
+#: Rows of a block.
+WINDOW = 4096
 BLOCK = 512
-SEED = 20240229
-
-
-def _signature(vectors: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signs of ``BITS`` projections as an integer, first projection highest, and a last projection."""
-    axes = np.random.default_rng([SEED, number, vectors.shape[1]]).standard_normal((vectors.shape[1], BITS + 1))
-    shadow = vectors @ axes
-    return (shadow[:, :BITS] > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)), shadow[:, BITS]
+_SLACK = 1e-6
 
 
 def unit_rows(lists: list, dim: int) -> np.ndarray:
@@ -44,55 +40,100 @@ def unit_rows(lists: list, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def embedding_links(vectors: DataFrame, scratch: Scratch, *, threshold: float, passes: int, window: int) -> DataFrame:
-    """``a``, ``b``: verified links between classes; ``vectors`` has c (class) and v (array of double)."""
-    spark = vectors.sparkSession
+def _spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (least, other) that connect what the pairs connect."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while len(i):
+        least = np.minimum(root[i], root[j])
+        if (least == root[i]).all() and (least == root[j]).all():
+            break
+        np.minimum.at(root, i, least)
+        np.minimum.at(root, j, least)
+        root = root[root]
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[other]], nodes[other]
+
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def embedding_links(vectors: DataFrame, scratch: Scratch, *, threshold: float, window: int) -> DataFrame:
+    """``a``, ``b``: links that span what all pairs at the threshold connect; ``vectors`` has c (class) and v (array of double)."""
+    spark = vectors.sparkSession
+    pivots: dict[int, list] = {}
+    for r in vectors.orderBy("c").limit(-(-vectors.count() // window)).collect():
+        pivots.setdefault(len(r.v), []).append(r.v)
+    shared = spark.sparkContext.broadcast({dim: unit_rows(lists, dim) for dim, lists in pivots.items()})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(k, 1024) for k in range(0, whole.num_rows, 1024)):
+                dims = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+                for dim in np.unique(dims).tolist():
+                    part = b.filter(pa.array(dims == dim))
+                    held, cosine = shared.value.get(dim), np.full(part.num_rows, -1.0)
+                    cell = np.zeros(part.num_rows, np.int64)
+                    if held is not None:
+                        near = unit_rows(part.column(1).to_pylist(), dim) @ held.T
+                        cell, cosine = near.argmax(axis=1), near.max(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, dim, np.int64)), pa.array(cell.astype(np.int64)), pa.array(cosine), part.column(0), part.column(1)], names=["dim", "cell", "cosine", "c", "v"])
+
+    dealt = scratch.keep(vectors.select("c", "v").mapInArrow(deal, "dim bigint, cell bigint, cosine double, c bigint, v array<double>"), "dealt")
+    sizes = dealt.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("m"))
+    cut = dealt.join(sizes, ["dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("c"), F.ceil(F.col("m") / window)))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = unit_rows(pdf["v"].tolist(), int(pdf["dim"].iloc[0]))
+        first = pdf[["dim", "cell", "chunk"]].iloc[:1].reset_index(drop=True)
+        return first.assign(radius=float(np.arccos(np.clip(pdf["cosine"].min(), -1, 1))), cs=[pdf["c"].to_numpy(np.int64).tobytes()], xs=[x.tobytes()])
+
+    blocks = scratch.keep(cut.groupBy("dim", "cell", "chunk").applyInPandas(pack, "dim bigint, cell bigint, chunk bigint, radius double, cs binary, xs binary"), "blocks")
+    known = sorted(map(tuple, blocks.select("dim", "cell", "chunk", "radius").collect()))
+    number = {k[:3]: i for i, k in enumerate(known)}
+    outline = spark.sparkContext.broadcast((number, np.array([k[:2] for k in known], np.int64).reshape(-1, 2), np.array([k[3] for k in known])))
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + _SLACK
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, place, radius = outline.value
         for b in batches:
-            dims = np.array([len(x) for x in b.column(1).to_pylist()])
-            for dim in np.unique(dims).tolist():
-                part = b.filter(pa.array(dims == dim))
-                x = unit_rows(part.column(1).to_pylist(), dim)
-                for k in range(passes):
-                    high, low = _signature(x, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(high), pa.array(low), part.column(0), part.column(1)], names=["pass", "high", "low", "c", "v"])
-
-    keyed = vectors.select("c", "v").mapInArrow(project, "pass int, high bigint, low double, c bigint, v array<double>")
-    # Ranges of the order: cut where the leading bits change, as many ranges as keep a few thousand rows each.
-    total = vectors.count()
-    ranges = max(1, total // 4096)
-    bits = min(16, int(ranges).bit_length())
-    spans = keyed.withColumn("range", F.shiftright("high", BITS - bits).cast("int"))
-    tail = Window.partitionBy("pass", "range").orderBy(F.desc("high"), F.desc("low"), F.desc("c"))
-    edge = spans.withColumn("rn", F.row_number().over(tail)).filter(F.col("rn") <= window).drop("rn")
-    halo = edge.withColumn("range", F.col("range") + 1).withColumn("own", F.lit(False))
-    dealt = spans.withColumn("own", F.lit(True)).unionByName(halo)
+            for dim, cell, chunk, _, cs, xs in zip(*(c.to_pylist() for c in b.columns)):
+                me = number[(dim, cell, chunk)]
+                may = place[:, 0] == dim
+                held = shared.value.get(dim)
+                if held is not None:
+                    apart = np.arccos(np.clip(held[place[may, 1]] @ held[cell], -1, 1))
+                    may[may] = apart - radius[may] - radius[me] <= reach
+                may[me] = True
+                for other in np.flatnonzero(may).tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([min(me, other)], pa.int64()), pa.array([max(me, other)], pa.int64()), pa.array([me], pa.int64()), pa.array([dim], pa.int64()), pa.array([cs], pa.binary()), pa.array([xs], pa.binary())], names=["i", "j", "own", "dim", "cs", "xs"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for _, part in pdf.groupby(pdf["v"].str.len(), sort=False):
-            part = part.sort_values(["high", "low", "c"], ignore_index=True)
-            x = unit_rows(part["v"].tolist(), len(part["v"].iloc[0]))
-            c, own = part["c"].to_numpy(), part["own"].to_numpy()
-            for step in range(1, min(window, len(part) - 1) + 1):
-                hit = (np.einsum("ij,ij->i", x[step:], x[:-step]) >= threshold) & own[step:]
-                a.append(np.minimum(c[step:][hit], c[:-step][hit]))
-                b.append(np.maximum(c[step:][hit], c[:-step][hit]))
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return scratch.keep(dealt.groupBy("pass", "range").applyInPandas(compare, "a bigint, b bigint").distinct(), "links")
-
-
-def embedding_dedup(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+        pdf = pdf.sort_values("own", ignore_index=True)
+        dim, last = int(pdf["dim"].iloc[0]), len(pdf) - 1
+        (p, q), (x, y) = ([np.frombuffer(pdf[k][r], t) for r in (0, last)] for k, t in (("cs", np.int64), ("xs", np.float64)))
+        x, y = x.reshape(-1, dim), y.reshape(-1, dim)
+        low, slack, out = y.astype(np.float32).T.copy(), np.float32(4e-7 * (dim + 8)), []
+        for k in range(0, len(x), 512):
+            near = x[k : k + 512].astype(np.float32) @ low
+            u, v = np.nonzero(near >= threshold - slack)
+            doubt = np.flatnonzero(near[u, v] < threshold + slack)
+            ok = p[k + u] != q[v]
+            for d in (doubt[n : n + 65536] for n in range(0, len(doubt), 65536)):
+                ok[d] &= np.einsum("ij,ij->i", x[k + u[d]], y[v[d]]) >= threshold
+            out.append(_spanning(p[k + u[ok]], q[v[ok]]))
+        a, b = _spanning(*(np.concatenate(o) for o in zip(*out)))
+        return pd.DataFrame({"a": a, "b": b})
+
+    pairs = blocks.mapInArrow(pair, "i bigint, j bigint, own bigint, dim bigint, cs binary, xs binary")
+    return scratch.keep(pairs.groupBy("i", "j").applyInPandas(compare, "a bigint, b bigint").distinct(), "links")
+
+
+def embedding_dedup(table: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, window: int = WINDOW) -> DataFrame:
     """``id_col``, n_links, component_id, kept; a row per input row."""
     scratch = Scratch(table.sparkSession, "vectors")
     v = F.col(vector_col).cast("array<double>")
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = scratch.keep(table.select(F.col(id_col).alias("_id"), F.when(F.coalesce(good, F.lit(False)), v).alias("v")).withColumn("c", F.when(F.col("v").isNotNull(), F.xxhash64("v"))), "rows")
     classes = scratch.keep(rows.filter("c IS NOT NULL").groupBy("c").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("_id").alias("least")), "classes")
-    links = embedding_links(classes, scratch, threshold=threshold, passes=passes, window=window)
+    links = embedding_links(classes, scratch, threshold=threshold, window=window)
     labels = scratch.keep(components(links, scratch, "cc"), "labels")
 
     # Members of each component in blocks of BLOCK; every pair of blocks is one task's matrix product.
