@@ -32,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that an earlier one (or place) holds already."""
-    cut = suffix_dedup(docs, keep="first", carry=("lang", "source"))
+    """All documents, without passages of over 50 words that an earlier one (or place) holds already."""
+    cut = suffix_dedup(docs, keep="first", carry=("lang", "source"), words=51)
     return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 

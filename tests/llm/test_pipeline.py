@@ -1,12 +1,16 @@
 """The pipeline's stages on the smallest table, each judged on its own input."""
 
+import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm.scratch import Scratch
+from tidemark.llm.suffixes import suffix_dedup
 
+from .conftest import awkward
 from .test_documents import shingles
 
 
@@ -47,3 +51,31 @@ def test_stages(spark, sf_dir):
 
     assert sum(r.piece == 0 for r in packed) == len(mixed)
     assert tables[5].groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+def test_short_words_repeat_too(spark, sf_dir):
+    """A passage of 51 words in under 400 bytes goes from the later document, one of 50 stays, whatever the spaces."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    long, short = prose(51), prose(50)
+    assert len(long) < 400
+    rows = [(1, f"{prose(80)} {long} {prose(80)}"), (2, a := f"{prose(30)} {short} {prose(70)}"), (3, f"{(head := prose(60))} {long.replace(' ', '  ')} {(tail := prose(40))}"), (4, b := f"{prose(90)} {short} {prose(20)}"), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, sf_dir).collect()}
+    assert out == {1: rows[0][1], 2: a, 3: f"{head} {tail}", 4: b, 5: ""}
+
+
+def test_repeated_words_against_brute_force(spark):
+    rows = sorted({(x[0] if x[0] is not None else -1, x[1] or "") for x in awkward()})
+    split = [re.split(r"[ \t-\r]+", t.strip(" \t\n\v\f\r")) for _, t in rows]
+    seen, gone = set(), {}
+    for (d, t), w in zip(rows, split):
+        marks = [False] * len(w)
+        for i in range(len(w) - 50):
+            if tuple(w[i : i + 51]) in seen:
+                marks[i : i + 51] = [True] * 51
+            seen.add(tuple(w[i : i + 51]))
+        gone[(d, t)] = [x for x, m in zip(w, marks) if not m]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, lang string")
+    assert {(r.doc_id, tuple(r.kept.split())) for r in suffix_dedup(docs, words=51).collect()} == {(d, tuple(x for x in w if x)) for (d, _), w in gone.items()}

@@ -12,6 +12,9 @@ that combine before they are shuffled, so that no task receives a group without
 ``keep="first"`` removes later copies (order: id, then place) and keeps the first; ``keep="none"`` removes
 every copy. Strings are judged on the input; matches never cross documents.
 
+With ``words``, the unit is a word and not a byte: each word becomes a hash of ``CODE`` bytes, the arrays run
+over these, and passages of at least that many equal words go, however long or spaced their words are.
+
 Defined cases: null text is empty; texts shorter than the length lose nothing; rows that are equal in id
 and text count as one row and share its result; a null id is first in order; an empty table gives no rows.
 """
@@ -29,13 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import mix, powers, prefix_hash
-from .scratch import Scratch, buckets, filter_of, flat, maybe, slices
+from .scratch import Scratch, buckets, filter_of, flat, maybe, slices, words as words_of
 
 LENGTH, GRAM = 400, 100
 #: Different contexts of one anchor that one suffix array takes; more are settled window by window.
 MOST_CONTEXTS = 1024
 #: Bytes of one suffix array.
 ARRAY_BYTES = 512 << 10
+#: Bytes of a word's hash.
+CODE = 6
 _SLICE, _PLACE = 1 << 20, np.uint64((1 << 28) - 1)
 
 
@@ -234,13 +239,37 @@ def repeated_spans(slim: DataFrame, scratch: Scratch, *, length: int, gram: int,
     return spans.union(edges).union(found.select("dk", F.col("s0").alias("s"), F.expr(f"s0 + {length}").alias("e")))
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: str = "first", carry: tuple[str, ...] = ()) -> DataFrame:
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each text as hashes, one after the other."""
+    for b in slices(batches, "_text", _SLICE):
+        data, at = flat(b.column(2))
+        if len(data):
+            starts, ends, rows = words_of(data, at)
+            sums, down = prefix_hash(data), powers(len(data) + 1)[1]
+            codes = np.ascontiguousarray(mix((sums[ends] - sums[starts]) * down[starts], 35).view(np.uint8).reshape(-1, 8)[:, :CODE])
+            places = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=b.num_rows) * CODE))).astype(np.int32)
+            text = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(places), pa.py_buffer(codes)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), text], names=["dk", "ord", "_text"])
+
+
+def _bytes_of(raw: bytes, s: list[int], e: list[int]) -> tuple[list[int], list[int]]:
+    """Ranges of word hashes as byte ranges of the text; a hash counts if it's whole."""
+    starts = np.append(words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0], len(raw))
+    pairs = [(-(-a // CODE), z // CODE) for a, z in zip(s, e)]
+    return [int(starts[a]) for a, z in pairs if z > a], [int(starts[z]) for a, z in pairs if z > a]
+
+
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: str = "first", carry: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
     """``id_col``, ``carry``, n_bytes, n_removed, n_spans, kept (text), kept_sha256; a row per input row."""
     scratch = Scratch(docs.sparkSession, "suffix")
     kind = docs.schema[id_col].dataType
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))) if isinstance(kind, T.IntegralType) else F.xxhash64(F.col(id_col))
     base = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.xxhash64(id_col, text_col).alias("dk"), order.alias("ord"), F.struct(*[F.col(c) for c in carry], F.lit(1).alias("_one")).alias("_more"))
-    slim = base.select("dk", "ord", "_text").filter(F.octet_length("_text") >= length)
+    slim = base.select("dk", "ord", "_text")
+    if words:
+        length, gram = words * CODE, max(1, words // 4) * CODE
+        slim = slim.filter(F.octet_length("_text") >= 2 * words - 1).mapInArrow(_coded, "dk bigint, ord bigint, _text binary")
+    slim = slim.filter(F.octet_length("_text") >= length)
     spans = repeated_spans(slim, scratch, length=length, gram=gram, keep=keep)
     cuts = scratch.keep(spans.groupBy("dk").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("cuts")), "cuts")
     listed = base.join(cuts, "dk", "left").select("_id", "_text", "_more", F.col("cuts.s").alias("s"), F.col("cuts.e").alias("e"))
@@ -252,6 +281,8 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 for text, s, e in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                     raw, kept, removed, spans, done = text.encode("utf-8"), [], 0, 0, 0
                     i = 0
+                    if s and words:
+                        s, e = _bytes_of(raw, s, e)
                     while s and i < len(s):
                         start, end = s[i], e[i]
                         while i + 1 < len(s) and s[i + 1] <= end:
