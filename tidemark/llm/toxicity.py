@@ -20,6 +20,7 @@ larger label; without labels of both classes every score is the rate known; repe
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -154,7 +155,7 @@ class BlockMaxIndex:
     def score(self, term: np.ndarray, n: np.ndarray) -> tuple[float, list[int]]:
         """Share of toxic votes, and the ids of the three nearest examples."""
         n = np.minimum(n, 8)
-        key = term.tobytes() + n.tobytes()
+        key = hashlib.blake2b(term.tobytes() + n.tobytes(), digest_size=16).digest()
         if key not in self.known:
             t, w = self.unit(term, n)
             i, cosine = self.nearest(t, w, NEIGHBOURS) if len(t) and self.blocks else (np.zeros(0, np.int64), np.zeros(0))
