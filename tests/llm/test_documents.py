@@ -1,6 +1,7 @@
 """The document operators against brute force on an awkward table, and on an empty one."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -107,10 +108,21 @@ def test_jaccard_components(docs):
     assert Counter(map(tuple, ngram_jaccard(docs).collect())) == want
 
 
-@pytest.mark.parametrize("keep", ["none", "first"])
-def test_repeated_strings(spark, docs, keep):
+def crowded():
+    """Short lines and passages that many documents share, at all places."""
+    r = random.Random(12)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, passage, block = prose(60), prose(84), prose(150)
+    rows = [(2 * k, prose(r.randint(0, 120)) + r.choice([line, passage, block, block[20:110], line + passage]) + prose(r.randint(0, 120))) for k in range(150)]
+    return rows + [(1, passage), (3, "y" * 500), (5, "y" * 300)]
+
+
+@pytest.mark.parametrize(("keep", "most", "table"), [("none", 1024, awkward), ("first", 1024, awkward), ("none", 2, awkward), ("first", 2, awkward), ("none", 3, crowded), ("first", 3, crowded)])
+def test_repeated_strings(spark, keep, most, table):
     length = 80
-    rows = sorted({(x[0] if x[0] is not None else -1, x[1] or "") for x in awkward()})
+    given = [(x[0], x[1]) for x in table()]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string")
+    rows = sorted({(i if i is not None else -1, t or "") for i, t in given})
     seen = defaultdict(list)
     for d, t in rows:
         raw = t.encode()
@@ -126,8 +138,8 @@ def test_repeated_strings(spark, docs, keep):
         kept = bytes(x for x, m in zip(t.encode(), marks) if not m)
         spans = sum(1 for i in range(len(marks)) if marks[i] and (not i or not marks[i - 1]))
         want.add((d, len(marks), sum(marks), spans, hashlib.sha256(kept).hexdigest()))
-    out = suffix_dedup(docs, length=length, gram=20, keep=keep).collect()
-    assert len(out) == len(awkward())
+    out = suffix_dedup(docs, length=length, gram=20, keep=keep, most=most).collect()
+    assert len(out) == len(given)
     assert {(r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == want
 
 

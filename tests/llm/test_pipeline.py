@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidemark.llm.mixing import shares
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.suffixes import suffix_dedup
 
@@ -36,18 +37,22 @@ def test_stages(spark, sf_dir):
     assert all(any(close(sets[d], sets[o]) for o in sets if o != d) for d in set(sets) - left)
 
     before = {r.doc_id: r.text for r in single}
-    seen = Counter(w for t in {r.text for r in single} for raw in [t.encode()] for w in {raw[i : i + 400] for i in range(len(raw) - 399)})
+    held = lambda t: [tuple(w[i : i + 51]) for w in [re.findall(r"[^ \t-\r]+", t)] for i in range(len(w) - 50)]
+    seen, after = (Counter(p for r in rows for p in held(r.text)) for rows in (single, cut))
+    assert max(seen.values()) > 1 and max(after.values(), default=1) == 1
     assert {r.doc_id for r in cut} == set(before)
     for r in cut:
-        raw = before[r.doc_id].encode()
-        if all(seen[raw[i : i + 400]] == 1 for i in range(len(raw) - 399)) and len({raw[i : i + 400] for i in range(len(raw) - 399)}) == max(0, len(raw) - 399):
+        if all(seen[p] == 1 for p in held(before[r.doc_id])):
             assert r.text == before[r.doc_id]
         assert r.n_chars == len(r.text)
 
     copies = Counter(r.doc_id for r in mixed)
     assert max(copies.values()) <= 3 and set(copies) <= set(before)
-    whole = sum(len(r.text.split()) for r in cut)
-    assert abs(sum(len(r.text.split()) for r in mixed) - whole) <= 0.1 * whole
+    length = lambda t: len(re.findall(r"[^ \t-\r]+", t))
+    order = sorted({r.source for r in cut}, key=lambda s: (s is None, s or ""))
+    whole, taken = ([sum(length(r.text) for r in rows if r.source == s) for s in order] for rows in (cut, mixed))
+    for n, target in zip(taken, shares(whole, [1, 2, 3] * len(order), 1.0, 3)):
+        assert abs(n - target) <= max(20, 0.02 * target)
 
     assert sum(r.piece == 0 for r in packed) == len(mixed)
     assert tables[5].groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0

@@ -55,8 +55,8 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes left of each document when every repeated 400-byte string goes."""
-    return suffix_dedup(_table(spark, sf_dir, "documents"), keep="none").drop("kept")
+    """What is left of each document when every repeated 400-byte string goes."""
+    return suffix_dedup(_table(spark, sf_dir, "documents"), keep="none")
 
 
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

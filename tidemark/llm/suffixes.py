@@ -6,8 +6,10 @@ windows of one anchor form a run. A run's bytes are its context. Contexts that o
 all their windows by counting. What is left are contexts that share an anchor with a different one, where
 a repeated passage begins or ends. Those are brought together by anchor, a suffix array orders them, and
 each window's longest previous (or next) factor comes from the previous and next smaller positions in
-suffix order. Anchors that very many different contexts share are settled window by window, by counts
-that combine before they are shuffled, so that no task receives a group without bound.
+suffix order. An anchor with more contexts than one array takes is refined first: its windows are dealt by
+where the anchor stands in them to ranges, half as wide in each round, and the bytes that all windows of a
+range share become a longer anchor. Contexts that only had the short one in common part there, those equal
+within a range settle by counting, and each round has at most two rows for one of the round before.
 
 ``keep="first"`` removes later copies (order: id, then place) and keeps the first; ``keep="none"`` removes
 every copy. Strings are judged on the input; matches never cross documents.
@@ -16,7 +18,8 @@ With ``words``, the unit is a word and not a byte: each word becomes a hash of `
 over these, and passages of at least that many equal words go, however long or spaced their words are.
 
 Defined cases: null text is empty; texts shorter than the length lose nothing; rows that are equal in id
-and text count as one row and share its result; a null id is first in order; an empty table gives no rows.
+and text hold each other's strings when every copy goes, and count as one row when the first stays; a null
+id is first in order; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,13 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import mix, powers, prefix_hash
-from .scratch import Scratch, buckets, filter_of, flat, maybe, slices, words as words_of
+from .scratch import Scratch, flat, slices, words as words_of
 
 LENGTH, GRAM = 400, 100
-#: Different contexts of one anchor that one suffix array takes; more are settled window by window.
+#: Different contexts of one anchor that one suffix array takes; with more, the anchor is refined.
 MOST_CONTEXTS = 1024
-#: Bytes of one suffix array.
-ARRAY_BYTES = 512 << 10
+#: Bytes of one suffix array, and of the contexts that one task gets.
+ARRAY_BYTES, TASK_BYTES = 512 << 10, 8 << 20
 #: Bytes of a word's hash.
 CODE = 6
 _SLICE, _PLACE = 1 << 20, np.uint64((1 << 28) - 1)
@@ -56,11 +59,11 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Runs of windows with one anchor: anchor hash, context hash, row, first and last window, prefix sums."""
+    """Runs of windows with one anchor: anchor hash, context hash, row, first and last window, place of the anchor in the first."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none.view(np.uint64), none.view(np.uint64), none, none, none, np.zeros(1, np.uint64)
+        return none.view(np.uint64), none.view(np.uint64), none, none, none, none
     sums, down = prefix_hash(data), powers(n + 1)[1]
     grams = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1], 31)
     place = np.arange(len(grams), dtype=np.uint64)
@@ -68,7 +71,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     room = np.maximum(np.diff(at) - length + 1, 0)
     starts = np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(room)))[:-1], room) + np.arange(int(room.sum()))
     if not len(starts):
-        return none.view(np.uint64), none.view(np.uint64), none, none, none, sums
+        return none.view(np.uint64), none.view(np.uint64), none, none, none, none
     p = chosen[starts]
     new = np.ones(len(p), bool)
     new[1:] = (p[1:] != p[:-1]) | (starts[1:] != starts[:-1] + 1)
@@ -76,7 +79,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     first, last, p = starts[i], starts[np.append(i[1:], len(p)) - 1], p[i]
     shape = ((p - first) * 4096 + (last - first)).astype(np.uint64)
     context = mix((sums[last + length] - sums[first]) * down[first] + mix(shape, 32), 33)
-    return grams[p], context, np.searchsorted(at, first, side="right") - 1, first, last, sums
+    return grams[p], context, np.searchsorted(at, first, side="right") - 1, first, last, p - first
 
 
 def suffix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
@@ -142,7 +145,7 @@ def _repeats(length: int, keep: str):
     """Covered bytes within the contexts of a hash range, by suffix arrays over whole anchors."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ah", "ord", "dk", "s0"], ignore_index=True)
+        pdf = pdf.drop_duplicates(["ah", "ch"]).sort_values(["ah", "ord", "dk", "s0"], ignore_index=True)
         sizes, ah = pdf["ctx"].str.len().to_numpy(np.int64), pdf["ah"].to_numpy()
         bounds = np.append(np.flatnonzero(np.concatenate(([True], ah[1:] != ah[:-1]))), len(ah))
         out, lo = [], 0
@@ -176,67 +179,91 @@ def _repeats(length: int, keep: str):
     return run
 
 
-def repeated_spans(slim: DataFrame, scratch: Scratch, *, length: int, gram: int, keep: str) -> DataFrame:
+def _halves(length: int, gram: int, width: int):
+    """Contexts cut by where the anchor stands in a window, ``width`` places to a range, with the longer anchor of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "ctx", _SLICE):
+            data, at = flat(b.column(4))
+            sums, down = prefix_hash(data), powers(len(data) + 1)[1]
+            most = b.column(3).to_numpy().astype(np.int64)
+            least = most - (np.diff(at) - length)
+            ranges = most // width - least // width + 1
+            r = np.repeat(np.arange(b.num_rows), ranges)
+            low = (least[r] // width + np.arange(len(r)) - np.repeat(np.concatenate(([0], np.cumsum(ranges)))[:-1], ranges)) * width
+            high, zero = low + width - 1, at[r] + most[r]
+            first, last = np.minimum(most[r], high), np.maximum(least[r], low)
+            inner = np.minimum(high, length - gram)
+            anchor = mix((sums[zero + length - inner] - sums[zero - low]) * down[zero - low] + mix((low * 4096 + inner).astype(np.uint64), 36), 37)
+            start, end = zero - first, zero - last + length
+            context = mix((sums[end] - sums[start]) * down[start] + mix((first * 4096 + last).astype(np.uint64), 38), 39)
+            held = data.tobytes()
+            dk, order, s0 = (b.column(k).to_numpy()[r] for k in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x) for x in (anchor.view(np.int64), context.view(np.int64), dk, order, s0 + start - at[r], first)), pa.array([held[i:j] for i, j in zip(start.tolist(), end.tolist())], pa.binary())],
+                names=["ah", "ch", "dk", "ord", "s0", "x", "ctx"],
+            )
+
+    return run
+
+
+def repeated_spans(slim: DataFrame, scratch: Scratch, *, length: int, gram: int, keep: str, most: int = MOST_CONTEXTS) -> DataFrame:
     """``dk``, ``s``, ``e``: byte ranges to remove; ``slim`` has dk (64-bit row key), ord and _text."""
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text", _SLICE):
             data, at = flat(b.column(2))
-            ah, ch, row, first, last, _ = anchors(data, at, length, gram)
+            ah, ch, row, first, last, x = anchors(data, at, length, gram)
             dk, order = (b.column(k).to_numpy()[row] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(dk), pa.array(order), pa.array((first - at[row]).astype(np.int32)), pa.array((last - at[row]).astype(np.int32))], names=["ah", "ch", "dk", "ord", "s0", "s1"])
-
-    runs = scratch.keep(slim.mapInArrow(mark, "ah bigint, ch bigint, dk bigint, ord bigint, s0 int, s1 int"), "runs")
-    kinds = scratch.keep(runs.groupBy("ch").agg(F.first("ah").alias("ah"), F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "dk", "s0")).alias("lead")), "kinds")
-    shared = kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    shared = scratch.keep(shared, "shared")
-    whole = runs.join(kinds.filter("c > 1").select("ch", "lead"), "ch")
-    if keep == "first":
-        whole = whole.filter("struct(ord, dk, s0) <> lead")
-    spans = whole.select("dk", F.col("s0").cast("long").alias("s"), (F.col("s1") + F.lit(length)).cast("long").alias("e"))
+            yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(dk), pa.array(order), *(pa.array(v.astype(np.int32)) for v in (first - at[row], last - at[row], x))], names=["ah", "ch", "dk", "ord", "s0", "s1", "x"])
 
-    near, hot = (filter_of(shared.filter(f"k {sign} {MOST_CONTEXTS}").select("ah"), "ah") for sign in ("<=", ">"))
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text", _SLICE):
-            data, at = flat(b.column(2))
-            ah, ch, row, first, last, sums = anchors(data, at, length, gram)
-            if not len(ah):
-                continue
-            dk, order = (b.column(k).to_numpy() for k in (0, 1))
-            many = maybe(hot.value, ah)
-            some = maybe(near.value, ah) & ~many
-            i = np.flatnonzero(some | many)
-            held = data.tobytes()
-            text = [held[s:e] for s, e in zip(first[i].tolist(), (last[i] + length).tolist())]
+            data, at = flat(b.column(0))
+            held, wanted = data.tobytes(), b.column(1)
+            row = np.repeat(np.arange(b.num_rows), wanted.value_lengths().to_numpy())
+            k, ah, ch, dk, order, s0, s1, x = (v.to_numpy() for v in wanted.flatten().flatten())
+            start, end = at[row] + s0, at[row] + s1 + length
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (many[i], ah[i].view(np.int64), ch[i].view(np.int64), dk[row[i]], order[row[i]], first[i] - at[row[i]])] + [pa.array(text, pa.binary())],
-                names=["hot", "ah", "ch", "dk", "ord", "s0", "ctx"],
+                [*(pa.array(v.astype(np.int64)) for v in (k, ah, ch, dk, order, s0, x)), pa.array([held[i:j] for i, j in zip(start.tolist(), end.tolist())], pa.binary())], names=["k", "ah", "ch", "dk", "ord", "s0", "x", "ctx"]
             )
 
-    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices([whole], "ctx", _SLICE):
-                data, at = flat(b.column(3))
-                count = np.diff(at) - length + 1
-                s = np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(count)))[:-1], count) + np.arange(int(count.sum()))
-                r = np.repeat(np.arange(b.num_rows), count)
-                sums = prefix_hash(data)
-                wh = mix((sums[s + length] - sums[s]) * powers(len(data) + 1)[1][s], 34).view(np.int64)
-                dk, order, s0 = (b.column(k).to_numpy()[r] for k in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(wh), pa.array(dk), pa.array(order), pa.array(s0 + s - at[r])], names=["wh", "dk", "ord", "s0"])
-
-    second = slim.mapInArrow(contexts, "hot boolean, ah bigint, ch bigint, dk bigint, ord bigint, s0 bigint, ctx binary")
-    leads = second.groupBy("ch").agg(F.min(F.struct("ord", "dk", "s0", "ah", "hot", "ctx")).alias("x")).select("x.*")
-    leads = scratch.keep(leads, "leads")
-    parts = buckets(slim.sparkSession)
-    edges = leads.filter("NOT hot").groupBy(F.pmod(F.xxhash64("ah"), F.lit(parts)).alias("part")).applyInPandas(_repeats(length, keep), "dk bigint, s bigint, e bigint")
-    crowd = leads.filter("hot").select("dk", "ord", "s0", "ctx")
-    windows = scratch.keep(crowd.mapInArrow(windows_of, "wh bigint, dk bigint, ord bigint, s0 bigint"), "windows")
-    twice = windows.groupBy("wh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "dk", "s0")).alias("lead")).filter("c > 1").select("wh", "lead")
-    found = windows.join(twice, "wh")
-    if keep == "first":
-        found = found.filter("struct(ord, dk, s0) <> lead")
-    return spans.union(edges).union(found.select("dk", F.col("s0").alias("s"), F.expr(f"s0 + {length}").alias("e")))
+    def equal(rows: DataFrame, kinds: DataFrame, end) -> DataFrame:
+        """Spans of the contexts that occur more than once."""
+        whole = rows.join(kinds.filter("c > 1").select("ch", "lead"), "ch")
+        if keep == "first":
+            whole = whole.filter("struct(ord, dk, s0) <> struct(lead.ord, lead.dk, lead.s0)")
+        return whole.select("dk", F.col("s0").cast("long").alias("s"), end.cast("long").alias("e"))
+
+    def grouped(kinds: DataFrame, name: str) -> tuple[DataFrame, int, bool]:
+        """Anchors with several different contexts; how many contexts arrays will take; whether any anchor has too many."""
+        shared = scratch.keep(kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), name)
+        n = shared.agg(F.sum(F.when(F.col("k") <= most, F.col("k"))).alias("few"), F.max("k").alias("top")).first()
+        return shared, n.few or 0, (n.top or 0) > most
+
+    shape = "ah bigint, ch bigint, dk bigint, ord bigint, s0 bigint, x bigint, ctx binary"
+    runs = scratch.keep(slim.mapInArrow(mark, "ah bigint, ch bigint, dk bigint, ord bigint, s0 int, s1 int, x int"), "runs")
+    kinds = scratch.keep(runs.groupBy("ch").agg(F.first("ah").alias("ah"), F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "dk", "s0", "s1", "x")).alias("lead")), "kinds")
+    spans = equal(runs, kinds, F.col("s1") + F.lit(length))
+    shared, few, crowded = grouped(kinds, "shared")
+    wanted = kinds.join(shared, "ah").select("lead.dk", F.struct("k", "ah", "ch", "lead.dk", "lead.ord", "lead.s0", "lead.s1", "lead.x").alias("w")).groupBy("dk").agg(F.collect_list("w").alias("wanted"))
+    contexts = scratch.keep(slim.select("dk", "_text").join(wanted, "dk").select("_text", "wanted").mapInArrow(fetch, f"k bigint, {shape}"), "contexts")
+
+    width, level = 1 << max(0, ((length - gram) // 2).bit_length() - 1), 0
+    while True:
+        parts = max(slim.sparkSession.sparkContext.defaultParallelism, few * 2 * length // TASK_BYTES)
+        arrays = contexts.filter(F.col("k") <= most).groupBy(F.pmod(F.xxhash64("ah"), F.lit(parts)).alias("part"))
+        spans = spans.union(arrays.applyInPandas(_repeats(length, keep), "dk bigint, s bigint, e bigint"))
+        if not crowded:
+            return spans
+        crowd = contexts.filter(F.col("k") > most).dropDuplicates(["ah", "ch"]).select("dk", "ord", "s0", "x", "ctx")
+        finer = scratch.keep(crowd.mapInArrow(_halves(length, gram, width), shape), f"finer-{level}")
+        kinds = scratch.keep(finer.groupBy("ch").agg(F.first("ah").alias("ah"), F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "dk", "s0")).alias("lead")), f"kinds-{level}")
+        spans = spans.union(equal(finer, kinds, F.col("s0") + F.octet_length("ctx")))
+        shared, few, crowded = grouped(kinds, f"shared-{level}")
+        first = kinds.join(shared, "ah").select("ch", "k", F.col("lead.dk").alias("dk"), F.col("lead.s0").alias("s0"))
+        contexts = scratch.keep(finer.join(first, ["ch", "dk", "s0"]).select("k", "ah", "ch", "dk", "ord", "s0", "x", "ctx"), f"contexts-{level}")
+        width, level = max(1, width // 2), level + 1
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +286,7 @@ def _bytes_of(raw: bytes, s: list[int], e: list[int]) -> tuple[list[int], list[i
     return [int(starts[a]) for a, z in pairs if z > a], [int(starts[z]) for a, z in pairs if z > a]
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: str = "first", carry: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: str = "first", carry: tuple[str, ...] = (), words: int | None = None, most: int = MOST_CONTEXTS) -> DataFrame:
     """``id_col``, ``carry``, n_bytes, n_removed, n_spans, kept (text), kept_sha256; a row per input row."""
     scratch = Scratch(docs.sparkSession, "suffix")
     kind = docs.schema[id_col].dataType
@@ -270,7 +297,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         length, gram = words * CODE, max(1, words // 4) * CODE
         slim = slim.filter(F.octet_length("_text") >= 2 * words - 1).mapInArrow(_coded, "dk bigint, ord bigint, _text binary")
     slim = slim.filter(F.octet_length("_text") >= length)
-    spans = repeated_spans(slim, scratch, length=length, gram=gram, keep=keep)
+    spans = repeated_spans(slim, scratch, length=length, gram=gram, keep=keep, most=most)
     cuts = scratch.keep(spans.groupBy("dk").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("cuts")), "cuts")
     listed = base.join(cuts, "dk", "left").select("_id", "_text", "_more", F.col("cuts.s").alias("s"), F.col("cuts.e").alias("e"))
 
