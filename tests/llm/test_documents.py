@@ -87,8 +87,34 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
 
 
-def test_jaccard_components(docs):
-    rows = [(x[0], shingles(x[1])) for x in awkward()]
+def clusters():
+    """A base with many variants that are alike only through it, chains of near copies, and shared boilerplate."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base, rows = [word() for _ in range(150)], []
+
+    def changed(words, n):
+        out = list(words)
+        for i in r.sample(range(len(out)), n):
+            out[i] = word()
+        return out
+
+    rows += [changed(base, 3) for _ in range(90)] + [base]
+    for _ in range(6):
+        now = [word() for _ in range(120)]
+        for _ in range(8):
+            now = changed(now, 2)
+            rows.append(now)
+    line = [word() for _ in range(60)]
+    rows += [line + [word() for _ in range(r.randint(5, 60))] for _ in range(60)] + [line + [word()] for _ in range(40)]
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("table", "chunk", "block"), [(awkward, 1 << 17, 4096), (clusters, 1 << 17, 4096), (clusters, 40, 16)])
+def test_jaccard_components(spark, table, chunk, block):
+    given = [(x[0], x[1]) for x in table()]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string")
+    rows = [(i, shingles(t)) for i, t in given]
     root = list(range(len(rows)))
 
     def find(i):
@@ -105,7 +131,7 @@ def test_jaccard_components(docs):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
     want = Counter((d, len(s), least.get(find(i), d)) for i, (d, s) in enumerate(rows))
-    assert Counter(map(tuple, ngram_jaccard(docs).collect())) == want
+    assert Counter(map(tuple, ngram_jaccard(docs, chunk=chunk, block=block).collect())) == want
 
 
 def crowded():

@@ -28,6 +28,8 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
         if now == last or not now.n:
             break
         last = now
+    else:
+        raise RuntimeError(f"components aren't settled after {rounds} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
