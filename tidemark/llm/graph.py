@@ -36,6 +36,8 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
 
 def merged(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``labels`` after more links: only the links between different labels are contracted again."""
+    if links.isEmpty():
+        return labels
     ends = links.select("a", "b")
     for side in ("a", "b"):
         known = labels.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))
