@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
-#: Bytes of an Arrow batch on its way to Python, where the session sets no limit; whole texts aren't cut for it.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+#: Bytes of an Arrow batch on its way to Python, where the session has Spark's own limit; texts aren't cut for it.
+BATCH_SETTING, SPARKS_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 16 << 20
 #: Bytes of a row group that a writer holds.
 GROUP_BYTES = 16 << 20
 #: Text handled at once inside a Python worker, in bytes; a longer text is a slice of its own.
@@ -40,7 +40,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-        if int(spark.conf.get(BATCH_SETTING, "0")) not in range(1, 1 << 30):
+        if spark.conf.get(BATCH_SETTING) == SPARKS_LIMIT:
             spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
     def keep(self, df: DataFrame, table: str, partitions: int | None = None) -> DataFrame:
