@@ -10,7 +10,7 @@ import pytest
 from tidemark.llm.jaccard import ngram_jaccard
 from tidemark.llm.mixing import entropy_mix, shares
 from tidemark.llm.packing import best_fit_pack, solve
-from tidemark.llm.rollups import TokenRollup, counted
+from tidemark.llm.rollups import TokenRollup, counted, token_rollup
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.sharding import kd_shards
 from tidemark.llm.suffixes import suffix_dedup
@@ -179,6 +179,21 @@ def test_shards(docs):
     assert Counter(map(tuple, out)) == Counter(map(tuple, kd_shards(docs.repartition(3), shards=5).collect()))
 
 
+def test_shards_are_even_and_keep_equal_texts(spark):
+    r = random.Random(9)
+    texts = ["z" * r.choice([20, 60, 150, 400, 900]) + str(k) for k in range(300)] + ["same" * 40] * 30 + ["y" * 2500, None, ""]
+    docs = spark.createDataFrame([(k, t, r.choice("ab"), r.choice(["en", None])) for k, t in enumerate(texts)], "doc_id bigint, text string, source string, lang string")
+    shards, weight = defaultdict(set), Counter()
+    for x in kd_shards(docs, shards=12).collect():
+        shards[texts[x.doc_id] or ""].add(x.shard)
+        weight[x.shard] += x.size
+    assert all(len(s) == 1 for s in shards.values())
+    mean = sum(weight.values()) / 12
+    assert len(weight) == 12 and max(abs(w - mean) for k, w in weight.items() if k not in shards["same" * 40]) <= 0.12 * mean
+    even = sorted(weight.values())
+    assert even[-2] - even[0] <= 0.05 * mean
+
+
 def test_rollup_batches(spark, docs):
     rollup = TokenRollup(spark, Scratch(spark, "test-rollup").root)
     schema = "op string, seq int, doc_id bigint, source string, lang string, text string"
@@ -189,10 +204,27 @@ def test_rollup_batches(spark, docs):
     second = [("revise", 1, 1, "b", "en", "x y z"), ("delete", 1, 2, None, None, None), ("delete", 1, 99, None, None, None), ("revise", 2, 1, "b", "en", "q")]
     assert rollup.commit("b2", spark.createDataFrame(second, schema))
     assert total() == {("a", "en"): (1, 1), ("b", "en"): (1, 1), (None, "en"): (1, 0)}
+    rollup.compact()
+    assert total() == {("a", "en"): (1, 1), ("b", "en"): (1, 1), (None, "en"): (1, 0)}
+    assert rollup.commit("b3", spark.createDataFrame([("delete", 0, 1, None, None, None), ("insert", 0, 3, "c", "en", "x y")], schema))
+    assert total() == {("a", "en"): (1, 1), ("c", "en"): (1, 2)}
     want = sum(len(e) // 4 for e in encoder().encode([(x[1] or "").encode() for x in awkward()]))
     assert counted(docs.select("doc_id", "source", "lang", "text")).agg({"tokens": "sum"}).first()[0] == want
 
 
+def test_rollup_of_a_table(spark, docs):
+    """Older versions, drafts and deletions leave nothing behind: the totals are those of the table, one row for each id."""
+    rows = {(x[0] if x[0] is not None else -k): x for k, x in enumerate(awkward(), 1)}
+    want = defaultdict(lambda: [0, 0, 0])
+    for x in rows.values():
+        of, raw = want[x[3], x[2], "word_bpe_49k.json"], (x[1] or "").encode()
+        of[0] += 1
+        of[1] += len(encoder().encode([raw])[0]) // 4
+        of[2] += len(raw)
+    assert {(r.source, r.lang, r.tokenizer): [r.documents, r.tokens, r.bytes] for r in token_rollup(docs).collect()} == want
+    assert token_rollup(docs.limit(0)).count() == 0
+
+
 def test_empty_tables(empty):
     for out in (entropy_mix(empty), best_fit_pack(empty), ngram_jaccard(empty), suffix_dedup(empty), kd_shards(empty)):
         assert out.count() == 0

@@ -2,10 +2,14 @@
 
 A batch is a set of changes to documents: ``insert`` and ``revise`` carry a text, ``delete`` none. Against
 the ledger, which holds each document's last counted state, a batch becomes signed rows: what was counted
-is taken off the totals of its source, language and tokenizer version, what is new is put on. Totals are
-sums of signed rows and so never recomputed. A batch is committed by writing its directory under its own
-name: a batch that is there already isn't counted again, and one that broke off leaves no directory (its
-files move there by one rename), so resending is safe.
+is taken off the totals of its source, language and tokenizer version, what is new is put on. A batch writes
+three tables: the state that it leaves its documents in (the ledger's next layer), the signed rows, and
+their sums by group. Totals add the sums of batches, one row for each group of a batch, and never read a
+document's row again; ``compact`` folds layers and sums into one.
+
+A batch is committed by creating one numbered file in the log, with its name and folder. Creating fails if
+the number is taken, so of two writers one is told to try again; a name that is in the log isn't counted
+again, and a batch that broke off before is in no log, so resending is safe.
 
 Defined cases: null text has no tokens; null source or language is a group of its own; a null id can't be
 revised or deleted, its inserts add up; within a batch the last change (by ``seq``) of an id holds, ties by
@@ -14,10 +18,12 @@ text; inserting a known id revises it; deleting an unknown one does nothing; emp
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +32,10 @@ from .tokens import VOCABULARY, token_ids
 
 GROUP = ("source", "lang", "tokenizer")
 MEASURES = ("documents", "tokens", "bytes")
+#: The tokenizer version that the query revises some documents from.
+OLDER = "byte_bpe_50k.json"
+#: The log's name for a layer that stands for all before it.
+COMPACTED = "*compacted*"
 
 
 def counted(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,48 +63,100 @@ class TokenRollup:
         p = self.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def batches(self) -> list[str]:
-        system, p = self._file("deltas")
-        return sorted(s.getPath().getName() for s in system.listStatus(p)) if system.exists(p) else []
-
-    def _deltas(self) -> DataFrame | None:
-        names = self.batches()
-        return self.spark.read.parquet(*(f"{self.path}/deltas/{n}" for n in names)) if names else None
+    def log(self) -> list[tuple[str, str]]:
+        """Name and folder of every committed batch, in order."""
+        system, p = self._file("log")
+        if not system.exists(p):
+            return []
+        rows = self.spark.read.text(f"{self.path}/log/*").select(F.col("_metadata.file_name").alias("file"), "value").orderBy("file").collect()
+        held = [tuple(r.value.split("\t")) for r in rows]
+        if len(held) != len(system.listStatus(p)):
+            raise RuntimeError(f"a file of {self.path}/log is empty: its writer broke off; remove it and send the batch again")
+        return held
+
+    def _layers(self, table: str, log: list[tuple[str, str]]) -> DataFrame | None:
+        start = max((i for i, (name, _) in enumerate(log) if name == COMPACTED), default=0)
+        folders = [f"{self.path}/batches/{folder}/{table}" for _, folder in log[start:]]
+        return self.spark.read.parquet(*folders) if folders else None
+
+    def _commit(self, name: str, number: int, folder: str) -> bool:
+        system, p = self._file(f"log/{number:010d}")
+        try:
+            out = system.create(p, False)
+        except Py4JJavaError:
+            if system.exists(p):
+                return False
+            raise
+        out.write(bytearray(f"{name}\t{folder}\n".encode()))
+        out.close()
+        return True
 
     def commit(self, name: str, changes: DataFrame, vocabulary: str = VOCABULARY) -> bool:
         """Count a batch (op, seq, id, source, lang, text); false if a batch of this name is in already."""
-        system, final = self._file(f"deltas/{name}")
-        if system.exists(final):
+        log = self.log()
+        if any(name == known for known, _ in log):
             return False
         known = changes.select("op", "seq", self.id, "source", "lang", "text")
-        latest = Window.partitionBy(self.id).orderBy(F.desc("seq"), F.desc(F.xxhash64("text", "source", "lang")))
-        keyed = known.filter(F.col(self.id).isNotNull()).withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1").drop("_rn")
+        slim = known.filter(F.col(self.id).isNotNull()).select(self.id, F.struct("seq", F.xxhash64("text", "source", "lang").alias("h")).alias("at"))
+        last = slim.groupBy(self.id).agg(F.max("at").alias("at"))
+        keyed = known.withColumn("at", F.struct("seq", F.xxhash64("text", "source", "lang").alias("h"))).join(last, [self.id, "at"]).dropDuplicates([self.id]).drop("at")
         loose = known.filter(F.col(self.id).isNull() & (F.col("op") != "delete"))
-        kept = counted(keyed.filter("op <> 'delete'").unionByName(loose).drop("op", "seq"), vocabulary, self.id)
-        plus = kept.select(self.id, *GROUP, F.lit(1).cast("long").alias("documents"), "tokens", "bytes")
-        held = self._deltas()
+        folder = uuid.uuid4().hex
+        at = f"{self.path}/batches/{folder}"
+        state = counted(keyed.withColumn("text", F.when(F.col("op") != "delete", F.col("text"))).unionByName(loose).drop("seq"), vocabulary, self.id)
+        gone = F.col("op") == "delete"
+        state.select(self.id, *GROUP, F.when(gone, 0).otherwise(1).cast("long").alias("documents"), "tokens", "bytes", F.lit(len(log)).alias("batch")).write.parquet(f"{at}/state")
+        now = self.spark.read.parquet(f"{at}/state")
+        signed = now.filter("documents > 0").drop("batch")
+        held = self._layers("state", log)
         if held is not None:
-            state = held.filter(F.col(self.id).isNotNull()).groupBy(self.id, *GROUP).agg(*(F.sum(m).alias(m) for m in MEASURES)).filter("documents <> 0")
-            minus = state.join(keyed.select(self.id), self.id, "left_semi").select(self.id, *GROUP, *((-F.col(m)).alias(m) for m in MEASURES))
-            plus = plus.unionByName(minus)
-        draft = f"{self.path}/drafts/{name}"
-        plus.write.mode("overwrite").parquet(draft)
-        system.mkdirs(final.getParent())
-        return bool(system.rename(self.fs.Path(draft), final))
+            ids = now.filter(F.col(self.id).isNotNull()).select(self.id)
+            before = held.join(ids, self.id, "left_semi").groupBy(self.id).agg(F.max(F.struct("batch", *GROUP, "documents", *MEASURES[1:])).alias("x"))
+            minus = before.select(self.id, "x.*").filter("documents > 0").select(self.id, *GROUP, *((-F.col(m)).alias(m) for m in MEASURES))
+            signed = signed.unionByName(minus)
+        signed.write.parquet(f"{at}/signed")
+        self.spark.read.parquet(f"{at}/signed").groupBy(*GROUP).agg(*(F.sum(m).alias(m) for m in MEASURES)).write.parquet(f"{at}/sums")
+        if not self._commit(name, len(log), folder):
+            raise RuntimeError(f"another writer committed batch {len(log)} first; send {name} again")
+        return True
+
+    def compact(self) -> None:
+        """One layer for all: the last state of each id, and the totals."""
+        log, folder = self.log(), uuid.uuid4().hex
+        held = self._layers("state", log)
+        if held is None:
+            return
+        keyed = held.filter(F.col(self.id).isNotNull()).groupBy(self.id).agg(F.max(F.struct("batch", *GROUP, *MEASURES)).alias("x")).select(self.id, "x.*").filter("documents > 0")
+        keyed.select(held.columns).unionByName(held.filter(F.col(self.id).isNull())).write.parquet(f"{self.path}/batches/{folder}/state")
+        self.totals().write.parquet(f"{self.path}/batches/{folder}/sums")
+        if not self._commit(COMPACTED, len(log), folder):
+            raise RuntimeError("another writer committed first; compact again")
 
     def totals(self) -> DataFrame:
         """Documents, tokens and bytes by source, language and tokenizer version."""
-        held = self._deltas()
+        held = self._layers("sums", self.log())
         if held is None:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, documents bigint, tokens bigint, bytes bigint")
         return held.groupBy(*GROUP).agg(*(F.sum(m).alias(m) for m in MEASURES)).filter("documents <> 0")
 
 
-def token_rollup(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """All documents committed as one batch of inserts, sent twice; the totals by group."""
+def token_rollup(docs: DataFrame, vocabulary: str = VOCABULARY, older: str = OLDER, again: int = 16) -> DataFrame:
+    """All documents through every kind of change, ending in the table's own state; the totals by group.
+
+    One in ``again`` of the ids comes first with an older tokenizer version, another with a draft of its text;
+    the load that follows inserts all documents and so revises these. One in ``again`` is inserted under an
+    id of its own and deleted. The load is sent twice.
+    """
     spark = docs.sparkSession
     rollup = TokenRollup(spark, Scratch(spark, "rollup").root)
-    batch = docs.select(F.lit("insert").alias("op"), F.lit(0).alias("seq"), "doc_id", "source", "lang", "text")
-    rollup.commit("load-0", batch, vocabulary)
-    rollup.commit("load-0", batch, vocabulary)
+    slim = docs.select(F.col("doc_id").cast("string"), "source", "lang", "text")
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(again))
+    batch = lambda df, op, seq, text="text": df.select(F.lit(op).alias("op"), F.lit(seq).alias("seq"), "doc_id", "source", "lang", F.expr(text).alias("text"))
+    known = slim.filter("doc_id IS NOT NULL")
+    extra = known.filter(turn == 2).withColumn("doc_id", F.concat(F.lit("extra-"), F.col("doc_id")))
+    rollup.commit("older", batch(known.filter(turn == 0), "insert", 0), older)
+    rollup.commit("drafts", batch(known.filter(turn == 1), "insert", 0, "concat(text, ' draft')").unionByName(batch(extra, "insert", 0)), vocabulary)
+    load = batch(slim, "insert", 1).unionByName(batch(extra, "delete", 2, "cast(null AS string)"))
+    rollup.commit("load", load, vocabulary)
+    rollup.commit("load", load, vocabulary)
     return rollup.totals()

@@ -1,10 +1,12 @@
 """K-d tree sharding: leaves of near-equal bytes over the metadata of documents.
 
-Points are groups of equal texts, which stay together unless a group outweighs a fixed part of a shard;
-then its documents are points of their own. Each node is cut along the dimension (source, language,
+Points are groups of equal texts, which always stay together (a group that outweighs a shard makes its leaf
+larger than the rest). Each node is cut along the dimension (source, language,
 size, id) in which it is widest, at the weighted place that gives both sides their share of shards. The
 place is found by narrowing histograms: each round is one distributed sum over at most ``BINS`` ranges of
-each open node, so the driver holds at most shards x BINS numbers. Ties along a dimension are cut by hash.
+each open node, so the driver holds at most shards x BINS numbers. Ties along a dimension are cut by hash. Where points are large
+for a leaf, cuts can't be even; the leaves are then repaired: the driver sees the ``MOVABLE`` largest points of
+each leaf that may help and moves them from full leaves to empty ones as long as that evens them out.
 
 Defined cases: null text weighs as empty text, with checksum 0; null metadata counts as the empty string,
 a null id as 0; repeated rows are kept as rows; an empty table gives no rows.
@@ -12,15 +14,18 @@ a null id as 0; repeated rows are kept as rows; an empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import Scratch, numbered
 
 BINS, TIE_BITS, GRID_BITS = 512, 38, 24
+#: Points of a leaf that one round of repair may move, and rounds.
+MOVABLE, REPAIRS = 48, 4
 #: Bytes a row weighs besides its text.
 ROW_BYTES = 16
 DIMENSIONS = ("d_source", "d_lang", "d_size", "d_id")
@@ -110,7 +115,55 @@ def grow(points: DataFrame, shards: int) -> Node:
             x.low, x.high = Node(x.shards // 2, x.first), Node(x.shards - x.shards // 2, x.first + x.shards // 2)
 
 
-def kd_shards(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", heavy: float = 0.125) -> DataFrame:
+def moves(weights: dict[int, int], points: dict[int, list[tuple[int, int]]]) -> dict[int, int]:
+    """Which points (weight, key) go to which leaf so that the leaves' weights come closer."""
+    weights, where, found = dict(weights), {k: sorted(v) for k, v in points.items()}, {}
+    while True:
+        order = sorted(weights, key=lambda k: (weights[k], k))
+        best = None
+        for full in order[::-1][:4]:
+            for bare in order[:4]:
+                gap = weights[full] - weights[bare]
+                at = bisect_left(where.get(full, []), (gap // 2 + 1, -(1 << 63)))
+                for i in (at - 1, at):
+                    if 0 <= i < len(where.get(full, [])) and 0 < where[full][i][0] < gap:
+                        w = where[full][i][0]
+                        gain = weights[full] ** 2 + weights[bare] ** 2 - (weights[full] - w) ** 2 - (weights[bare] + w) ** 2
+                        best = max(best or (0,), (gain, full, bare, i))
+        if not best:
+            return found
+        _, full, bare, i = best
+        w, key = where[full].pop(i)
+        weights[full] -= w
+        weights[bare] += w
+        insort(where.setdefault(bare, []), (w, key))
+        found[key] = bare
+
+
+def _repaired(placed: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
+    """Points (pid, weight, shard) with a better shard for some."""
+    for i in range(REPAIRS):
+        weights = {k: 0 for k in range(shards)} | {r.shard: int(r.w) for r in placed.groupBy("shard").agg(F.sum("weight").alias("w")).collect()}
+        mean = sum(weights.values()) / shards
+        if max(abs(w - mean) for w in weights.values()) <= 0.002 * mean:
+            break
+        spare = placed.sparkSession.createDataFrame([(k, w - min(weights.values())) for k, w in weights.items()], "shard int, spare long")
+        able = placed.join(F.broadcast(spare), "shard").filter("weight < spare")
+        sizes = Window.partitionBy("shard").orderBy(F.desc("weight"), "pid")
+        spread = Window.partitionBy("shard").orderBy(F.xxhash64("pid", F.lit(i)), "pid")
+        points: dict[int, list[tuple[int, int]]] = {}
+        for window in (sizes, spread):
+            for r in able.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= MOVABLE).collect():
+                points.setdefault(r.shard, []).append((r.weight, r.pid))
+        found = moves(weights, {k: list(set(v)) for k, v in points.items()})
+        if not found:
+            break
+        to = placed.sparkSession.createDataFrame(list(found.items()), "pid long, _to int")
+        placed = scratch.keep(placed.join(F.broadcast(to), "pid", "left").withColumn("shard", F.coalesce("_to", "shard")).drop("_to"), f"repaired-{i}")
+    return placed
+
+
+def kd_shards(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """``id_col``, size, text_crc32, law, shard, slot, grown_shard; a row per input row."""
     scratch = Scratch(docs.sparkSession, "shard")
     body = F.coalesce(F.col(text_col), F.lit(""))
@@ -119,31 +172,17 @@ def kd_shards(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text
         F.col(id_col).alias("_id"), (F.octet_length(body).cast("long") + ROW_BYTES).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("th"),
         _code(F.col(source_col)).alias("d_source"), _code(F.col(lang_col)).alias("d_lang"), number.alias("d_id"),
     )
-    slim = scratch.keep(slim.withColumn("d_size", F.log2(F.col("size"))), "slim")
-    same = ["th", "text_crc32", "size"]
-    groups = scratch.keep(slim.groupBy(*same).agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n"), *(F.min(d).alias(d) for d in DIMENSIONS)), "groups")
-    ends = groups.agg(F.sum("weight").alias("w"), *(F.min(d).alias(f"lo_{d}") for d in DIMENSIONS), *(F.max(d).alias(f"hi_{d}") for d in DIMENSIONS)).first()
-    large = F.col("weight") > heavy * (ends.w or 0) / shards
-
-    def keyed(df: DataFrame, tie: Column) -> DataFrame:
-        grid = (1 << GRID_BITS) - 1
-        keys = {}
-        for d in DIMENSIONS:
-            low, wide = ends[f"lo_{d}"] or 0.0, (ends[f"hi_{d}"] or 0.0) - (ends[f"lo_{d}"] or 0.0)
-            at = F.least(F.greatest((F.col(d) - low) / wide, F.lit(0.0)), F.lit(1.0)) if wide > 0 else F.lit(0.0)
-            keys[f"k_{d}"] = F.floor(at * grid).cast("long") * (1 << TIE_BITS) + F.pmod(F.xxhash64(tie, F.lit(d)), F.lit(1 << TIE_BITS))
-        return df.withColumns(keys)
-
-    heavies = groups.filter(large).select(*same)
-    each = slim.join(heavies, same, "left_semi")
-    points = keyed(groups.filter(~large), F.col("th")).select("weight", "n", *(f"k_{d}" for d in DIMENSIONS)).unionByName(
-        keyed(each, F.xxhash64("th", "_id")).select(F.col("size").alias("weight"), F.lit(1).cast("long").alias("n"), *(f"k_{d}" for d in DIMENSIONS))
-    )
-    tree = grow(scratch.keep(points, "points"), shards)
-    whole = groups.select(*same, large.alias("large"), *(F.col(d).alias(f"g_{d}") for d in DIMENSIONS))
-    joined = slim.join(whole, same)
-    own = joined.withColumns({d: F.when(F.col("large"), F.col(d)).otherwise(F.col(f"g_{d}")) for d in DIMENSIONS})
-    placed = keyed(own, F.when(F.col("large"), F.xxhash64("th", "_id")).otherwise(F.col("th"))).select("_id", "size", "text_crc32", "th", _leaf(tree).alias("shard"))
-    return numbered(placed, ["shard"], ["_id", "th"], "slot").select(
+    slim = scratch.keep(slim.withColumn("d_size", F.log2(F.col("size"))).withColumn("pid", F.xxhash64("th", "text_crc32", "size")), "slim")
+    groups = scratch.keep(slim.groupBy("pid").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n"), *(F.min(d).alias(d) for d in DIMENSIONS)), "groups")
+    ends = groups.agg(*(F.min(d).alias(f"lo_{d}") for d in DIMENSIONS), *(F.max(d).alias(f"hi_{d}") for d in DIMENSIONS)).first()
+    grid, keys = (1 << GRID_BITS) - 1, {}
+    for d in DIMENSIONS:
+        low, wide = ends[f"lo_{d}"] or 0.0, (ends[f"hi_{d}"] or 0.0) - (ends[f"lo_{d}"] or 0.0)
+        at = F.least(F.greatest((F.col(d) - low) / wide, F.lit(0.0)), F.lit(1.0)) if wide > 0 else F.lit(0.0)
+        keys[f"k_{d}"] = F.floor(at * grid).cast("long") * (1 << TIE_BITS) + F.pmod(F.xxhash64("pid", F.lit(d)), F.lit(1 << TIE_BITS))
+    points = scratch.keep(groups.withColumns(keys).select("pid", "weight", "n", *(f"k_{d}" for d in DIMENSIONS)), "points")
+    placed = _repaired(scratch.keep(points.select("pid", "weight", _leaf(grow(points, shards)).alias("shard")), "leaves"), shards, scratch)
+    joined = slim.select("_id", "size", "text_crc32", "th", "pid").join(placed.select("pid", "shard"), "pid")
+    return numbered(joined, ["shard"], ["_id", "th"], "slot").select(
         F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
