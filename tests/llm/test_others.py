@@ -1,12 +1,14 @@
 """Vectors, pages and toxicity: brute force, held-out accuracy, awkward rows."""
 
+import itertools
 import math
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm.html import default_model, labelled_pages, main_text, train, tree
+from tidemark.llm.html import Model, default_model, labelled_pages, main_text, train, tree
 from tidemark.llm.neighbours import embedding_dedup
 from tidemark.llm.topk import voronoi_topk
 from tidemark.llm.toxicity import BlockMaxIndex, toxicity
@@ -72,6 +74,28 @@ def test_held_out_pages():
     assert sum(default_model().text(p) == main for p, main in pages) >= 0.85 * len(pages)
 
 
+def test_marginals_against_enumeration():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 9, 12):
+        model = Model({}, (float(r.normal(-2, 1)), float(r.normal(0, 1))))
+        parent, own = [-1] + [int(r.integers(0, v)) for v in range(1, n)], r.normal(0, 2, n).tolist()
+        held, total = np.zeros(n), 0.0
+        for labels in itertools.product((1,), *[(0, 1)] * (n - 1)):
+            weight = math.exp(sum(e for e, y in zip(own, labels) if y) + sum(model.under[labels[parent[v]]] for v in range(1, n) if labels[v]))
+            held += weight * np.array(labels)
+            total += weight
+        assert np.allclose(model.marginals(parent, own), held / total)
+
+
+def test_hostile_pages_take_linear_time():
+    n = 1 << 20
+    pages = ["<a" * (n // 2), "<p>x</b></i></div>" * (n // 18), "<div>" * (n // 5) + "</p>" * 100_000, '<a "x>' * (n // 6), "<a '\"" * (n // 5) + ">", "<i>" * (n // 6) + "<div></div>" * (n // 22) + "</i>" * 1000, "<ul>" + "<center>" * (n // 16) + "<li></li>" * (n // 18), "<!--" * (n // 4), "<script>" * (n // 8)]
+    for page in pages:
+        begin = time.process_time()
+        tree(page)
+        assert time.process_time() - begin < 8, page[:30]
+
+
 def test_broken_markup():
     m = default_model()
     page = '<body><nav><a href="/">Home</a></nav><article><h1>A&amp;B &lt;x&gt;</h1><p><b>One.<br><p>Two  \n three.</p><script>var a="</p>";</script><!-- no --><p>fo<i>ur</i>.</article><footer>&copy; me</footer>'

@@ -6,9 +6,11 @@ class and id words, or, for leaves, of length, share of link text and punctuatio
 make neighbours in the tree agree. Sum-product messages, once upward and once downward, give the exact
 marginal of every node, and the leaves more likely content than not are the main text, in page order.
 
-The evidence is trained from labelled pages, pairs of a page and its main text, by logistic regression of
-the labels of nodes whose parents hold content. ``labelled_pages`` writes a bounded set of such pages (``TRAINING_PAGES``); others can
-be given. Scripts, styles and other raw text never become nodes.
+Evidence and parent-child potentials are trained together from labelled pages, pairs of a page and its main
+text: each step raises the likelihood of the labels of whole trees, by the gap between what is labelled and
+the marginals. ``labelled_pages`` writes a bounded set of such pages (``TRAINING_PAGES``); others can be given.
+Scripts, styles and other raw text never become nodes. A page is read once from left to right, in time in
+proportion to its length, however broken or deep it is.
 
 Defined cases: null or empty html has no text; broken markup is read as far as it goes (unclosed elements
 end with their parent, stray ends are ignored, an open comment or script runs to the end); rows that
@@ -30,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAINING_PAGES = 600
+#: Share of training pages without anything around a short text.
+BARE = 0.15
 #: Features that a node has at once, about; damps the joint steps of training.
 SHARED = 6
 #: Features met less often in training have no weight.
@@ -42,27 +46,48 @@ ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dial
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table menu body article section div".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/<>]*+")
+_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
+def _tag_end(page: str, at: int, failed: set[int]) -> int:
+    """Where the tag that is open at ``at`` ends: behind the first ``>`` outside quotes, or the first at all; 0 without any.
+
+    ``failed`` holds closing quotes that no such ``>`` follows, so that none is looked behind twice.
+    """
+    seen, pos = [], at
+    while (m := _STOP.search(page, pos)) is not None:
+        if m[0] == ">":
+            return m.end()
+        close = page.find(m[0], m.end())
+        if close < 0 or close in failed:
+            break
+        seen.append(close)
+        pos = close + 1
+    failed.update(seen)
+    return page.find(">", at) + 1
+
+
 def tree(page: str) -> tuple[list[int], list[str], list[tuple[str, int] | None]]:
     """Parent, description and (text, characters in links) of each node; elements have no text."""
     parent, kind, leaf = [-1], ["html "], [None]
-    stack: list[tuple[str, int, bool]] = [("html", 0, True)]  # tag, node, block
+    stack: list[tuple[str, int]] = [("html", 0)]  # tag and node; inline elements have no node
+    where: dict[str, list[int]] = {}  # depths at which a tag is open
+    blocks, scopes = [0], [0]  # depths of block elements, and of those that siblings can't be closed through
     run: list[str] = []
-    in_link = links = 0
+    links = 0
+    failed: set[int] = set()
 
     def flush() -> None:
         nonlocal links
         if run:
             text = " ".join("".join(run).split())
             if text:
-                owner = next(n for _, n, block in reversed(stack) if block)
-                parent.append(owner)
+                parent.append(stack[blocks[-1]][1])
                 kind.append("")
                 leaf.append((text, links))
             run.clear()
@@ -72,73 +97,84 @@ def tree(page: str) -> tuple[list[int], list[str], list[tuple[str, int] | None]]
         nonlocal links
         text = unescape(raw) if "&" in raw else raw
         run.append(text)
-        if in_link:
+        if where.get("a"):
             links += len(text)
 
+    def push(tag: str, node: int) -> None:
+        where.setdefault(tag, []).append(len(stack))
+        if node >= 0:
+            blocks.append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
+        stack.append((tag, node))
+
     def close(depth: int) -> None:
-        nonlocal in_link
-        if any(block for _, _, block in stack[depth:]):
+        if blocks[-1] >= depth:
             flush()
-        for tag, _, _ in stack[depth:]:
-            in_link -= tag == "a"
-        del stack[depth:]
-
-    at, n = 0, len(page)
+        while len(stack) > depth:
+            where[stack.pop()[0]].pop()
+        while blocks[-1] >= depth:
+            blocks.pop()
+        while scopes[-1] >= depth:
+            scopes.pop()
+
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             say(page[at:])
             break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        ends, tag, more = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        if start > at:
+            say(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            at = n if end < 0 else end + 1
+            continue
+        m = _NAME.match(page, start + 1)
+        if m is None or start > last:
+            say("<")
+            at = start + 1
             continue
-        tag = tag.lower()
-        if ends:
-            inline = tag in INLINE
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if inline and stack[depth][2]:
-                    break
-            else:
-                if not inline:
-                    flush()
+        at = _tag_end(page, m.end(), failed)
+        if not at:
+            say("<")
+            at = start + 1
+            continue
+        tag, more = m[0].lower(), page[m.end() : at - 1]
+        if tag[0] == "/":
+            tag = tag[1:]
+            open_ = where.get(tag)
+            if open_ and (tag not in INLINE or open_[-1] > blocks[-1]):
+                close(open_[-1])
+            elif tag not in INLINE:
+                flush()
             continue
         if tag in RAW:
             stop = None if more.endswith("/") and tag in ("svg", "math", "canvas") else _END[tag].search(page, at)
             at = n if stop is None else stop.end()
             continue
         if tag in ENDS_PARAGRAPH:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    close(depth)
-                    break
-                if stack[depth][2]:
-                    break
+            if stack[blocks[-1]][0] == "p":
+                close(blocks[-1])
         elif tag in SIBLINGS:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in SIBLINGS[tag]:
-                    close(depth)
-                    break
-                if stack[depth][0] in SCOPES:
-                    break
+            depth = max((where[t][-1] for t in SIBLINGS[tag] if where.get(t)), default=0)
+            if depth > scopes[-1]:
+                close(depth)
         if tag in INLINE:
             if tag not in VOID and not more.endswith("/"):
-                stack.append((tag, -1, False))
-                in_link += tag == "a"
+                push(tag, -1)
             continue
         flush()
         if tag in VOID or more.endswith("/"):
             continue
-        owner = next(x for _, x, block in reversed(stack) if block)
-        parent.append(owner)
+        parent.append(stack[blocks[-1]][1])
         kind.append(f"{tag} {more}" if more else f"{tag} ")
         leaf.append(None)
-        stack.append((tag, len(parent) - 1, True))
+        push(tag, len(parent) - 1)
     flush()
     return parent, kind, leaf
 
@@ -176,22 +212,20 @@ def _below(parent: list[int], leaf: list) -> list[list[int]]:
 
 
 class Model:
-    """Evidence weights of features, and the parent-child potential.
+    """Evidence weights of features, and the parent-child potentials.
 
-    A parent without content has no child with content, but for a factor ``exp(-barrier)``; under a parent
-    with content both labels are open. What children say about their parent counts by ``trust``, as
-    siblings aren't independent witnesses.
+    ``under[k]`` is the log potential of content, against none, of a child whose parent has label k.
     """
 
-    def __init__(self, weights: dict[str, float], barrier: float = 8.0, trust: float = 0.15):
-        self.weights, self.barrier, self.trust = weights, barrier, trust
+    def __init__(self, weights: dict[str, float], under: tuple[float, float] = (-8.0, 0.0)):
+        self.weights, self.under = weights, under
         self.known: dict[str, float] = {}
 
     def evidence(self, features: Iterable[str]) -> float:
         return sum(self.weights.get(f, 0.0) for f in features)
 
-    def marginals(self, parent: list[int], kind: list[str], leaf: list) -> list[float]:
-        """Probability that each node holds content, by messages up and down the tree."""
+    def potentials(self, parent: list[int], kind: list[str], leaf: list) -> list[float]:
+        """Each node's own log odds of content."""
         total = []
         for k, x, under in zip(kind, leaf, _below(parent, leaf)):
             if x is not None:
@@ -202,22 +236,24 @@ class Model:
                     self.known.clear()
                 self.known[k] = self.evidence(element_features(k))
             total.append(self.known[k] + self.evidence(subtree_features(*under)))
-        up = [0.0] * len(total)
+        return total
+
+    def marginals(self, parent: list[int], own: list[float]) -> list[float]:
+        """Probability that each node holds content, given that the page does, by messages up and down the tree."""
+        total, (without, with_) = list(own), self.under
         for v in range(len(total) - 1, 0, -1):
-            up[v] = self.trust * (_soft(total[v]) - _soft(total[v] - self.barrier) - math.log(2))
-            total[parent[v]] += up[v]
-        rare = math.exp(-self.barrier)
-        p = [1.0] * len(total)
+            total[parent[v]] += _soft(total[v] + with_) - _soft(total[v] + without)
+        p = [1.0]
         for v in range(1, len(total)):
             above = p[parent[v]]
-            p[v] = above / (1 + math.exp(-max(-60.0, min(60.0, total[v])))) + (1 - above) * rare
+            p.append(above * _sigmoid(total[v] + with_) + (1 - above) * _sigmoid(total[v] + without))
         return p
 
     def text(self, page: str | None) -> str:
         if not page:
             return ""
         parent, kind, leaf = tree(page)
-        odds = self.marginals(parent, kind, leaf)
+        odds = self.marginals(parent, self.potentials(parent, kind, leaf))
         return " ".join(x[0] for x, o in zip(leaf, odds) if x is not None and o > 0.5)
 
 
@@ -226,32 +262,57 @@ def _soft(h: float) -> float:
     return h if h > 30 else math.log1p(math.exp(max(h, -700.0)))
 
 
-def train(pages: Iterable[tuple[str, str]], steps: int = 600, decay: float = 1.0) -> Model:
-    """Weights from pages with their main texts: the label of each node whose parent holds content, by its features."""
-    rows, labels = [], []
+def _sigmoid(h: float) -> float:
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, h))))
+
+
+def _labels(parent: list[int], leaf: list, main: str) -> list[bool]:
+    """Leaves that stand in the main text, in order, and the nodes above them."""
+    good, at = [False] * len(parent), 0
+    for v, x in enumerate(leaf):
+        if x is not None and 0 <= (found := main.find(x[0], at)) <= at + 1:
+            good[v], at = True, found + len(x[0])
+    for v in range(len(parent) - 1, 0, -1):
+        good[parent[v]] |= good[v]
+    return good
+
+
+def train(pages: Iterable[tuple[str, str]], steps: int = 400, decay: float = 1.0) -> Model:
+    """Evidence and potentials of the greatest likelihood of whole labelled trees, with a Gaussian prior."""
+    rows, labels, above, depth = [], [], [], []
     for page, main in pages:
         parent, kind, leaf = tree(page)
-        good, at = [False] * len(parent), 0
-        for v, x in enumerate(leaf):
-            if x is not None and 0 <= (found := main.find(x[0], at)) <= at + 1:
-                good[v], at = True, found + len(x[0])
-        for v in range(len(parent) - 1, 0, -1):
-            good[parent[v]] |= good[v]
+        first = len(rows)
+        labels += _labels(parent, leaf, main)
         for v, under in enumerate(_below(parent, leaf)):
-            if v and good[parent[v]]:
-                rows.append([*element_features(kind[v]), *subtree_features(*under)] if leaf[v] is None else leaf_features(*leaf[v]))
-                labels.append(good[v])
+            rows.append([*element_features(kind[v]), *subtree_features(*under)] if leaf[v] is None else leaf_features(*leaf[v]))
+            above.append(first + parent[v] if v else -1)
+            depth.append(depth[first + parent[v]] + 1 if v else 0)
     often = Counter(f for r in rows for f in r)
     names = {f: i for i, f in enumerate(sorted(f for f in often if often[f] >= RARE))}
     rows = [[f for f in r if f in names] for r in rows]
     i = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     j = np.array([names[f] for r in rows for f in r], np.int64)
-    y, w = np.array(labels, float), np.zeros(len(names))
-    bend = np.bincount(j, minlength=len(names)) * SHARED / 4 + decay
+    y, up, depth = np.array(labels, float), np.array(above, np.int64), np.array(depth)
+    levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+    child = np.flatnonzero(up >= 0)
+    squash = lambda h: 1 / (1 + np.exp(-np.clip(h, -60, 60)))
+    w, under = np.zeros(len(names)), np.array([-4.0, 0.0])
+    bend, speed = np.bincount(j, minlength=len(names)) * SHARED / 4 + decay, np.zeros(len(names))
     for _ in range(steps):
-        gap = y - 1 / (1 + np.exp(-np.clip(np.bincount(i, w[j], minlength=len(rows)), -30, 30)))
-        w += (np.bincount(j, gap[i], minlength=len(names)) - decay * w) / bend
-    return Model({f: float(w[k]) for f, k in names.items()})
+        h = np.bincount(i, w[j], minlength=len(rows))
+        for level in levels[::-1]:
+            np.add.at(h, up[level], np.logaddexp(0, h[level] + under[1]) - np.logaddexp(0, h[level] + under[0]))
+        p, low, high = squash(h), squash(h + under[0]), squash(h + under[1])
+        p[up < 0] = y[up < 0]
+        for level in levels:
+            p[level] = p[up[level]] * high[level] + (1 - p[up[level]]) * low[level]
+        speed = 0.5 * speed + (np.bincount(j, (y - p)[i], minlength=len(names)) - decay * w) / bend
+        w += speed
+        pu, yu = p[up[child]], y[up[child]]
+        gap = np.array([((1 - yu) * y[child] - (1 - pu) * low[child]).sum(), (yu * y[child] - pu * high[child]).sum()])
+        under += (gap - decay * under) / (np.array([(1 - yu).sum(), yu.sum()]) / 2 + decay)
+    return Model({f: float(w[k]) for f, k in names.items()}, (float(under[0]), float(under[1])))
 
 
 def labelled_pages(count: int = TRAINING_PAGES, seed: int = 5) -> Iterator[tuple[str, str]]:
@@ -322,6 +383,11 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 5) -> Iterator[tuple
                 return box("figure", "", '<img src="x.png">' + box("figcaption", "", keep(phrase(3, 10))))
             return box("table", "", "".join(box("tr", "", "".join(box("td", "", keep(phrase(1, 4))) for _ in range(2))) for _ in range(3)))
 
+        if r.random() < BARE:  # a page of little more than a note
+            inside = "".join(box("p", "", (main.append(t := phrase(2, 14) + r.choice([".", "", "!"])) or t)) for _ in range(r.choice([1, 1, 2, 3])))
+            page = r.choice([lambda: box("article", "", inside), lambda: box("main", "", inside), lambda: inside, lambda: box("div", named("content", "article", "post", "main"), inside)])()
+            yield f"<html><body>{page}</body></html>", " ".join(main)
+            continue
         head = box("h1", "", (main.append(h := phrase(2, 9)) or h)) if r.random() < 0.85 else ""
         blocks = [prose_block() for _ in range(r.choice([1, 2, 3, 6, 10, 16]))]
         for kind in ("ad", "notice", "form", "share", "aside"):
@@ -353,10 +419,10 @@ def default_model() -> Model:
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Model | None = None) -> DataFrame:
     """``id_col``, ``url_col``, text, n_chars; a row per input row."""
     used = model or default_model()
-    weights, barrier, trust = used.weights, used.barrier, used.trust
+    weights, under = used.weights, used.under
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(weights, barrier, trust)
+        own = Model(weights, under)
         for b in batches:
             for start in range(0, b.num_rows, 500):
                 part = b.slice(start, 500)
