@@ -16,7 +16,7 @@ BATCH_SETTING, SPARKS_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPe
 #: Bytes of a row group that a writer holds.
 GROUP_BYTES = 16 << 20
 #: Text handled at once inside a Python worker, in bytes; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
