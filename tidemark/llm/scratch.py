@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 #: Bytes of an Arrow batch on its way to Python, where the session has Spark's own limit; texts aren't cut for it.
-BATCH_SETTING, SPARKS_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 16 << 20
+BATCH_SETTING, SPARKS_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 #: Bytes of a row group that a writer holds.
 GROUP_BYTES = 16 << 20
 #: Text handled at once inside a Python worker, in bytes; a longer text is a slice of its own.
@@ -74,6 +75,12 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[at[0] : at[-1]] if len(at) else held[:0], at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the machine, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
+
 def slices(batches, text: str, most: int = SLICE_BYTES):
     """Cut record batches so that each has at most ``most`` bytes of text, or a single row."""
     for batch in batches:
@@ -86,6 +93,7 @@ def slices(batches, text: str, most: int = SLICE_BYTES):
             end = max(start + 1, int(np.searchsorted(at, at[start] + most, side="right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    release()
 
 
 _SPACE = np.zeros(256, bool)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import mix, powers, prefix_hash
-from .scratch import Scratch, flat, slices, words as words_of
+from .scratch import Scratch, flat, release, slices, words as words_of
 
 LENGTH, GRAM = 400, 100
 #: Different contexts of one anchor that one suffix array takes; with more, the anchor is refined.
@@ -174,6 +174,7 @@ def _repeats(length: int, keep: str):
                 out.append((np.full(len(s), order[k, 1]), s + order[k, 2], e + order[k, 2]))
             lo = hi
         dk, s, e = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        release()
         return pd.DataFrame({"dk": dk, "s": s, "e": e})
 
     return run
