@@ -56,6 +56,13 @@ def test_links_in_a_dense_region(spark):
         assert {r.vec_id: r.n_links for r in out} == dict(enumerate(want.tolist()))
 
 
+def test_vectors_of_any_length_and_clashing_names(spark):
+    schema = "vec_id bigint, embedding array<double>, c string, v int, n_links int"
+    rows = [(1, [1e200, 0.0], "a", 1, 1), (2, [1e-200, 1e-202], "b", None, 1), (3, [0.0, -1e-300], None, 1, 1), (None, [2.0, 0.0], "c", 1, 1), (2, [5.0, 0.0], "d", 1, 1), (7, [0.0, 0.0, 1.0], "e", 1, 1)]
+    out = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in embedding_dedup(spark.createDataFrame(rows, schema)).collect())
+    assert out == [(0, 3, 1), (1, 3, 1), (2, 3, 1), (2, 3, 1), (3, 0, 3), (7, 0, 7)]
+
+
 def test_topk_is_exact(spark):
     rows = vectors()
     out = voronoi_topk(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0, k=5, pivots=6).collect()
@@ -148,6 +155,8 @@ def test_toxicity_learns_and_holds_out(spark):
     held = [r for r in out if r.held_out and r.doc_id in truth]
     assert held and all(r.predicted == truth[r.doc_id] for r in held)
     assert all(0 <= r.score <= 1 for r in out) and len(out) == len(rows)
+    clash = toxicity(spark.createDataFrame(rows, "doc_id bigint, text string, Score string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert clash.columns == ["doc_id", "text", "held_out", "score", "predicted", "nearest"] and dict(clash.dtypes)["score"] == "double"
     none = toxicity(spark.createDataFrame(rows[:9], "doc_id bigint, text string, score_was string"), spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert {r.predicted for r in none.collect()} == {0}
 

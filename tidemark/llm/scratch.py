@@ -56,11 +56,6 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def buckets(spark: SparkSession, times: int = 4) -> int:
-    """How many hash buckets binary blocks are dealt to; follows the session's shuffle partitions."""
-    return max(8, times * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -139,27 +134,3 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "pos"
         .withColumn(name, F.col("_off") + F.col("_rn") - 1)
         .drop("_h", "_salt", "_rn", "_off")
     )
-
-
-#: Bits of a membership filter: 2 MB, whatever the data. A fuller filter lets more through, never less.
-FILTER_BITS = 1 << 24
-
-
-def filter_of(keys: DataFrame, key: str):
-    """Broadcast bitmap in which every 64-bit ``key`` has its two bits; nothing else grows with the data."""
-    low, high = f"{key} & {FILTER_BITS - 1}L", f"shiftrightunsigned({key}, 32) & {FILTER_BITS - 1}L"
-    bits = keys.select(F.expr(f"explode(array({low}, {high}))").alias("bit"))
-    rows = bits.groupBy(F.expr("cast(shiftright(bit, 5) AS int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 AS int)))").alias("m")).toPandas()
-    table = np.zeros(FILTER_BITS // 32, np.uint32)
-    table[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64).astype(np.uint32)
-    return keys.sparkSession.sparkContext.broadcast(table)
-
-
-def maybe(table: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Which 64-bit keys may have been put into the filter."""
-    x = key.view(np.uint64) if key.dtype == np.int64 else key
-    ok = np.ones(len(x), bool)
-    for bit in (x & np.uint64(FILTER_BITS - 1), (x >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)):
-        bit = bit.astype(np.int64)
-        ok &= (table[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1) == 1
-    return ok

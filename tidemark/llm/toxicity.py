@@ -245,10 +245,16 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """All columns of ``docs`` and held_out, score, predicted, nearest (ids of examples); a row per input row."""
+    """All columns of ``docs`` and held_out, score, predicted, nearest (ids of examples); a row per input row.
+
+    A column of ``docs`` with one of these four names gives way to them. Ids are whole numbers.
+    """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers")
+    given = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted", "nearest")]
     model = spark.sparkContext.broadcast(fit(docs, labels, Scratch(spark, "toxic"), id_col, text_col, label_col))
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
+    packed = docs.select(F.struct(*given).alias("_row"), F.col(text_col).alias("_text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, index = model.value
