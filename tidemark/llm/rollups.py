@@ -13,7 +13,8 @@ again, and a batch that broke off before is in no log, so resending is safe.
 
 Defined cases: null text has no tokens; null source or language is a group of its own; a null id can't be
 revised or deleted, its inserts add up; within a batch the last change (by ``seq``) of an id holds, ties by
-text; inserting a known id revises it; deleting an unknown one does nothing; empty batches commit nothing.
+a hash of text, source and language, then by ``op``; inserting a known id revises it; deleting an unknown
+one does nothing; empty batches commit nothing.
 """
 
 from __future__ import annotations
@@ -96,16 +97,16 @@ class TokenRollup:
         log = self.log()
         if any(name == known for known, _ in log):
             return False
-        known = changes.select("op", "seq", self.id, "source", "lang", "text")
-        slim = known.filter(F.col(self.id).isNotNull()).select(self.id, F.struct("seq", F.xxhash64("text", "source", "lang").alias("h")).alias("at"))
-        last = slim.groupBy(self.id).agg(F.max("at").alias("at"))
-        keyed = known.withColumn("at", F.struct("seq", F.xxhash64("text", "source", "lang").alias("h"))).join(last, [self.id, "at"]).dropDuplicates([self.id]).drop("at")
-        loose = known.filter(F.col(self.id).isNull() & (F.col("op") != "delete"))
+        gone, has_id = F.col("op") == "delete", F.col(self.id).isNotNull()
+        known = changes.select("op", "seq", self.id, "source", "lang", "text").withColumn("h", F.xxhash64("text", "source", "lang"))
+        # Counting comes before the shuffle, so that no text goes through it.
+        count = lambda df: counted(df.withColumn("text", F.when(~gone, F.col("text"))), vocabulary, self.id)
+        rest = ("op", *GROUP, *MEASURES[1:])
+        keyed = count(known.filter(has_id)).groupBy(self.id).agg(F.max(F.struct("seq", "h", *rest)).alias("x")).select(self.id, *(f"x.{c}" for c in rest))
+        loose = count(known.filter(~has_id & ~gone)).select(self.id, *rest)
         folder = uuid.uuid4().hex
         at = f"{self.path}/batches/{folder}"
-        state = counted(keyed.withColumn("text", F.when(F.col("op") != "delete", F.col("text"))).unionByName(loose).drop("seq"), vocabulary, self.id)
-        gone = F.col("op") == "delete"
-        state.select(self.id, *GROUP, F.when(gone, 0).otherwise(1).cast("long").alias("documents"), "tokens", "bytes", F.lit(len(log)).alias("batch")).write.parquet(f"{at}/state")
+        keyed.unionByName(loose).select(self.id, *GROUP, F.when(gone, 0).otherwise(1).cast("long").alias("documents"), "tokens", "bytes", F.lit(len(log)).alias("batch")).write.parquet(f"{at}/state")
         now = self.spark.read.parquet(f"{at}/state")
         signed = now.filter("documents > 0").drop("batch")
         held = self._layers("state", log)
