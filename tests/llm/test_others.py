@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.html import Model, default_model, labelled_pages, main_text, train, tree
 from tidemark.llm.neighbours import embedding_dedup
 from tidemark.llm.topk import voronoi_topk
-from tidemark.llm.toxicity import BlockMaxIndex, toxicity
+from tidemark.llm.toxicity import NEIGHBOURS, PLAIN, POWER, PRIOR, BlockMaxIndex, toxicity
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, c int"
 
@@ -183,3 +183,33 @@ def test_toxicity_of_a_rare_language(spark):
     rows.append((5000, "uvwxy zzuvil wwxyz yyuvil"))
     out = {r.doc_id: r.predicted for r in toxicity(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()}
     assert out[5000] == 1 and all(out[i] == y for i, y in labels)
+
+
+def test_votes_equal_brute_force():
+    """Scores against a plain reading of the rule: all cosines sorted, examples without a telling term tied."""
+    r = np.random.default_rng(12)
+    for plain in (0, 5, 200):
+        held = [np.sort(r.choice(60, r.integers(1, 9), replace=False)) for _ in range(300)] + [np.zeros(0, np.int64)] * plain
+        vectors_ = [(t, r.integers(1, 40, len(t))) for t in held]
+        idf, label, lengths = r.uniform(0.001, 0.05, 60), r.integers(0, 2, len(held)), r.integers(1, 500, len(held))
+        weight = np.where(label == 1, 1.0, 2.5)
+        index = BlockMaxIndex(vectors_, idf, label, weight, np.arange(len(held)), lengths)
+
+        def dense(t, n, length):
+            v = np.zeros(61)
+            v[t], v[60] = (1 + np.log(n)) * idf[t], PLAIN * np.sqrt(length)
+            return v / np.linalg.norm(v)
+
+        known = np.stack([dense(*v, length) for v, length in zip(vectors_, lengths)])
+        rate = (weight @ label) / weight.sum()
+        alone = np.array([not len(t) for t in held])
+        empty = (weight[alone] @ label[alone] + PRIOR * rate) / (weight[alone].sum() + PRIOR)
+        for _ in range(40):
+            t = np.sort(r.choice(60, r.integers(1, 9), replace=False))
+            n, length = r.integers(1, 40, len(t)), int(r.integers(1, 500))
+            cosine = known @ dense(t, n, length)
+            order = [i for i in np.lexsort((alone, -np.round(cosine, 12))) if cosine[i] > 0][:NEIGHBOURS]
+            votes = sum(cosine[i] ** POWER * (weight[i] if not alone[i] else weight[alone].mean()) for i in order)
+            toxic = sum(cosine[i] ** POWER * (weight[i] * label[i] if not alone[i] else weight[alone].mean() * empty) for i in order)
+            assert abs(index.score(t, n, length)[0] - (toxic + PRIOR * rate) / (votes + PRIOR)) < 1e-9
+        assert index.score(t[:0], n[:0], 7)[0] == index.score(t[:0], n[:0], 0)[0] == empty
