@@ -613,4 +613,4 @@ def pricing_summary(spark, sf_dir):
     return l.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
 
 
-from . import desk, surveillance  # noqa: E402, F401  register their queries
+from . import desk, research, surveillance  # noqa: E402, F401  register their queries
