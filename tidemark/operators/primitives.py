@@ -46,11 +46,12 @@ def latest_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int
     return df.withColumn("rank_in_group", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank_in_group") <= k)
 
 
-def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Overlapping or touching closed intervals of each key as one."""
+def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: Column | None = None) -> DataFrame:
+    """Overlapping or touching closed intervals of each key as one; so are those at most ``gap`` apart."""
     w = Window.partitionBy(*keys).orderBy(start, end)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("_before", before).withColumn("_new", F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before")), 1).otherwise(0))
+    reach = F.col("_before") if gap is None else F.col("_before") + gap
+    marked = df.withColumn("_before", before).withColumn("_new", F.when(F.col("_before").isNull() | (F.col(start) > reach), 1).otherwise(0))
     return marked.withColumn("_island", F.sum("_new").over(w)).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("parts")).drop("_island")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalogue import query, table
-from .operators import admission, assignment, resampling
+from .operators import admission, assignment, identity, orderbook, resampling
 
 #: Cents of open line value that a supplier's book may hold.
 _BUDGET = 20_000_000
@@ -96,3 +96,105 @@ def week_cluster_quantiles(spark, sf_dir):
     """Mean event value with interpolated quantiles over whole ISO weeks."""
     week = F.expr("extract(YEAROFWEEK FROM ts) * 100 + extract(WEEK FROM ts)").cast("long")
     return _rounded(resampling.block_bootstrap(table(spark, sf_dir, "events"), [], week, F.col("value"), repetitions=4000, seed=261117, rule="interpolated", least_blocks=2))
+
+
+# --- identity -----------------------------------------------------------------------------------------
+
+#: Claims by an order's priority come in these lanes; the last two of five priorities in none that counts.
+_LANES = ["canonical", "staged"]
+_CLAIMS = """ev AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS evidence_id, CAST(l_partkey AS VARCHAR) AS security, 'P' || l_partkey AS symbol, CAST(l_suppkey AS VARCHAR) AS market_identifier, CAST(o_orderdate AS DATE) AS valid_from, CAST(l_shipdate AS DATE) AS valid_through,
+        CASE WHEN o_orderpriority < '3' THEN 'canonical' WHEN o_orderpriority < '4' THEN 'staged' ELSE 'lead' END AS lane, l_linestatus = 'O' AS usable FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    judged AS (SELECT ev.*, CASE WHEN count(*) OVER (PARTITION BY evidence_id) > 1 THEN 'id' WHEN NOT usable THEN 'use' WHEN lane = 'lead' THEN 'lane' WHEN p_partkey IS NULL THEN 'unknown' WHEN valid_through < valid_from THEN 'reversed' END AS reason
+        FROM ev LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 45) ON security = CAST(p_partkey AS VARCHAR))"""
+
+
+def _judged(spark, sf_dir):
+    """Each line claims that its part came from its supplier between order and shipment."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    name = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")))
+    lane = F.when(F.col("o_orderpriority") < "3", "canonical").when(F.col("o_orderpriority") < "4", "staged").otherwise("lead")
+    claims = lines.select(name.alias("evidence_id"), F.col("l_partkey").cast("string").alias("security"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("symbol"), F.col("l_suppkey").cast("string").alias("market_identifier"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("valid_from"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("valid_through"), lane.alias("lane"), F.lit("lines").alias("source_reference"), F.when(F.col("l_linestatus") == "O", "1").otherwise("0").alias("research_use_only"))
+    known = table(spark, sf_dir, "part").filter("p_size <= 45").select(F.col("p_partkey").cast("string").alias("security"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"))
+    return identity.judged_claims(claims, known, _LANES)
+
+
+@query(f"""WITH {_CLAIMS} SELECT lane, coalesce(reason, 'counts') AS reason, count(*) AS n, count(DISTINCT security) AS securities FROM judged GROUP BY ALL""")
+def claim_reasons(spark, sf_dir):
+    """Claims by lane and by the first rule that they break."""
+    return _judged(spark, sf_dir).groupBy("lane", F.coalesce("reason", F.lit("counts")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("security").alias("securities"))
+
+
+@query(f"""WITH {_CLAIMS}, flagged AS (SELECT security, market_identifier, lane, valid_from, valid_through, max(valid_through) OVER (PARTITION BY security, market_identifier, lane ORDER BY valid_from, valid_through ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM judged WHERE reason IS NULL),
+    islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR valid_from > reach + INTERVAL 1 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY security, market_identifier, lane ORDER BY valid_from, valid_through) AS island FROM flagged),
+    merged AS (SELECT security, market_identifier, lane, min(valid_from) AS valid_from, max(valid_through) AS valid_through FROM islands GROUP BY security, market_identifier, lane, island),
+    asked AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS security, CAST(l_shipdate AS DATE) AS trade_date FROM lineitem WHERE l_returnflag = 'R'),
+    met AS (SELECT a.security, trade_date, count(m.security) AS claims, min(market_identifier) AS lo, max(market_identifier) AS hi, min(list_position(['canonical', 'staged'], lane)) AS best FROM asked a LEFT JOIN merged m ON m.security = a.security AND trade_date BETWEEN valid_from AND valid_through GROUP BY ALL)
+    SELECT security, trade_date, claims, CASE WHEN claims = 0 THEN 'UNCOVERED' WHEN lo = hi THEN 'VERIFIED' ELSE 'CONFLICT' END AS status, CASE WHEN lo = hi THEN lo END AS market_identifier, CASE WHEN claims > 0 THEN ['canonical', 'staged'][best] END AS lane FROM met""")
+def identity_intervals(spark, sf_dir):
+    """For each day that a returned part shipped on: which supplier the claims of that day name, if they agree."""
+    claims = identity.merged_claims(_judged(spark, sf_dir).filter("reason IS NULL"), ["security", "market_identifier", "lane"])
+    asked = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("security"), F.to_date("l_shipdate").alias("trade_date"))
+    return identity.resolved(asked, claims, keys=["security"], on="trade_date", identifier="market_identifier", precedence=_LANES)
+
+
+@query("""WITH p AS (SELECT l_partkey AS part, l_suppkey AS supplier FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09),
+    a AS (SELECT CAST(part AS VARCHAR) AS value, count(DISTINCT supplier) AS partners FROM p GROUP BY part), b AS (SELECT CAST(supplier AS VARCHAR) AS value, count(DISTINCT part) AS partners FROM p GROUP BY supplier)
+    SELECT 'part' AS side, value, partners FROM a WHERE partners > 1 UNION ALL SELECT 'supplier', value, partners FROM b WHERE partners > 1""")
+def mapping_collisions(spark, sf_dir):
+    """Parts with several suppliers and suppliers with several parts among the largest lines of highest discount."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49 AND l_discount >= 0.09")
+    return identity.collisions(lines.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")), "part", "supplier")
+
+
+@query("""WITH hits AS (SELECT a.o_orderkey, b.o_orderdate AS t FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_orderdate > a.o_orderdate AND b.o_orderdate <= a.o_orderdate + INTERVAL 60 DAY AND b.o_orderdate + INTERVAL 2 DAY <= a.o_orderdate + INTERVAL 58 DAY AND b.o_orderstatus <> 'P'),
+    c AS (SELECT o_orderkey, count(DISTINCT t) AS n, min(t) AS first, list_sort(list(DISTINCT t))[1:10] AS times FROM hits GROUP BY ALL)
+    SELECT o.o_orderkey, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN first END AS matched_ts, CASE WHEN n IS NULL THEN 'missing_candidate' WHEN n > 1 THEN 'ambiguous' END AS reason, CASE WHEN n > 1 THEN array_to_string(list_transform(times, lambda t: strftime(t, '%Y-%m-%d')), ';') END AS times FROM orders o LEFT JOIN c USING (o_orderkey)""")
+def one_match_ahead(spark, sf_dir):
+    """For each order its customer's only later one within 60 days that was published two days before their end."""
+    o = table(spark, sf_dir, "orders")
+    days = lambda n: F.make_dt_interval(days=F.lit(n))
+    later = o.filter("o_orderstatus <> 'P'").select("o_custkey", F.col("o_orderdate").alias("t"), (F.col("o_orderdate") + days(2)).alias("published"))
+    asked = o.withColumn("cutoff", F.col("o_orderdate") + days(58))
+    out = identity.one_match_ahead(asked, later, keys=["o_custkey"], event_id="o_orderkey", at="o_orderdate", candidate_at="t", days=60, published="published", cutoff="cutoff")
+    return out.withColumn("times", F.array_join(F.transform("times", lambda t: F.date_format(t, "yyyy-MM-dd")), ";"))
+
+
+# --- order book ---------------------------------------------------------------------------------------
+
+_MESSAGES = """line AS (SELECT *, (date_diff('day', TIMESTAMP '1970-01-01', l_shipdate) * 100000000 + l_orderkey) * 1000000 + l_linenumber * 100000 + (l_partkey % 10000) * 10 AS base FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    msg AS (SELECT o_custkey AS source, (date_diff('day', TIMESTAMP '1970-01-01', o_orderdate) * 100000000 + o_orderkey) * 1000000 AS row, o_orderdate AS ts, 'ADD_ORDER' AS type, CAST(o_orderkey AS VARCHAR) AS order_ref, '' AS new_ref, CASE WHEN o_orderpriority < '3' THEN 'BUY' ELSE 'S' END AS side, 'c' || o_custkey AS symbol, CAST(floor(o_totalprice / 1000) + 1 AS BIGINT) AS shares, o_totalprice AS price, '' AS match FROM orders
+        UNION ALL SELECT o_custkey, base + 1, l_shipdate, 'E', CASE WHEN l_linestatus = 'F' THEN '' ELSE 'R' END || l_orderkey, '', NULL, NULL, CAST(l_quantity AS BIGINT), CASE WHEN l_returnflag <> 'N' THEN l_extendedprice END, l_orderkey || '-' || l_linenumber FROM line WHERE l_linenumber > 1
+        UNION ALL SELECT o_custkey, base + 2, l_shipdate, 'B', '', '', NULL, NULL, NULL, NULL, l_orderkey || '-' || l_linenumber FROM line WHERE l_returnflag = 'R' AND l_linenumber > 1
+        UNION ALL SELECT o_custkey, base + 3, l_shipdate, 'REPLACE', CASE WHEN l_linestatus = 'F' THEN '' ELSE 'R' END || l_orderkey, CASE WHEN l_linestatus = 'F' THEN 'R' ELSE '' END || l_orderkey, NULL, NULL, NULL, CASE WHEN l_returnflag = 'A' THEN l_extendedprice END, '' FROM line WHERE l_linenumber = 1
+        UNION ALL SELECT o_custkey, base + 4, l_shipdate, 'D', CASE WHEN l_linestatus = 'F' THEN '' ELSE 'R' END || l_orderkey, '', NULL, NULL, NULL, NULL, '' FROM line WHERE l_linenumber = 7 AND l_returnflag = 'N')"""
+
+
+@query(f"""WITH RECURSIVE {_MESSAGES}, placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY row) AS rn FROM msg),
+    fold AS (SELECT source, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(ref VARCHAR, side VARCHAR, symbol VARCHAR, price DOUBLE)[]) AS held, CAST([] AS STRUCT(match VARCHAR, row BIGINT)[]) AS run, CAST(NULL AS BIGINT) AS broken, CAST(NULL AS STRUCT(ref VARCHAR, side VARCHAR, symbol VARCHAR, price DOUBLE)) AS own FROM (SELECT DISTINCT source FROM msg)
+        UNION ALL
+        SELECT source, rn, CASE WHEN type = 'ADD_ORDER' THEN list_append(list_filter(held, lambda h: h.ref <> order_ref), {{'ref': order_ref, 'side': side[1], 'symbol': upper(symbol), 'price': price}}) WHEN type = 'D' THEN list_filter(held, lambda h: h.ref <> order_ref)
+                WHEN type = 'REPLACE' AND own IS NOT NULL THEN list_append(list_filter(held, lambda h: h.ref <> order_ref AND h.ref <> new_ref), {{'ref': new_ref, 'side': own.side, 'symbol': own.symbol, 'price': coalesce(price, own.price)}}) ELSE held END,
+            CASE WHEN type = 'E' AND own IS NOT NULL THEN list_append(list_filter(run, lambda r: r.match <> m), {{'match': m, 'row': row}}) WHEN type = 'B' THEN list_filter(run, lambda r: r.match <> m) ELSE run END,
+            CASE WHEN type = 'B' THEN list_filter(run, lambda r: r.match = m)[1].row END, own
+        FROM (SELECT f.held, f.run, p.source, p.rn, p.row, p.type, p.order_ref, p.new_ref, p.side, p.symbol, p.price, p.match AS m, list_filter(f.held, lambda h: h.ref = p.order_ref)[1] AS own FROM fold f JOIN placed p ON p.source = f.source AND p.rn = f.rn + 1))
+    SELECT p.source, p.row, p.ts, own.symbol AS symbol, p.order_ref, p.match AS match_number, own.side AS resting_side, CASE WHEN own.side = 'S' THEN 'B' ELSE 'S' END AS aggressor_side, p.shares AS executed_shares, round(coalesce(p.price, own.price), 6) AS execution_price, 1 AS printable
+    FROM fold f JOIN placed p ON p.source = f.source AND p.rn = f.rn WHERE p.type = 'E' AND own IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fold b WHERE b.source = p.source AND b.broken = p.row)""")
+def book_messages(spark, sf_dir):
+    """Executions signed by the side that rested, over orders that were replaced and deleted, without the broken ones."""
+    o, none = table(spark, sf_dir, "orders"), lambda kind: F.lit(None).cast(kind)
+    day = lambda c: F.datediff(c, F.lit("1970-01-01")).cast("long") * 100_000_000
+    line = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("base", (day("l_shipdate") + F.col("l_orderkey")) * 1_000_000 + F.col("l_linenumber") * 100_000 + F.col("l_partkey") % 10_000 * 10)
+    key, first = F.col("l_orderkey").cast("string"), F.col("l_linestatus") == "F"
+    ref, other = F.when(first, key).otherwise(F.concat(F.lit("R"), key)), F.when(first, F.concat(F.lit("R"), key)).otherwise(key)
+    match, blank = F.concat_ws("-", key, F.col("l_linenumber").cast("string")), F.lit("")
+
+    def step(rows, n, t, ref=blank, new=blank, shares=None, price=None, match=blank):
+        return rows.select(F.col("o_custkey").alias("source"), (F.col("base") + n).alias("row"), F.col("l_shipdate").alias("ts"), F.lit(t).alias("type"), ref.alias("order_ref"), new.alias("new_ref"), none("string").alias("side"), none("string").alias("symbol"), (none("long") if shares is None else shares).alias("shares"), (none("double") if price is None else price).alias("price"), match.alias("match_number"))
+
+    added = o.select(F.col("o_custkey"), (day("o_orderdate") + F.col("o_orderkey")) * 1_000_000, "o_orderdate", F.lit("ADD_ORDER"), F.col("o_orderkey").cast("string"), blank, F.when(F.col("o_orderpriority") < "3", "BUY").otherwise("S"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")), (F.floor(F.col("o_totalprice") / 1000) + 1).cast("long"), "o_totalprice", blank)
+    late = line.filter("l_linenumber > 1")
+    run = step(late, 1, "E", ref, shares=F.col("l_quantity").cast("long"), price=F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice")), match=match)
+    rest = step(late.filter("l_returnflag = 'R'"), 2, "B", match=match).union(step(line.filter("l_linenumber = 1"), 3, "REPLACE", ref, other, price=F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice")))).union(step(line.filter("l_linenumber = 7 AND l_returnflag = 'N'"), 4, "D", ref))
+    messages = run.union(rest).union(added).withColumn("printable", blank)
+    return orderbook.executions(messages).withColumn("execution_price", F.round("execution_price", 6))
