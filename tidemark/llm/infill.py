@@ -51,21 +51,24 @@ def fill_in_middle(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.repartition("row")
     flags, body = unit[: unit.index(")") + 1] if unit.startswith("(?s)") else "", unit.removeprefix("(?s)")
+    # every branch below reads the id as well, so that all of them share the one shuffle
     blocks = rows.select("row", "id", F.posexplode(F.regexp_extract_all("text", F.lit(f"{flags}(?:(?>{body})){{1,{block}}}+"), F.lit(0))).alias("pos", "held"))
-    blocks = _sums(blocks.select("*", F.length("held").cast("long").alias("chars"), F.regexp_count("held", F.lit(unit)).cast("long").alias("units")), ["row"])
+    more = F.lead("pos").over(Window.partitionBy("row").orderBy("pos")).isNotNull()  # all but the last are full
+    blocks = blocks.select("*", F.length("held").cast("long").alias("chars"), F.when(more, F.lit(block)).otherwise(F.regexp_count("held", F.lit(unit))).cast("long").alias("units"))
+    blocks = _sums(blocks, ["row"])
     totals = blocks.groupBy("row", "id").agg(F.sum("units").alias("n"), F.sum("chars").alias("covered"))
     h = draws(F.col("id"), seed)
     cuts = [F.pmod(x, F.col("n") + 1) for x in h[:2]]
     asked = totals.select("row", "n", "covered", F.posexplode(F.array(F.least(*cuts), F.greatest(*cuts))).alias("which", "cut"))
     # a cut behind the last unit belongs to no unit: its offset is the length of the text
     met = asked.alias("a").join(blocks.alias("b"), F.expr("a.row = b.row AND a.cut >= b.units_before AND a.cut < b.units_before + b.units"), "left")
-    met = met.select("a.row", "a.n", "a.covered", "a.which", F.expr("a.cut - b.units_before").alias("ordinal"), F.col("b.chars_before").alias("start"), "b.held")
+    met = met.select("a.row", "b.id", "a.n", "a.covered", "a.which", F.expr("a.cut - b.units_before").alias("ordinal"), F.col("b.chars_before").alias("start"), "b.held")
     one = F.posexplode_outer(F.regexp_extract_all("held", F.lit(unit), F.lit(0))).alias("pos", "match")
-    units = met.select("row", "n", "covered", "which", "ordinal", "start", one).select("*", F.length("match").cast("long").alias("chars"), F.lit(1).cast("long").alias("units"))
+    units = met.select("row", "id", "n", "covered", "which", "ordinal", "start", one).select("*", F.length("match").cast("long").alias("chars"), F.lit(1).cast("long").alias("units"))
     units = _sums(units, ["row", "which"]).filter("ordinal IS NULL OR units_before = ordinal")
     offset = F.coalesce(F.col("start") + F.col("chars_before"), F.col("covered"))
-    offsets = units.groupBy("row").agg(F.max("n").alias("n"), F.max("covered").alias("covered"), *(F.max(F.when(F.col("which") == k, offset)).alias(name) for k, name in enumerate("ab")))
-    found = rows.join(offsets, "row", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    offsets = units.groupBy("row").agg(F.max("id").alias("_id"), F.max("n").alias("n"), F.max("covered").alias("covered"), *(F.max(F.when(F.col("which") == k, offset)).alias(name) for k, name in enumerate("ab")))
+    found = rows.join(offsets, "row", "left").withColumns({"id": F.coalesce("_id", "id"), "n": F.coalesce("n", F.lit(0))})
     whole = F.coalesce(F.col("covered"), F.lit(0)) == F.length("text")
     text = F.when(whole, F.col("text")).otherwise(F.raise_error(F.lit("the pattern's matches don't cover a text")).cast("string"))
     marked = F.col("text").contains(PREFIX) | F.col("text").contains(SUFFIX) | F.col("text").contains(MIDDLE)
