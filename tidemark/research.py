@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalogue import query, table
-from .operators import admission, assignment, identity, orderbook, resampling
+from .operators import admission, assignment, identity, modelling, orderbook, resampling
 
 #: Cents of open line value that a supplier's book may hold.
 _BUDGET = 20_000_000
@@ -198,3 +198,45 @@ def book_messages(spark, sf_dir):
     rest = step(late.filter("l_returnflag = 'R'"), 2, "B", match=match).union(step(line.filter("l_linenumber = 1"), 3, "REPLACE", ref, other, price=F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice")))).union(step(line.filter("l_linenumber = 7 AND l_returnflag = 'N'"), 4, "D", ref))
     messages = run.union(rest).union(added).withColumn("printable", blank)
     return orderbook.executions(messages).withColumn("execution_price", F.round("execution_price", 6))
+
+
+# --- models -------------------------------------------------------------------------------------------
+
+
+@query("""WITH f AS (SELECT o_custkey AS g, CAST('0x' || substr(md5('17:' || o_custkey), 1, 8) AS BIGINT) % 4 AS fold, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders),
+    per AS (SELECT g, fold, count(*) AS n, sum(label) AS pos FROM f GROUP BY ALL), t AS (SELECT sum(n) AS rows, count(*) AS groups FROM per)
+    SELECT CAST(fold AS INT) AS fold, CAST(any_value(rows) - sum(n) AS BIGINT) AS train_rows, CAST(sum(n) AS BIGINT) AS validation_rows, any_value(groups) - count(*) AS train_groups, count(*) AS validation_groups, 0 AS group_overlap, CAST(sum(pos) AS BIGINT) AS validation_positives, CAST(sum(n) - sum(pos) AS BIGINT) AS validation_negatives FROM per, t GROUP BY fold""")
+def oof_fold_audit(spark, sf_dir):
+    """Folds of customers: rows, groups and labels on either side, and groups in two folds (none)."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").cast("long").alias("label")).withColumn("fold", modelling.fold_of(F.col("o_custkey"), 4, 17))
+    return modelling.fold_audit(o, "o_custkey", "label", 4)
+
+
+@query("""WITH RECURSIVE d AS (SELECT least(1.0, n_chars / 5000.0)::DOUBLE AS s, CAST(quality AS DOUBLE) AS y FROM documents JOIN labels USING (doc_id)), c AS (SELECT s, sum(y) AS pos, CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY s),
+    it AS (SELECT 0 AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+        UNION ALL SELECT k + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+        FROM (SELECT k, a, b, sum(pos - n * p) AS g0, sum((pos - n * p) * s) - 1e-6 * b AS g1, sum(n * p * (1 - p)) AS h00, sum(n * p * (1 - p) * s) AS h01, sum(n * p * (1 - p) * s * s) + 1e-6 AS h11
+            FROM (SELECT k, a, b, s, pos, n, 1 / (1 + exp(-(a + b * s))) AS p FROM it, c WHERE k < 25) GROUP BY k, a, b))
+    SELECT round(a, 6) AS intercept, round(b, 6) AS slope, round(avg((s - y) * (s - y)), 6) AS brier_before, round(avg((1 / (1 + exp(-(a + b * s))) - y) ** 2), 6) AS brier_after, count(*) AS n FROM d, it WHERE k = 25 GROUP BY a, b""")
+def platt_calibration(spark, sf_dir):
+    """A logistic curve from a document's length to its quality, and the Brier score before and after."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.least(F.lit(1.0), F.col("n_chars") / 5000.0).alias("s"), F.col("quality").cast("double").alias("y"))
+    a, b = modelling.platt(d, "s", "y")
+    p = modelling.calibrated(F.col("s"), (a, b))
+    gap = lambda x: F.round(F.avg((x - F.col("y")) ** 2), 6)
+    return d.agg(gap(F.col("s")).alias("brier_before"), gap(p).alias("brier_after"), F.count(F.lit(1)).alias("n")).select(F.lit(round(a, 6)).alias("intercept"), F.lit(round(b, 6)).alias("slope"), "brier_before", "brier_after", "n")
+
+
+@query()
+def grouped_oof_metrics(spark, sf_dir):
+    """Whether an order is large, from its lines and date, by models that saw no order of its customer; quality of each score."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"), F.avg("l_discount").alias("discount"))
+    o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "o_custkey", (F.col("o_totalprice") + F.coalesce("quantity", F.lit(0)) * 1000 > 300_000).cast("long").alias("label"), "quantity", "lines", "discount", F.dayofyear("o_orderdate").alias("day"))
+    features = ["quantity", "lines", "discount", "day"]
+    prepared = modelling.matrix(o, features, "label", "o_custkey", folds=3, seed=17)
+    oof = modelling.out_of_fold(prepared, features, "o_custkey", folds=3, rounds=5).select("label", "elastic", "boosted", "raw").persist()
+    curve = modelling.platt(oof, "raw", "label")
+    scores = {"elastic": F.col("elastic"), "boosted": F.col("boosted"), "blend": F.col("raw"), "calibrated": modelling.calibrated(F.col("raw"), curve)}
+    rows = [{"model": name, **modelling.evaluated(oof.select(c.alias("score"), "label"), 0.5)} for name, c in scores.items()]
+    oof.unpersist()
+    return spark.createDataFrame(rows, "model string, n long, auc double, average_precision double, brier double, false_positive_rate double, recall double")
