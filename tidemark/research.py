@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalogue import query, table
-from .operators import admission, assignment, identity, modelling, orderbook, resampling
+from .operators import admission, assignment, history, identity, modelling, orderbook, resampling
+from .sources import filings
 
 #: Cents of open line value that a supplier's book may hold.
 _BUDGET = 20_000_000
@@ -240,3 +241,47 @@ def grouped_oof_metrics(spark, sf_dir):
     rows = [{"model": name, **modelling.evaluated(oof.select(c.alias("score"), "label"), 0.5)} for name, c in scores.items()]
     oof.unpersist()
     return spark.createDataFrame(rows, "model string, n long, auc double, average_precision double, brier double, false_positive_rate double, recall double")
+
+
+# --- graph at event times, filings --------------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS event_id FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09), first AS (SELECT l_suppkey, l_partkey, min(l_shipdate) AS seen FROM l GROUP BY ALL),
+    r AS (SELECT l_partkey AS part, l_shipdate AS minute, max(l_extendedprice) / 30000 AS l2, max(l_tax) * 40 AS spread_z FROM l GROUP BY ALL),
+    rel AS (SELECT DISTINCT r.part, r.minute, b.l_partkey AS peer FROM r JOIN first a ON a.l_partkey = r.part AND a.seen <= r.minute JOIN first b ON b.l_suppkey = a.l_suppkey AND b.l_partkey <> r.part AND b.seen <= r.minute),
+    p AS (SELECT rel.part, rel.minute, count(*) AS related, count(q.part) AS peers, count(*) FILTER (q.l2 >= 2) AS unusual, count(*) FILTER (q.spread_z >= 1.5) AS spread_wide, max(q.l2) AS max_l2, avg(q.l2) AS mean_l2, sum(greatest(q.l2 - 2, 0)) / nullif(count(q.l2), 0) AS anomaly FROM rel LEFT JOIN r q ON q.part = rel.peer AND q.minute = rel.minute GROUP BY ALL)
+    SELECT r.part, r.minute, coalesce(related, 0) AS related, coalesce(related, 0) AS second_hop, round(coalesce(related, 0) * 0.9 * 0.9 * 0.92 / 2, 6) AS breadth, CASE WHEN related > 0 THEN round(0.9 * 0.9 * 0.92, 6) END AS mean_confidence, coalesce(peers, 0) AS peers, coalesce(unusual, 0) AS unusual, coalesce(spread_wide, 0) AS spread_wide,
+        round(max_l2, 6) AS max_l2, round(mean_l2, 6) AS mean_l2, round(greatest(r.l2 - 2, 0) * anomaly, 6) AS propagation, CASE WHEN related IS NULL THEN 'no_related_securities' WHEN peers = 0 THEN 'no_peer_features' WHEN peers < related THEN 'partial' ELSE 'full' END AS status FROM r LEFT JOIN p USING (part, minute)""")
+def graph_event_features(spark, sf_dir):
+    """For the largest lines of highest discount: what parts of the same suppliers, known as such by then, did on that day."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49 AND l_discount >= 0.09")
+    name = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")))
+    events = lines.select(name.alias("event_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("symbol"), F.col("l_partkey").alias("security"), F.col("l_suppkey").alias("issuer"), F.col("l_shipdate").alias("at"))
+    nodes, edges = history.build(events, "CASE:1", "2003-01-01")
+    rows = lines.groupBy("l_partkey", "l_shipdate").agg((F.max("l_extendedprice") / 30000).alias("l2"), (F.max("l_tax") * 40).alias("spread_z"))
+    none = F.lit(None).cast("double")
+    rows = rows.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol"), F.col("l_shipdate").alias("minute"), "l2", none.alias("equity_volume_z"), none.alias("option_volume_z"), "spread_z")
+    f = history.features(rows, nodes, edges)
+    r = lambda *names: [F.round(n, 6).alias(n) for n in names]
+    return f.select(F.substring("symbol", 2, 20).cast("long").alias("part"), "minute", "related", "second_hop", *r("breadth", "mean_confidence"), "peers", "unusual", "spread_wide", *r("max_l2", "mean_l2", "propagation"), "status")
+
+
+@query("""WITH o AS (SELECT o.*, c.c_acctbal < 0 AS broken, c.c_nationkey FROM orders o JOIN customer c ON o_custkey = c_custkey), f AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, o_orderstatus, broken, c_nationkey, (SELECT max(l_shipdate) FROM lineitem WHERE l_orderkey = o_orderkey) AS shipped FROM o),
+    j AS (SELECT *, CASE WHEN o_orderstatus = 'P' AND o_totalprice <> floor(o_totalprice) THEN 'value' WHEN shipped IS NULL OR shipped < o_orderdate THEN 'dates' WHEN o_orderdate >= TIMESTAMP '2001-01-01' OR c_nationkey = 3 THEN 'no_symbol' END AS reason FROM f WHERE NOT broken)
+    SELECT reason, CASE WHEN reason IS NULL THEN CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'OLD' ELSE 'NEW' END || o_custkey END AS historical_symbol, count(*) AS n, min(CAST(o_orderdate AS DATE)) AS first_fact FROM j WHERE reason IS NULL GROUP BY ALL
+    UNION ALL SELECT reason, NULL, count(*), min(CAST(o_orderdate AS DATE)) FILTER (reason = 'no_symbol') FROM j WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'container', NULL, count(DISTINCT (o_custkey, o_orderkey % 64)), NULL FROM f WHERE broken HAVING count(*) > 0""")
+def share_fact_files(spark, sf_dir):
+    """Customers' orders as nested facts files (64 of a customer at most), some with a list where an object belongs; facts by the name of their time, rejects by reason."""
+    shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(shipped, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    value = F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice")).otherwise(F.floor("o_totalprice")).cast("decimal(18,2)")
+    fact = F.to_json(F.struct(day("o_orderdate").alias("end"), day("shipped").alias("filed"), value.alias("val"), F.col("o_orderkey").cast("string").alias("accn")))
+    body = F.concat_ws(",", F.collect_list(fact))
+    inner = F.concat(F.lit('{"dei":{"EntityCommonStockSharesOutstanding":{"units":{"shares":['), body, F.lit("]}}}}"))
+    files = o.groupBy("o_custkey", F.col("o_orderkey") % 64).agg(F.when(F.first("c_acctbal") < 0, F.lit("[]")).otherwise(inner).alias("facts"))
+    files = files.select(F.col("o_custkey").cast("string").alias("path"), F.concat(F.lit('{"cik":'), F.col("o_custkey").cast("string"), F.lit(',"facts":'), "facts", F.lit("}")).alias("text"))
+    spans = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b")) for p, a, b in (("OLD", "", "1997-12-31"), ("NEW", "1998-01-01", "2000-12-31"))))
+    symbols = table(spark, sf_dir, "customer").filter("c_nationkey <> 3").select(F.col("c_custkey").cast("string").alias("cik"), F.explode(spans).alias("s")).select("cik", F.concat("s.p", "cik").alias("historical_symbol"), F.col("s.a").alias("effective_from"), F.col("s.b").alias("effective_to"))
+    out = filings.share_facts(files, symbols)
+    return out.groupBy("reason", "historical_symbol").agg(F.count(F.lit(1)).alias("n"), F.min("fact_date").alias("first_fact")).withColumn("first_fact", F.when(F.coalesce(F.col("reason").isin("value", "dates"), F.lit(False)), None).otherwise(F.col("first_fact")))
