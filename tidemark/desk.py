@@ -57,25 +57,26 @@ def clock_fractions(spark, sf_dir):
 
 
 @query("""WITH q AS (SELECT user_id % 10 AS desk, CAST(event_id AS DOUBLE) AS bid, CASE WHEN event_id % 13 <> 0 THEN CAST(event_id + event_id % 7 AS DOUBLE) END AS ask, CAST(event_id + event_id % 211 - 80 AS DOUBLE) AS now, (event_id % 900 - 100) / 200.0 AS iv FROM events),
-    a AS (SELECT desk, CASE WHEN ask IS NOT NULL AND greatest(bid, ask) <= now + 60 THEN greatest(0.0, now - least(bid, ask)) END AS age, CASE WHEN iv > 0 AND iv <= 3 THEN iv END AS iv FROM q)
-    SELECT desk, count(*) AS quotes, count(*) FILTER (age IS NULL) AS unusable, count(*) FILTER (age <= 30) AS fresh, max(age) AS oldest, count(iv) AS priced, max(iv) AS highest FROM a GROUP BY ALL""")
+    a AS (SELECT desk, ask IS NOT NULL AND now - bid BETWEEN 0 AND 120 AND now - ask BETWEEN 0 AND 120 AS recent, CASE WHEN ask IS NOT NULL AND greatest(bid, ask) <= now + 60 THEN greatest(0.0, now - least(bid, ask)) END AS age, CASE WHEN iv > 0 AND iv <= 3 THEN iv END AS iv FROM q)
+    SELECT desk, count(*) AS quotes, count(*) FILTER (age IS NULL) AS unusable, count(*) FILTER (recent) AS fresh, max(age) AS oldest, count(iv) AS priced, max(iv) AS highest FROM a GROUP BY ALL""")
 def two_sided_ages(spark, sf_dir):
     """Ages of two-sided quotes, the older side counting, and volatilities that are no percentages."""
     e = F.col("event_id")
     bid, ask, now = e.cast("double"), F.when(e % 13 != 0, (e + e % 7).cast("double")), (e + e % 211 - 80).cast("double")
-    a = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("desk"), fields.two_sided_age(bid, ask, now).alias("age"), fields.fraction_iv((e % 900 - 100) / 200.0).alias("iv"))
-    return a.groupBy("desk").agg(F.count(F.lit(1)).alias("quotes"), _n("age IS NULL", "unusable"), _n("age <= 30", "fresh"), F.max("age").alias("oldest"), F.count("iv").alias("priced"), F.max("iv").alias("highest"))
+    a = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("desk"), fields.two_sided_age(bid, ask, now).alias("age"), (fields.fresh(now, bid) & fields.fresh(now, ask)).alias("recent"), fields.fraction_iv((e % 900 - 100) / 200.0).alias("iv"))
+    return a.groupBy("desk").agg(F.count(F.lit(1)).alias("quotes"), _n("age IS NULL", "unusable"), _n("recent", "fresh"), F.max("age").alias("oldest"), F.count("iv").alias("priced"), F.max("iv").alias("highest"))
 
 
-@query("""WITH b AS (SELECT event_type, CASE WHEN event_id % 41 = 0 THEN -1.0 ELSE 100.0 + event_id % 9 END AS o, 100.0 + user_id % 9 AS c, event_id % 50 AS k, CASE WHEN event_id % 23 <> 0 THEN event_id % 60 - 1 END AS v FROM events),
-    x AS (SELECT event_type, o, c, v, greatest(o, c) + k - 1 AS h, least(o, c) - k + 1 AS l FROM b)
-    SELECT event_type, CASE WHEN NOT (o > 0 AND h > 0 AND l > 0 AND c > 0) THEN 'prices' WHEN l > least(o, c) OR h < greatest(o, c) THEN 'bounds' WHEN v IS NULL OR v < 0 THEN 'volume' ELSE 'good' END AS fault, count(*) AS n FROM x GROUP BY ALL""")
+@query("""WITH b AS (SELECT event_type, ts > date_trunc('hour', ts) + INTERVAL 50 MINUTE AS late, CASE WHEN event_id % 41 = 0 THEN -1.0 ELSE 100.0 + event_id % 9 END AS o, 100.0 + user_id % 9 AS c, event_id % 50 AS k, CASE WHEN event_id % 23 <> 0 THEN event_id % 60 - 1 END AS v FROM events),
+    x AS (SELECT event_type, late, o, c, v, greatest(o, c) + k - 1 AS h, least(o, c) - k + 1 AS l FROM b)
+    SELECT event_type, CASE WHEN late THEN 'time' WHEN NOT (o > 0 AND h > 0 AND l > 0 AND c > 0) THEN 'prices' WHEN l > least(o, c) OR h < greatest(o, c) THEN 'bounds' WHEN v IS NULL OR v < 0 THEN 'volume' ELSE 'good' END AS fault, count(*) AS n FROM x GROUP BY ALL""")
 def bar_faults(spark, sf_dir):
     """Bars by the first rule that they break."""
     e, k = F.col("event_id"), F.col("event_id") % 50
     o, c = F.when(e % 41 == 0, -1.0).otherwise(100.0 + e % 9), 100.0 + F.col("user_id") % 9
     volume = F.when(e % 23 != 0, e % 60 - 1)
-    faults = fields.bar_faults(o, F.greatest(o, c) + k - 1, F.least(o, c) - k + 1, c, volume)
+    decision = F.date_trunc("hour", "ts").cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(50))
+    faults = fields.bar_faults(F.col("ts"), decision, o, F.greatest(o, c) + k - 1, F.least(o, c) - k + 1, c, volume)
     return table(spark, sf_dir, "events").groupBy("event_type", F.coalesce(quality.first_reason(faults), F.lit("good")).alias("fault")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -73,18 +73,24 @@ def two_sided_age(bid: Column, ask: Column, now: Column, ahead: float = 60) -> C
     return F.when(usable, F.round(F.greatest(F.lit(0.0), now - F.least(bid, ask)), 1))
 
 
+def fresh(at: Column, quoted: Column, most: float = 120) -> Column:
+    """Whether a quote is at most ``most`` seconds old; one from the future isn't fresh, nor is a missing one."""
+    return F.coalesce((at - quoted).between(0, most), F.lit(False))
+
+
 def fraction_iv(value: Column) -> Column:
     """A volatility given as a fraction, over 0 and at most 3; others are ambiguous and give null."""
     return F.when((value > 0) & (value <= 3), F.round(value, 5))
 
 
-def bar_faults(opens: Column, high: Column, low: Column, close: Column, volume: Column) -> dict[str, Column]:
-    """What a bar breaks, in the order that it is judged."""
+def bar_faults(at: Column, decision: Column, opens: Column, high: Column, low: Column, close: Column, volume: Column) -> dict[str, Column]:
+    """What a bar breaks, in the order that it is judged; a bar without a time, or after the decision, comes first."""
     finite = lambda c: F.coalesce((c > 0) & (c < float("inf")) & ~F.isnan(c), F.lit(False))
     return {
+        "time": at.isNull() | decision.isNull() | (at > decision),
         "prices": ~(finite(opens) & finite(high) & finite(low) & finite(close)),
         "bounds": (low > F.least(opens, close)) | (high < F.greatest(opens, close)),
-        "volume": volume.isNull() | (volume < 0),
+        "volume": F.coalesce((volume < 0) | (volume != F.floor(volume)), F.lit(True)),
     }
 
 

@@ -200,36 +200,53 @@ _CLIP = """c AS (SELECT event_id, ts, CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTE
     w AS (SELECT *, date_trunc('minute', greatest(ts - INTERVAL 30 MINUTE, opens)) AS start, date_trunc('minute', least(ts + INTERVAL 60 MINUTE, closes)) AS stop FROM c)"""
 
 
-@query(f"""WITH {_CLIP} SELECT event_id, start, stop, greatest(date_diff('minute', start, stop) + 1, 0) AS minutes, least(greatest(date_diff('minute', start, stop) + 1, 0), greatest(date_diff('minute', greatest(start - INTERVAL 1 MINUTE, closes - INTERVAL 5 MINUTE), stop), 0)) AS without_later FROM w""")
-def clipped_windows(spark, sf_dir):
-    """Event windows cut to the session, their minutes, and those whose five minutes after pass the close."""
+def _clipped(spark, sf_dir):
     at = F.col("ts")
     midnight = F.to_date(at).cast("timestamp_ntz")
     opens, closes = midnight + F.make_dt_interval(mins=F.lit(570)), midnight + F.make_dt_interval(mins=F.lit(960))
     start, stop = calendar.clipped(at, opens, closes, 30, 60)
-    e = table(spark, sf_dir, "events").select("event_id", start.alias("start"), stop.alias("stop"), closes.alias("closes"))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", start.alias("start"), stop.alias("stop"), closes.alias("closes"))
+
+
+@query(f"""WITH {_CLIP} SELECT event_id, start, stop, greatest(date_diff('minute', start, stop) + 1, 0) AS minutes, least(greatest(date_diff('minute', start, stop) + 1, 0), greatest(date_diff('minute', greatest(start - INTERVAL 1 MINUTE, closes - INTERVAL 5 MINUTE), stop), 0)) AS without_later FROM w""")
+def clipped_windows(spark, sf_dir):
+    """Event windows cut to the session, their minutes, and those whose five minutes after pass the close."""
+    e = _clipped(spark, sf_dir)
     return e.select("event_id", "start", "stop", calendar.inclusive_minutes(F.col("start"), F.col("stop")).alias("minutes"), calendar.beyond(F.col("start"), F.col("stop"), F.col("closes"), 5).alias("without_later"))
 
 
 @query(f"""WITH {_CLIP}, x AS (SELECT c.event_id, e.user_id, start, stop FROM w c JOIN events e USING (event_id) WHERE start <= stop), m AS (SELECT *, max(stop) OVER (PARTITION BY user_id ORDER BY start, stop, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
-    i AS (SELECT *, sum(CASE WHEN before IS NULL OR start > before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY start, stop, event_id) AS island FROM m), g AS (SELECT user_id, island, min(start) AS a, max(stop) AS b FROM i GROUP BY ALL)
+    i AS (SELECT *, sum(CASE WHEN before IS NULL OR start > before + INTERVAL 1 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY start, stop, event_id) AS island FROM m), g AS (SELECT user_id, island, min(start) AS a, max(stop) AS b FROM i GROUP BY ALL)
     SELECT user_id, count(*) AS intervals, CAST(sum(date_diff('minute', a, b) + 1) AS BIGINT) AS minutes FROM g GROUP BY user_id""")
 def interval_minutes(spark, sf_dir):
-    """Minutes that the merged windows of a symbol require."""
-    w = clipped_windows(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id").filter("start <= stop")
-    merged = primitives.merge_intervals(w.select("user_id", "start", "stop"), ["user_id"], "start", "stop")
+    """Minutes that the merged windows of a symbol require; windows a minute apart leave nothing between them."""
+    w = _clipped(spark, sf_dir).filter("start <= stop")
+    merged = primitives.merge_intervals(w.select("user_id", "start", "stop"), ["user_id"], "start", "stop", gap=F.expr("INTERVAL '1' MINUTE"))
     return merged.groupBy("user_id").agg(F.count(F.lit(1)).alias("intervals"), F.sum(calendar.inclusive_minutes(F.col("start"), F.col("stop"))).alias("minutes"))
 
 
-@query("""WITH d AS (SELECT event_id, ts, CASE WHEN hour(ts) >= 12 THEN CAST(ts AS DATE) + 1 ELSE CAST(ts AS DATE) END AS day FROM events),
-    b AS (SELECT event_id, ts, CASE dayofweek(day) WHEN 6 THEN day + 2 WHEN 0 THEN day + 1 ELSE day END AS day FROM d), o AS (SELECT event_id, ts, CAST(day AS TIMESTAMP) + INTERVAL 570 MINUTE AS opens FROM b),
-    g AS (SELECT event_id, opens, unnest(generate_series(date_trunc('minute', opens) - INTERVAL 5 MINUTE, opens + INTERVAL 30 MINUTE, INTERVAL 1 MINUTE)) AS moment FROM o)
-    SELECT opens, count(DISTINCT event_id) AS events, count(*) AS points, min(moment) AS first_point, max(moment) AS last_point FROM g GROUP BY opens""")
+#: US federal holidays of the winter that the events are of, as they are observed.
+_WINTER = "['2023-12-25', '2024-01-01', '2024-01-15', '2024-02-19', '2024-05-27']"
+_OPENS = f"""d AS (SELECT event_id, ts, CAST(ts AS DATE) AS day FROM events),
+    o AS (SELECT event_id, ts, day, CAST(CASE WHEN CAST(ts AS TIME) > TIME '12:00:00' THEN (SELECT min(x.d) FROM (SELECT CAST(unnest(generate_series(day + 1, day + 10, INTERVAL 1 DAY)) AS DATE) AS d) x WHERE dayofweek(x.d) BETWEEN 1 AND 5 AND NOT list_contains({_WINTER}, CAST(x.d AS VARCHAR))) ELSE day END AS TIMESTAMP) + INTERVAL 570 MINUTE AS opens FROM d)"""
+
+
+@query(f"""WITH {_OPENS}, g AS (SELECT event_id, opens, ts, CAST(ceil((epoch_us(opens) - epoch_us(ts)) / 60000000.0) AS BIGINT) + 30 AS last FROM o)
+    SELECT opens, count(*) AS events, CAST(sum(greatest(last + 6, 0)) AS BIGINT) AS points, min(ts - INTERVAL 5 MINUTE) AS first_point, max(ts + to_minutes(last)) FILTER (last >= -5) AS last_point FROM g GROUP BY opens""")
 def research_grids(spark, sf_dir):
-    """Minute grids around the opening that an event is judged at."""
-    o = table(spark, sf_dir, "events").select("event_id", calendar.research_open(F.col("ts")).alias("opens"))
-    g = o.select("event_id", "opens", F.explode(calendar.minute_grid(F.col("opens") - F.make_dt_interval(mins=F.lit(5)), F.col("opens") + F.make_dt_interval(mins=F.lit(30)))).alias("at"))
-    return g.groupBy("opens").agg(F.count_distinct("event_id").alias("events"), F.count(F.lit(1)).alias("points"), F.min("at").alias("first_point"), F.max("at").alias("last_point"))
+    """Minute grids from five minutes before an event to half an hour after the opening that it is judged at."""
+    closed = calendar.federal_holidays(2023, 2025)
+    o = table(spark, sf_dir, "events").select("ts", calendar.research_open(F.col("ts"), holidays=closed).alias("opens"))
+    grid = o.select("opens", (F.col("ts") - F.make_dt_interval(mins=F.lit(5))).alias("first"), calendar.trade_grid(F.col("ts"), F.col("opens")).alias("grid"))
+    return grid.groupBy("opens").agg(F.count(F.lit(1)).alias("events"), F.sum(F.size("grid")).alias("points"), F.min("first").alias("first_point"), F.max(F.array_max("grid")).alias("last_point"))
+
+
+@query(f"""WITH {_OPENS}, p AS (SELECT CASE WHEN CAST(ts AS TIME) > TIME '12:00:00' THEN day ELSE (SELECT max(x.d) FROM (SELECT CAST(unnest(generate_series(day - 10, day - 1, INTERVAL 1 DAY)) AS DATE) AS d) x WHERE dayofweek(x.d) BETWEEN 1 AND 5 AND NOT list_contains({_WINTER}, CAST(x.d AS VARCHAR))) END AS before FROM o)
+    SELECT before, (SELECT min(x.d) FROM (SELECT CAST(unnest(generate_series(before + 1, before + 10, INTERVAL 1 DAY)) AS DATE) AS d) x WHERE dayofweek(x.d) BETWEEN 1 AND 5 AND NOT list_contains({_WINTER}, CAST(x.d AS VARCHAR))) AS after, count(*) AS events FROM p GROUP BY ALL""")
+def sample_days(spark, sf_dir):
+    """Events by the last business day before them and the first after them, over weekends and holidays."""
+    before, after = calendar.sample_days(F.col("ts"), F.to_date("ts"), calendar.federal_holidays(2023, 2025))
+    return table(spark, sf_dir, "events").groupBy(before.alias("before"), after.alias("after")).agg(F.count(F.lit(1)).alias("events"))
 
 
 @query("""WITH s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, o_custkey % 5 AS venue FROM orders WHERE o_totalprice > 50000), n AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY day) AS i FROM s)
@@ -381,26 +398,36 @@ def strategy_scorecard(spark, sf_dir):
 # --- vendor codes -------------------------------------------------------------------------------------
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 'RT' END AS root, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'call' ELSE 'put' END AS kind, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS expiry,
-    CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE round((o_orderkey % 90000) / CASE WHEN o_orderkey % 3 = 0 THEN 10.0 ELSE 100.0 END, 4) END AS strike FROM orders""")
+@query("""WITH c AS (SELECT o_orderkey, 'RT' || CASE WHEN o_orderkey % 3 = 0 THEN lower(m) ELSE m END || strftime(o_orderdate, '%d%y') || lpad(CAST(o_orderkey % 90000 AS VARCHAR), 5, '0') || CASE o_orderkey % 13 WHEN 0 THEN '' WHEN 1 THEN '.Q' ELSE '.U' END AS code FROM (SELECT *, chr(CAST(64 + month(o_orderdate) + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 12 END AS INT)) AS m FROM orders)),
+    p AS (SELECT o_orderkey, regexp_extract(code, '^(.+)([A-Xa-x])(\\d\\d)(\\d\\d)(\\d{5})\\.U$', ['root', 'm', 'd', 'y', 'k']) AS p FROM c),
+    q AS (SELECT o_orderkey, p.root AS root, strpos('ABCDEFGHIJKLMNOPQRSTUVWX', upper(p.m)) AS n, CAST(p.k AS DOUBLE) / CASE WHEN p.m = lower(p.m) THEN 10 ELSE 100 END AS strike, CASE WHEN CAST(p.y AS INT) <= 72 THEN '20' ELSE '19' END || p.y AS y, p.d AS d FROM p WHERE p.root <> ''),
+    v AS (SELECT o_orderkey, root, CASE WHEN n <= 12 THEN 'call' ELSE 'put' END AS kind, CAST(y || '-' || lpad(CAST((n - 1) % 12 + 1 AS VARCHAR), 2, '0') || '-' || d AS DATE) AS expiry, round(strike, 4) AS strike FROM q WHERE strike > 0)
+    SELECT o.o_orderkey, root, kind, expiry, strike FROM orders o LEFT JOIN v USING (o_orderkey)""")
 def option_identifiers(spark, sf_dir):
-    """Codes written from known contracts and decoded again; those that don't fit the shape give nulls."""
+    """Codes of contracts decoded; those without the exchange's suffix give nulls."""
     k, day = F.col("o_orderkey"), F.col("o_orderdate")
     month = F.char(F.lit(64) + F.month(day) + F.when(k % 2 == 0, 0).otherwise(12))
-    code = F.concat(F.lit("RT"), F.when(k % 3 == 0, F.lower(month)).otherwise(month), F.date_format(day, "ddyy"), F.lpad((k % 90000).cast("string"), 5, "0"), F.when(k % 13 == 0, "?").otherwise(""))
+    suffix = F.when(k % 13 == 0, "").when(k % 13 == 1, ".Q").otherwise(".U")
+    code = F.concat(F.lit("RT"), F.when(k % 3 == 0, F.lower(month)).otherwise(month), F.date_format(day, "ddyy"), F.lpad((k % 90000).cast("string"), 5, "0"), suffix)
     decoded = vendor.option_symbol(F.col("code"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"))
     return o.select("o_orderkey", decoded["root"].alias("root"), decoded["kind"].alias("kind"), decoded["expiry"].alias("expiry"), F.round(decoded["strike"], 4).alias("strike"))
 
 
-@query("""WITH x AS (SELECT event_id, ts, ts + to_minutes(CAST(event_id % 3 AS INTEGER)) AS received FROM events), c AS (SELECT event_id, received, CAST(CAST(received AS DATE) AS TIMESTAMP) AS day, ts - CAST(CAST(ts AS DATE) AS TIMESTAMP) AS clock FROM x),
-    r AS (SELECT event_id, received, day + clock AS moment FROM c) SELECT event_id, CASE WHEN date_diff('second', received, moment) / 3600.0 > 23 THEN moment - INTERVAL 1 DAY WHEN date_diff('second', received, moment) / 3600.0 < -23 THEN moment + INTERVAL 1 DAY ELSE moment END AS moment FROM r""")
+@query("""WITH r AS (SELECT event_id, ts, user_id, ts + to_minutes(CAST(user_id % 3 AS INTEGER)) AS got, CASE WHEN event_type = 'view' THEN NULL ELSE user_id % 12 - 6 END AS hours FROM events),
+    c AS (SELECT *, date_trunc('day', got) AS day, got - date_trunc('day', got) AS g, CASE WHEN event_type_blank THEN got - date_trunc('day', got) ELSE ts - date_trunc('day', ts) END AS q FROM (SELECT r.*, e.event_type = 'error' AS event_type_blank FROM r JOIN events e USING (event_id))),
+    d AS (SELECT *, g - q AS gap FROM c)
+    SELECT event_id, day + g - (CASE WHEN gap > INTERVAL 23 HOUR THEN gap - INTERVAL 24 HOUR WHEN gap < INTERVAL '-23 hours' THEN gap + INTERVAL 24 HOUR ELSE gap END) + to_hours(CAST(coalesce(hours, 0) AS INTEGER)) AS moment,
+        date_trunc('day', CASE WHEN event_type_blank THEN got ELSE ts END) + (ts - date_trunc('day', ts)) + to_hours(CAST(coalesce(hours, 0) AS INTEGER)) AS traded FROM d""")
 def wrapped_clocks(spark, sf_dir):
-    """Exchange clocks put on the day that brings them near the time of receipt, over midnight too."""
-    ts = F.col("ts")
-    received = ts + F.make_dt_interval(mins=(F.col("event_id") % 3).cast("int"))
-    clock = ts - F.to_date(ts).cast("timestamp_ntz")
-    return table(spark, sf_dir, "events").select("event_id", vendor.wrapped(F.to_date(received), clock, received).alias("moment"))
+    """Quotes' and trades' own clocks, as texts, put on the day of receipt or the one beside it, and moved by their offset from GMT."""
+    ts, got = F.col("ts"), F.col("ts") + F.make_dt_interval(mins=(F.col("user_id") % 3).cast("int"))
+    clock, blank = (lambda c: F.date_format(c, "HH:mm:ss.SSSSSS")), F.col("event_type") == "error"
+    offset = F.when(F.col("event_type") == "view", "").otherwise((F.col("user_id") % 12 - 6).cast("string"))
+    offset = F.nullif(offset, F.lit(""))
+    quote = vendor.quote_moment(F.date_format(got, "d-MMM-yyyy"), clock(got), F.when(blank, "").otherwise(clock(ts)), offset)
+    trade = vendor.trade_moment(F.when(blank, " ").otherwise(F.date_format(ts, "yyyy-MM-dd")), F.date_format(got, "d-MMM-yyyy"), clock(ts), offset)
+    return table(spark, sf_dir, "events").select("event_id", quote.alias("moment"), trade.alias("traded"))
 
 
 @query("""WITH t AS (SELECT event_id, concat_ws(';', CASE WHEN event_id % 2 = 0 THEN ' odd ' END, CASE WHEN event_id % 5 = 0 THEN 'OPEN' END, CASE WHEN event_id % 7 = 0 THEN 'Late' END) AS tags, event_type FROM events)
@@ -423,15 +450,15 @@ def quote_anomalies(spark, sf_dir):
     return q.groupBy("event_type").agg(*(F.count_if(c).alias(name) for name, c in marks.items()))
 
 
-@query("""WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN epoch_ms(o_orderdate) WHEN o_orderkey % 3 = 1 THEN epoch_ms(o_orderdate) / 1000 ELSE o_orderkey END AS stamp, date_diff('day', TIMESTAMP '1998-01-01', o_orderdate) AS dte FROM orders)
-    SELECT CASE WHEN dte < 0 THEN 'past' WHEN dte <= 7 THEN 'week' WHEN dte <= 45 THEN 'near' ELSE 'far' END AS bucket, count(*) AS n, count(*) FILTER (stamp BETWEEN 1e9 AND 1e11 OR stamp BETWEEN 1e12 AND 1e14) AS dated FROM x GROUP BY ALL""")
+@query("""WITH x AS (SELECT date_diff('day', o_orderdate, l_shipdate) AS dte, CASE l_linestatus WHEN 'F' THEN epoch_ms(l_shipdate) ELSE epoch_ms(l_shipdate) / 1000 END AS stamp, l_extendedprice * 1e6 AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT CASE WHEN dte = 0 THEN '0DTE' WHEN dte = 1 THEN '1DTE' WHEN dte >= 7 AND dte <= 21 THEN '7-21DTE' END AS bucket, count(*) AS n, count(*) FILTER (stamp >= 1e9 AND stamp < 1e11 OR stamp >= 1e12 AND stamp < 1e14) AS dated, count(*) FILTER (price >= 1e9 AND price < 1e11 OR price >= 1e12 AND price < 1e14) AS priced_as_date FROM x GROUP BY ALL""")
 def number_guards(spark, sf_dir):
-    """Seconds told from milliseconds by size, and days to expiry as labels."""
-    k, ms = F.col("o_orderkey"), primitives.micros("o_orderdate") / 1000
-    stamp = F.when(k % 3 == 0, ms).when(k % 3 == 1, ms / 1000).otherwise(k.cast("double"))
-    dte = F.date_diff("o_orderdate", F.lit("1998-01-01").cast("date"))
-    bucket = F.when(dte < 0, "past").when(dte <= 7, "week").when(dte <= 45, "near").otherwise("far")
-    return table(spark, sf_dir, "orders").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count(vendor.epoch_seconds(stamp)).alias("dated"))
+    """Seconds told from milliseconds by size, and days to shipment as the labels of expiries."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    ms = primitives.micros("l_shipdate") / 1000
+    stamp = F.when(F.col("l_linestatus") == "F", ms).otherwise(ms / 1000)
+    bucket = vendor.expiry_bucket(F.date_diff("l_shipdate", "o_orderdate"))
+    return lines.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count(vendor.epoch_seconds(stamp)).alias("dated"), F.count(vendor.epoch_seconds(F.col("l_extendedprice") * 1e6)).alias("priced_as_date"))
 
 
 @query("""WITH x AS (SELECT DISTINCT o_custkey % 100 AS root, CAST(o_orderdate AS DATE) AS expiry FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-04-01'), r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY expiry) AS k FROM x) SELECT root, expiry, CAST(k AS INTEGER) AS nth FROM r WHERE k <= 2""")
