@@ -520,12 +520,29 @@ def tape_deferral(spark, sf_dir):
     return _replayed(spark, sf_dir).groupBy("source").agg(F.count_if("deferred").alias("deferred"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, sha256(coalesce(role, '') || '|' || coalesce(text, '')) AS payload_hash FROM conversations),
-    l AS (SELECT *, coalesce(lag(payload_hash) OVER (PARTITION BY conv_id ORDER BY turn), '') AS previous_hash FROM p) SELECT conv_id, turn, previous_hash, sha256(previous_hash || '|' || payload_hash) AS record_hash FROM l""")
+@query("""WITH RECURSIVE p AS (SELECT conv_id, turn, sha256(coalesce(role, '') || '|' || coalesce(text, '')) AS h, row_number() OVER (PARTITION BY conv_id ORDER BY turn, sha256(coalesce(role, '') || '|' || coalesce(text, ''))) AS i FROM conversations),
+    c AS (SELECT conv_id, turn, i, '' AS previous_hash, sha256('|' || h) AS record_hash FROM p WHERE i = 1 UNION ALL SELECT p.conv_id, p.turn, p.i, c.record_hash, sha256(c.record_hash || '|' || p.h) FROM p JOIN c ON p.conv_id = c.conv_id AND p.i = c.i + 1)
+    SELECT conv_id, turn, previous_hash, record_hash FROM c""")
 def hash_chain_verify(spark, sf_dir):
+    """The ledger of each conversation: every record over the one before it."""
     return tape.chain(table(spark, sf_dir, "conversations"), "conv_id", "turn", ["role", "text"]).select("conv_id", "turn", "previous_hash", "record_hash")
 
 
+@query("""WITH RECURSIVE p AS (SELECT conv_id, turn, sha256(coalesce(role, '') || '|' || coalesce(text, '')) AS h, row_number() OVER (PARTITION BY conv_id ORDER BY turn, sha256(coalesce(role, '') || '|' || coalesce(text, ''))) AS i FROM conversations),
+    c AS (SELECT conv_id, i, sha256('|' || h) AS record_hash FROM p WHERE i = 1 UNION ALL SELECT p.conv_id, p.i, sha256(c.record_hash || '|' || p.h) FROM p JOIN c ON p.conv_id = c.conv_id AND p.i = c.i + 1)
+    SELECT conv_id, arg_max(record_hash, i) AS head, max(i) AS records FROM c GROUP BY conv_id""")
+def ledger_append(spark, sf_dir):
+    """The last record of each conversation's ledger, its replies appended in a second load to what the first left behind."""
+    c = table(spark, sf_dir, "conversations")
+    last = lambda df: df.groupBy("conv_id").agg(F.max_by("record_hash", F.struct("turn", "payload_hash")).alias("record_hash"), F.count(F.lit(1)).alias("n"))
+    half = c.groupBy("conv_id").agg((F.max("turn") / 2).alias("half"))
+    parted = c.join(half, "conv_id")
+    first = last(tape.chain(parted.filter("turn <= half"), "conv_id", "turn", ["role", "text"]))
+    then = last(tape.chain(parted.filter("turn > half"), "conv_id", "turn", ["role", "text"], heads=first))
+    both = first.withColumnsRenamed({"record_hash": "old", "n": "was"}).join(then, "conv_id", "full")
+    return both.select("conv_id", F.coalesce("record_hash", "old").alias("head"), (F.coalesce("was", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("records"))
+
+
 _NBBO = ", ".join(f"last_value(CASE WHEN venue = '{v}' THEN bid END IGNORE NULLS) OVER w AS bid_{v}, last_value(CASE WHEN venue = '{v}' THEN ask END IGNORE NULLS) OVER w AS ask_{v}" for v in ("click", "error", "view"))
 
 

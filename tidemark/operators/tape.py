@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def replay(events: DataFrame, cutoff) -> DataFrame:
@@ -20,12 +25,35 @@ def replay_order(events: DataFrame, by_day: str = "replay_ts") -> DataFrame:
     return day.withColumn("_rn", F.row_number().over(inside)).join(F.broadcast(starts), "_day").withColumn("ordinal", F.col("_start") + F.col("_rn")).drop("_day", "_rn", "_start")
 
 
-def chain(df: DataFrame, key: str, order: str, payload: list[str]) -> DataFrame:
-    """Each record's hash over its payload and the record before it in its chain."""
+def link(previous: str, payload_hash: str) -> str:
+    return hashlib.sha256(f"{previous}|{payload_hash}".encode()).hexdigest()
+
+
+def chain(df: DataFrame, key: str, order: str, payload: list[str], heads: DataFrame | None = None) -> DataFrame:
+    """payload_hash, previous_hash and record_hash: each record over its payload and the record before it, so a change breaks all behind it.
+
+    ``heads`` (``key``, record_hash) are the last records of a ledger that these rows are appended to; chains without one begin with nothing.
+    A chain is read in order by one task, as a stream: what is held is its last hash.
+    """
     own = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in payload)), 256)
-    w = Window.partitionBy(key).orderBy(order)
-    linked = df.withColumn("payload_hash", own).withColumn("previous_hash", F.coalesce(F.lag("payload_hash").over(w), F.lit("")))
-    return linked.withColumn("record_hash", F.sha2(F.concat_ws("|", "previous_hash", "payload_hash"), 256))
+    rows = df.withColumn("payload_hash", own)
+    head = rows.sparkSession.createDataFrame([], f"_k {df.schema[key].dataType.simpleString()}, _head string") if heads is None else heads.select(F.col(key).alias("_k"), F.col("record_hash").alias("_head"))
+    rows = rows.join(head, rows[key].eqNullSafe(head["_k"]), "left").drop("_k").repartition(key).sortWithinPartitions(key, order, "payload_hash")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, last = object(), ""
+        for b in batches:
+            previous, record = [], []
+            for k, h, head in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (key, "payload_hash", "_head")), strict=True):
+                if k != name:
+                    name, last = k, head or ""
+                previous.append(last)
+                last = link(last, h)
+                record.append(last)
+            kept = [c for c in b.schema.names if c != "_head"]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(previous, pa.string()), pa.array(record, pa.string())], names=[*kept, "previous_hash", "record_hash"])
+
+    return rows.mapInArrow(linked, T.StructType([*(f for f in rows.schema.fields if f.name != "_head"), T.StructField("previous_hash", T.StringType()), T.StructField("record_hash", T.StringType())]))
 
 
 def exposure_peak(spans: DataFrame, key: str, start: str, end: str, amount: str) -> DataFrame:

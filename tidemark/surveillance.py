@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import _TAPE, _r, _tape, query, table
 from .functions import vendor
-from .operators import lineage, positions, primitives, quality
+from .operators import lineage, positions, primitives, quality, tape
 from .plans import calendar
 
 
@@ -281,16 +281,8 @@ def lineage_closure(spark, sf_dir):
     SELECT conv_id, turn, fault, count(fault) OVER (PARTITION BY conv_id ORDER BY turn) = 0 AS verified FROM v""")
 def chain_breaks(spark, sf_dir):
     """Stored chains with forged payloads and lost links: the break is found, and nothing behind it is trusted."""
-    c = table(spark, sf_dir, "conversations").withColumn("payload_hash", F.sha2(F.concat_ws("|", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))), 256))
-    link = lambda a, b: F.sha2(F.concat_ws("|", a, b), 256)
-    packed = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "payload_hash"))).alias("l"))
-    empty = F.expr("cast(array() AS array<struct<turn:bigint,payload_hash:string,previous_hash:string,record_hash:string>>)")
-
-    def step(done, x):
-        before = F.coalesce(F.try_element_at(done, F.lit(-1))["record_hash"], F.lit(""))
-        return F.concat(done, F.array(F.struct(x["turn"].cast("long").alias("turn"), x["payload_hash"].alias("payload_hash"), before.alias("previous_hash"), link(before, x["payload_hash"]).alias("record_hash"))))
-
-    rows = packed.select("conv_id", F.posexplode(F.aggregate("l", empty, step)).alias("i", "x")).select("conv_id", "i", "x.*")
+    chained = tape.chain(table(spark, sf_dir, "conversations"), "conv_id", "turn", ["role", "text"])
+    rows = chained.withColumn("i", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "payload_hash")) - 1)
     stored = rows.withColumn("payload_hash", F.when((F.col("conv_id") % 7 == 3) & (F.col("i") == 1), F.sha2(F.concat(F.lit("forged"), "payload_hash"), 256)).otherwise(F.col("payload_hash"))).withColumn("previous_hash", F.when((F.col("conv_id") % 11 == 5) & (F.col("i") == 2), "lost").otherwise(F.col("previous_hash")))
     return lineage.chain_breaks(stored, "conv_id", "turn").select("conv_id", "turn", "fault", "verified")
 
