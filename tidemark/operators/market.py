@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .primitives import asof_join, median, micros
+from .primitives import asof_join, carried, median, micros
 
 #: Fixed value: 75 % quantile of the standard normal, which makes MAD a scale.
 ROBUST = 0.6744897501960817
@@ -30,16 +30,16 @@ def bars(tape: DataFrame, unit: str = "hour") -> DataFrame:
 
 
 def signed_flow(tape: DataFrame) -> DataFrame:
-    """Trades signed by the tick rule: the sign of the last price change, carried over equal prices."""
-    w = Window.partitionBy("symbol").orderBy("ts", "seq")
-    step = tape.withColumn("change", F.col("price") - F.lag("price").over(w))
+    """Trades signed by the tick rule: the sign of the last price change, carried over equal prices; days are apart until their ends meet."""
+    step = carried(tape, ["symbol"], ["ts", "seq"], {"_before": F.struct("price")}, F.to_date("ts"), inclusive=False)
+    step = step.withColumn("change", F.col("price") - F.col("_before.price")).drop("_before")
     sign = F.when(F.col("change") > 0, 1).when(F.col("change") < 0, -1)
-    return step.withColumn("sign", F.coalesce(F.last(sign, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    return carried(step, ["symbol"], ["ts", "seq"], {"sign": sign}, F.to_date("ts")).withColumn("sign", F.coalesce("sign", F.lit(0)))
 
 
 def effective_spread(tape: DataFrame, quotes: DataFrame, max_age_us: int) -> DataFrame:
     """Each trade's distance from the mid of the last quote not older than ``max_age_us``, twice."""
-    joined = asof_join(tape, quotes, ["symbol"], "ts", "quote_ts", ["bid", "ask"], tolerance_us=max_age_us)
+    joined = asof_join(tape, quotes, ["symbol"], "ts", "quote_ts", ["bid", "ask"], tolerance_us=max_age_us, bucket=F.to_date)
     mid = (F.col("bid") + F.col("ask")) / 2
     return joined.withColumn("mid", mid).withColumn("effective_spread", 2 * F.abs(F.col("price") - mid)).withColumn("side", F.when(F.col("price") > mid, 1).when(F.col("price") < mid, -1))
 
@@ -86,15 +86,22 @@ def lagged_return(tape: DataFrame, seconds: int, slack: int) -> DataFrame:
 
 
 def realized_volatility(tape: DataFrame, seconds: int) -> DataFrame:
-    """Sample deviation of log returns between points inside the window; needs three points."""
+    """Sample deviation of log returns between points inside the window; needs three points.
+
+    Returns and their squares are summed once along the day; a window's are the difference between its last and its first point.
+    """
     t = tape.filter("price > 0").withColumn("us", micros("ts"))
-    w = Window.partitionBy("symbol", F.to_date("ts")).orderBy("us").rangeBetween(-seconds * 1_000_000, 0)
-    line = F.array_sort(F.collect_list(F.struct("us", "seq", "price")).over(w))
-    t = t.withColumn("line", line).withColumn("points", F.size("line"))
-    steps = F.transform(F.sequence(F.lit(1), F.col("points") - 1), lambda i: F.log(F.get("line", i)["price"] / F.get("line", i - 1)["price"]))
-    t = t.withColumn("r", F.when(F.col("points") >= 3, steps)).withColumn("m", F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / F.size("r"))
-    squares = F.aggregate(F.transform("r", lambda x: (x - F.col("m")) * (x - F.col("m"))), F.lit(0.0), lambda a, x: a + x)
-    return t.select("seq", "symbol", "points", F.sqrt(squares / (F.size("r") - 1)).alias("volatility"))
+    day = Window.partitionBy("symbol", F.to_date("ts"))
+    line = day.orderBy("us", "seq")
+    step = F.coalesce(F.log(F.col("price") / F.lag("price").over(line)), F.lit(0.0))
+    along = line.rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("r", step).withColumns({"s": F.sum("r").over(along), "q": F.sum(F.col("r") * F.col("r")).over(along)})
+    near = day.orderBy("us").rangeBetween(-seconds * 1_000_000, 0)
+    point = F.struct("us", "seq", "s", "q")
+    t = t.withColumns({"points": F.count(F.lit(1)).over(near), "first": F.min(point).over(near), "last": F.max(point).over(near)})
+    n, total, squares = F.col("points") - 1, F.col("last.s") - F.col("first.s"), F.col("last.q") - F.col("first.q")
+    variance = F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0))
+    return t.select("seq", "symbol", F.col("points").cast("int").alias("points"), F.when(F.col("points") >= 3, F.sqrt(variance)).alias("volatility"))
 
 
 def best_quotes(quotes: DataFrame, key: str, order: list[str], venues: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,22 +13,46 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, columns: list[str], *, tolerance_us: int | None = None, forward: bool = False) -> DataFrame:
+def carried(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], bucket: Column, *, inclusive: bool = True, forward: bool = False) -> DataFrame:
+    """The last value that isn't null up to each row in ``order`` (from it on, with ``forward``), of each of ``values``.
+
+    A key's rows are split by ``bucket``, which must follow the order: what a bucket ends with is one row, those rows
+    are carried along per key, and each bucket starts from what the earlier ones left. So a key of any length is
+    spread over as many tasks as it has buckets. ``inclusive`` counts the row itself. Null keys are a key.
+    """
+    near = Window.partitionBy(*keys, "_b").orderBy(*([F.desc(c) for c in order] if forward else order)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    parted = df.withColumn("_b", bucket).withColumns({f"_at_{n}": c for n, c in values.items()})
+    inside = parted.withColumns({f"_in_{n}": F.last(f"_at_{n}", ignorenulls=True).over(near) for n in values})
+    latest = F.min if forward else F.max
+    ends = parted.groupBy(*keys, "_b").agg(*(latest(F.when(F.col(f"_at_{n}").isNotNull(), F.struct(*order, F.col(f"_at_{n}").alias("_v")))).alias(f"_end_{n}") for n in values))
+    before = Window.partitionBy(*keys).orderBy(F.desc("_b") if forward else "_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    starts = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_kb"), *(F.last(f"_end_{n}", ignorenulls=True).over(before)["_v"].alias(f"_start_{n}") for n in values))
+    same = F.expr(" AND ".join([*(f"`{k}` <=> _k{i}" for i, k in enumerate(keys)), "_b <=> _kb"]))
+    out = inside.join(starts, same).withColumns({n: F.coalesce(f"_in_{n}", f"_start_{n}") for n in values})
+    return out.drop("_b", "_kb", *(f"_k{i}" for i in range(len(keys))), *(f"_{x}_{n}" for n in values for x in ("at", "in", "start")))
+
+
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, columns: list[str], *, tolerance_us: int | None = None, forward: bool = False, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """For each left row the latest right row at or before it (or the first at or after), per key.
 
     One shuffle: both sides are put in one order per key and the last right row is carried along, so a
     join condition never widens. Of right rows at one instant the largest ``columns`` holds. Rows farther
     than ``tolerance_us`` match nothing. Adds ``columns`` and ``matched_ts``; null keys match null keys.
+    Where few keys hold many rows, ``bucket`` (of a timestamp, such as ``F.to_date``) splits them; see ``carried``.
     """
     side = F.struct(F.col(right_ts).alias("matched_ts"), *columns)
     r = right.select(*keys, F.col(right_ts).alias("_ts"), F.lit(1 if forward else 0).alias("_side"), side.alias("_hit"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"))
     a = left.select(*keys, F.col(left_ts).alias("_ts"), F.lit(0 if forward else 1).alias("_side"), F.lit(None).cast(r.schema["_hit"].dataType).alias("_hit"), F.struct("*").alias("_row"))
-    order = [F.desc("_ts"), F.desc("_side"), F.desc("_hit")] if forward else ["_ts", "_side", "_hit"]
-    carried = F.last("_hit", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    out = r.unionByName(a).withColumn("_hit", carried).filter("_row IS NOT NULL")
+    both = r.unionByName(a)
+    if bucket is None:
+        order = [F.desc("_ts"), F.desc("_side"), F.desc("_hit")] if forward else ["_ts", "_side", "_hit"]
+        out = both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        out = carried(both.withColumnRenamed("_hit", "_own"), keys, ["_ts", "_side", "_own"], {"_hit": F.col("_own")}, bucket(F.col("_ts")), forward=forward)
+    out = out.filter("_row IS NOT NULL")
     if tolerance_us is not None:
-        near = F.abs(micros("_ts") - micros(F.col("_hit.matched_ts"))) <= tolerance_us
-        out = out.withColumn("_hit", F.when(near, F.col("_hit")))
+        close = F.abs(micros("_ts") - micros(F.col("_hit.matched_ts"))) <= tolerance_us
+        out = out.withColumn("_hit", F.when(close, F.col("_hit")))
     return out.select("_row.*", "_hit.*")
 
 

@@ -58,6 +58,16 @@ def standardized_difference(df: DataFrame, group: str, covariates: list[str]) ->
     return out.select("covariate", "treated_mean", "control_mean", ((F.col("treated_mean") - F.col("control_mean")) / F.nullif(F.sqrt((F.col("v1") + F.col("v0")) / 2), F.lit(0.0))).alias("smd"))
 
 
+def within_caliper(treated: DataFrame, controls: DataFrame, keys: list[str], x: str, y: str, caliper: float) -> DataFrame:
+    """Pairs of the same ``keys`` whose ``x`` and ``y`` lie at most ``caliper`` apart, with their ``distance``.
+
+    Sides meet in bands as wide as the caliper, a treated row in its own and both beside it, so a key's rows only meet those near them.
+    """
+    band = lambda c: F.floor(F.col(c) / caliper)
+    t = treated.withColumn("_band", F.explode(F.sequence(band(x) - 1, band(x) + 1)))
+    return t.join(controls.withColumn("_band", band(y)), [*keys, "_band"]).withColumn("distance", F.abs(F.col(x) - F.col(y))).filter(F.col("distance") <= caliper).drop("_band")
+
+
 def robust_scale(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median and 1.4826 MAD per group, else the sample deviation where the MAD is zero."""
     mid = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"), F.stddev_samp(value).alias("std"))

@@ -91,9 +91,9 @@ def microstructure_panel(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("book", F.col("user_id") % 20)
     q = e.filter("event_type = 'view'").select("book", F.col("ts").alias("q_ts"), F.col("value").alias("mid"))
     t = e.filter("event_type = 'purchase'").select("book", "ts", F.col("value").alias("price"), F.col("k").alias("size"), "event_id")
-    before = primitives.asof_join(t, q, ["book"], "ts", "q_ts", ["mid"]).drop("matched_ts").withColumn("mark", F.col("ts") + F.make_dt_interval(mins=F.lit(30)))
+    before = primitives.asof_join(t, q, ["book"], "ts", "q_ts", ["mid"], bucket=F.to_date).drop("matched_ts").withColumn("mark", F.col("ts") + F.make_dt_interval(mins=F.lit(30)))
     best = q.groupBy("book", "q_ts").agg(F.max("mid").alias("later"))
-    f = primitives.asof_join(before, best, ["book"], "mark", "q_ts", ["later"], forward=True).filter("mid IS NOT NULL")
+    f = primitives.asof_join(before, best, ["book"], "mark", "q_ts", ["later"], forward=True, bucket=F.to_date).filter("mid IS NOT NULL")
     side = F.signum(F.col("price") - F.col("mid"))
     s = f.select("book", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("bucket"), "size", (2 * F.abs(F.col("price") - F.col("mid"))).alias("eff"), (2 * side * (F.col("price") - F.col("later"))).alias("real"), (2 * side * (F.col("later") - F.col("mid"))).alias("imp"))
     mean = lambda c: F.round(F.sum(F.col(c) * F.col("size")) / F.nullif(F.sum(F.when(F.col(c).isNotNull(), F.col("size"))), F.lit(0)), 4)
