@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from .catalogue import query, table
-from .operators import admission, assignment, history, identity, modelling, orderbook, resampling
+from .functions import ticks
+from .operators import admission, assignment, chains, history, identity, modelling, orderbook, resampling
+from .plans import coverage
 from .sources import filings
 
 #: Cents of open line value that a supplier's book may hold.
@@ -285,3 +289,69 @@ def share_fact_files(spark, sf_dir):
     symbols = table(spark, sf_dir, "customer").filter("c_nationkey <> 3").select(F.col("c_custkey").cast("string").alias("cik"), F.explode(spans).alias("s")).select("cik", F.concat("s.p", "cik").alias("historical_symbol"), F.col("s.a").alias("effective_from"), F.col("s.b").alias("effective_to"))
     out = filings.share_facts(files, symbols)
     return out.groupBy("reason", "historical_symbol").agg(F.count(F.lit(1)).alias("n"), F.min("fact_date").alias("first_fact")).withColumn("first_fact", F.when(F.coalesce(F.col("reason").isin("value", "dates"), F.lit(False)), None).otherwise(F.col("first_fact")))
+
+
+# --- vendor rows, chains, required histories ----------------------------------------------------------
+
+
+@query("""WITH raw AS (SELECT CASE l_linestatus WHEN 'F' THEN 'Trade' ELSE 'Quote' END AS type, CASE WHEN l_quantity > 48 THEN '' ELSE CAST(l_extendedprice AS VARCHAR) END AS price, CAST(l_quantity - 3 AS VARCHAR) AS volume,
+        CASE l_returnflag WHEN 'R' THEN 'T [GV4_TEXT];X6[LSTSALCOND]' WHEN 'A' THEN ' ODD[IRGCOND] ;4[LSTSALCOND]' ELSE CASE WHEN l_tax > 0.05 THEN 'O [CTS_QUAL]' ELSE '' END END AS q, CASE WHEN l_tax = 0 THEN '' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS day, strftime(l_shipdate, '%-d-%b-%Y') AS vendor_day, '1' || l_linenumber || ':00:00.5' AS clock, CAST(l_discount * 100 - 5 AS VARCHAR) AS hours FROM lineitem),
+    p AS (SELECT *, list_transform(list_filter(list_transform(string_split(q, ';'), lambda x: trim(x)), lambda x: x <> ''), lambda x: x) AS pieces, TRY_CAST(nullif(price, '') AS DOUBLE) AS pr, TRY_CAST(volume AS DOUBLE) AS v, CAST(CASE WHEN trim(day) = '' THEN strptime(vendor_day, '%d-%b-%Y') ELSE CAST(day AS TIMESTAMP) END AS TIMESTAMP) AS d FROM raw),
+    h AS (SELECT *, list_transform(list_filter(pieces, lambda x: ends_with(x, '_TEXT]') OR ends_with(x, '[LSTSALCOND]')), lambda x: CASE WHEN ends_with(x, '_TEXT]') THEN left(x, length(x) - 10) ELSE left(x, length(x) - 12) END) AS heads,
+        d + to_microseconds(CAST(split_part(clock, ':', 1) AS BIGINT) * 3600000000 + 500000) + to_microseconds(CAST(round(CAST(hours AS DOUBLE) * 3600000000) AS BIGINT)) AS told FROM p),
+    f AS (SELECT CASE WHEN type <> 'Trade' THEN 'type' WHEN pr IS NULL OR v IS NULL OR pr <= 0 OR v <= 0 THEN 'economics' WHEN told IS NULL THEN 'timestamp' END AS reason, told, pr * v AS notional, len(list_filter(heads, lambda x: contains(x, 'T'))) > 0 AS form_t, len(list_filter(heads, lambda x: contains(x, '6'))) > 0 AS closing, list_contains(pieces, 'O [CTS_QUAL]') OR len(list_filter(heads, lambda x: contains(x, 'O'))) > 0 AS opening,
+        list_contains(pieces, 'ODD[IRGCOND]') OR list_contains(pieces, 'ODT[IRGCOND]') AS odd_lot, len(list_filter(heads, lambda x: contains(x, 'N') OR contains(x, 'P') OR contains(x, '4') OR contains(x, 'Z'))) = 0 AS regular FROM h)
+    SELECT coalesce(reason, 'good') AS reason, form_t, opening, closing, odd_lot, regular, count(*) AS n, min(told) FILTER (reason IS NULL) AS earliest, max(told) FILTER (reason IS NULL) AS latest, round(sum(notional) FILTER (reason IS NULL), 2) AS notional FROM f GROUP BY ALL""")
+def vendor_trades(spark, sf_dir):
+    """Lines as a vendor's trade rows, all texts: typed, flagged by their qualifiers, and rejected by reason."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    text = lambda c: F.col(c).cast("string")
+    qualifiers = F.when(F.col("l_returnflag") == "R", "T [GV4_TEXT];X6[LSTSALCOND]").when(F.col("l_returnflag") == "A", " ODD[IRGCOND] ;4[LSTSALCOND]").when(F.col("l_tax") > 0.05, "O [CTS_QUAL]").otherwise("")
+    rows = l.select(
+        F.concat(F.lit("P"), text("l_partkey"), F.lit(".N")).alias("#RIC"), F.when(F.col("l_linestatus") == "F", "Trade").otherwise("Quote").alias("Type"), F.when(F.col("l_quantity") > 48, "").otherwise(text("l_extendedprice")).alias("Price"), (F.col("l_quantity") - 3).cast("string").alias("Volume"), qualifiers.alias("Qualifiers"),
+        F.when(F.col("l_tax") == 0, "").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("Trd/Qte Date"), F.date_format("l_shipdate", "d-MMM-yyyy").alias("Date[G]"), F.concat(F.lit("1"), text("l_linenumber"), F.lit(":00:00.5")).alias("Exch Time"), (F.col("l_discount") * 100 - 5).cast("string").alias("GMT Offset"))
+    t = ticks.trades(rows)
+    good = lambda c: F.when(F.col("reason").isNull(), c)
+    flags = {n: F.col(f"flags.{n}") for n in ("form_t", "opening", "closing", "odd_lot")}
+    regular = ticks.regular({n: F.col(f"flags.{n}") for n in ticks.IRREGULAR})
+    return t.groupBy(F.coalesce("reason", F.lit("good")).alias("reason"), *(c.alias(n) for n, c in flags.items()), regular.alias("regular")).agg(F.count(F.lit(1)).alias("n"), F.min(good(F.col("timestamp"))).alias("earliest"), F.max(good(F.col("timestamp"))).alias("latest"), F.round(F.sum(good(F.col("price") * F.col("size"))), 2).alias("notional"))
+
+
+@query("""WITH l AS (SELECT CASE l_returnflag WHEN 'R' THEN 'call' WHEN 'A' THEN 'put' ELSE CASE WHEN l_tax < 0.02 THEN NULL ELSE 'call' END END AS side, p_size <= 45 AS own, CASE WHEN l_linenumber = 7 THEN 10 ELSE 100 END AS lot, p_retailprice AS strike, l_quantity - 2 AS bid, l_quantity - 2 + l_tax * 100 AS ask, l_extendedprice / 300 AS interest, epoch(l_shipdate) AS quoted, epoch(l_shipdate) + l_discount * 10000 AS now, o_totalprice / 260 AS spot, l_discount * 5 AS iv,
+        strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN l_linestatus = 'F' THEN '+00:00' ELSE '' END AS updated FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+    a AS (SELECT *, CASE WHEN quoted >= 1e9 AND quoted < 1e11 THEN CASE WHEN quoted <= now + 60 THEN round(greatest(0, now - quoted), 1) END END AS age FROM l),
+    s AS (SELECT *, CASE WHEN side IS NULL THEN 'no_option' WHEN NOT (own AND lot = 100) THEN 'adjusted' WHEN NOT strike > 0 THEN 'strike' WHEN NOT (bid > 0 AND ask > 0) THEN 'nonpositive' WHEN ask < bid THEN 'crossed' WHEN age IS NULL OR age > 120 THEN 'stale' WHEN interest < 100 THEN 'interest' WHEN (ask - bid) / ((ask + bid) / 2) > 0.25 THEN 'wide' WHEN CASE side WHEN 'call' THEN strike <= spot ELSE strike >= spot END THEN 'in_the_money' ELSE 'liquid' END AS stage,
+        CASE WHEN age IS NULL THEN 'age_missing_or_unparseable' WHEN age <= 120 THEN 'age_at_most_120s' WHEN age <= 300 THEN 'age_121_to_300s' WHEN age <= 900 THEN 'age_301_to_900s' ELSE 'age_over_900s' END AS age_bin,
+        CASE WHEN side IS NOT NULL AND own AND lot = 100 AND abs(strike - spot) / spot <= 0.03 THEN CASE WHEN NOT (bid > 0 AND ask >= bid AND (ask - bid) / ((ask + bid) / 2) <= 0.25 AND coalesce(age, 1e9) <= 120 AND interest >= 100) THEN 'quote' WHEN NOT (iv > 0 AND iv <= 3) THEN 'iv' WHEN updated NOT LIKE '%+00:00' THEN 'naive' WHEN now - quoted > 5400 THEN 'stale' ELSE 'fresh' END END AS greeks FROM a)
+    SELECT coalesce(side, 'none') AS side, stage, age_bin, coalesce(greeks, 'far') AS greeks, count(*) AS legs FROM s GROUP BY ALL""")
+def chain_funnel(spark, sf_dir):
+    """Lines as legs of option chains: each by the first rule that it fails, its age, and what its volatility lacks near the money."""
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    quoted = F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("double")
+    legs = j.select(
+        F.when(F.col("l_returnflag") == "R", "call").when(F.col("l_returnflag") == "A", "put").when(F.col("l_tax") >= 0.02, "call").alias("side"), (F.col("p_size") <= 45).alias("own"), F.when(F.col("l_linenumber") == 7, 10).otherwise(100).alias("lot"), F.col("p_retailprice").alias("strike"), (F.col("l_quantity") - 2).alias("bid"),
+        (F.col("l_quantity") - 2 + F.col("l_tax") * 100).alias("ask"), (F.col("l_extendedprice") / 300).alias("interest"), quoted.alias("quoted"), (quoted + F.col("l_discount") * 10000).alias("now"), (F.col("o_totalprice") / 260).alias("spot"), (F.col("l_discount") * 5).alias("iv"),
+        F.concat(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("l_linestatus") == "F", "+00:00").otherwise("")).alias("updated"))
+    legs = legs.withColumn("age", chains.age(F.col("quoted"), F.col("quoted"), F.col("now")))
+    leg = [F.col(c) for c in ("side", "own", "lot", "strike", "bid", "ask", "interest", "age", "spot")]
+    near = chains.greeks_stage(*leg, F.col("iv"), F.col("updated"), F.col("now"))
+    return legs.groupBy(F.coalesce("side", F.lit("none")).alias("side"), chains.stage(*leg).alias("stage"), chains.age_bin(F.col("age")).alias("age_bin"), F.coalesce(near, F.lit("far")).alias("greeks")).agg(F.count(F.lit(1)).alias("legs"))
+
+
+_CLOSED, _SHORT = [date(2023, 11, 23), date(2023, 12, 25), date(2024, 1, 1), date(2024, 1, 15), date(2024, 2, 19)], [date(2023, 11, 24)]
+
+
+@query("""WITH cal AS (SELECT day, day = DATE '2023-11-24' AS early, row_number() OVER (ORDER BY day) AS n, sum(CASE WHEN day = DATE '2023-11-24' THEN 0 ELSE 1 END) OVER (ORDER BY day) AS f FROM (SELECT CAST(d AS DATE) AS day FROM generate_series(TIMESTAMP '2023-11-01', TIMESTAMP '2024-02-28', INTERVAL 1 DAY) AS g(d)) WHERE isodow(day) <= 5 AND day NOT IN (DATE '2023-11-23', DATE '2023-12-25', DATE '2024-01-01', DATE '2024-01-15', DATE '2024-02-19')),
+    c AS (SELECT DISTINCT user_id AS symbol, CAST(ts AS DATE) AS event_date, date_trunc('minute', ts) AS m FROM events WHERE CAST(ts AS TIME) BETWEEN TIME '09:30:00' AND TIME '16:00:00'),
+    g AS (SELECT c.*, n, f, CAST(m + INTERVAL 1 MINUTE AS TIME) > TIME '13:00:00' AS long, strftime(m, '%H:%M') AS minute FROM c JOIN cal ON event_date = day WHERE n - 1 >= 30 AND f - 1 >= 21),
+    x AS (SELECT symbol, event_date AS trade_date, event_date, 'event_point' AS role, unnest([minute, strftime(m - INTERVAL 1 MINUTE, '%H:%M')]) AS minute FROM g
+        UNION ALL SELECT symbol, b.day, event_date, 'normalization_baseline', minute FROM g JOIN cal b ON NOT long AND b.n BETWEEN g.n - 21 AND g.n - 1
+        UNION ALL SELECT symbol, b.day, event_date, 'normalization_baseline', minute FROM g JOIN cal b ON long AND NOT b.early AND b.f BETWEEN g.f - 21 AND g.f - 1
+        UNION ALL SELECT symbol, b.day, event_date, 'daily_close_history', NULL FROM g JOIN cal b ON b.n BETWEEN g.n - 30 AND g.n - 1),
+    r AS (SELECT symbol, trade_date, array_to_string(list_sort(list(DISTINCT role)), ';') AS roles, count(DISTINCT event_date) AS event_dates, coalesce(array_to_string(list_sort(list(DISTINCT minute) FILTER (role = 'event_point')), ';'), '') AS event_minutes, coalesce(array_to_string(list_sort(list(DISTINCT minute) FILTER (role = 'normalization_baseline')), ';'), '') AS normal_minutes FROM x GROUP BY ALL)
+    SELECT r.*, CASE WHEN early THEN '12:59' ELSE '15:59' END AS close_minute, roles <> 'daily_close_history' AS needs_quotes_and_shares FROM r JOIN cal ON trade_date = day""")
+def history_needs(spark, sf_dir):
+    """What market data the events of each user call for, date by date: their own minutes, baselines and closes."""
+    cal = coverage.sessions(spark, date(2023, 11, 1), date(2024, 2, 28), holidays=_CLOSED, early=_SHORT)
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("symbol"), F.col("ts").alias("cutoff"))
+    return coverage.history_requirements(cal, events, normal=21, closes=30)[0]
