@@ -564,13 +564,6 @@ def order_book_exec(spark, sf_dir):
     return market.book_executions(steps, "user_id")
 
 
-@query()
-def bootstrap_ci(spark, sf_dir):
-    """Percentile interval of the mean of daily means, days drawn with replacement by hash."""
-    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("x"))
-    return statistics.cluster_bootstrap(days, "day", "x", 200)
-
-
 @query()
 def lr_scores(spark, sf_dir):
     """Logistic regression of returned lines on earlier years, scored on later ones."""

@@ -82,15 +82,6 @@ def tiered_cost(df: DataFrame, n: str, tiers: list[tuple[float, float | None, fl
     return sum(parts[1:], parts[0])
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, value: str, repetitions: int, *, seed: int = 7) -> DataFrame:
-    """Mean and 95 % interval of means over clusters drawn with replacement; draws are hashes, so reruns agree."""
-    n = df.count()
-    clusters = df.withColumn("slot", F.row_number().over(Window.orderBy(cluster)) - 1)  # one row per cluster
-    draws = df.sparkSession.range(repetitions * n).select(F.expr(f"id div {n}").alias("rep"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(n, 1))).cast("int").alias("slot")) if n else df.sparkSession.createDataFrame([], "rep bigint, slot int")
-    means = draws.join(F.broadcast(clusters.select("slot", value)), "slot").groupBy("rep").agg(F.avg(value).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.count(F.lit(1)).alias("repetitions"))
-
-
 def time_split_logistic(df: DataFrame, ts: str, cut: str, features: list[str], keys: list[str]) -> DataFrame:
     """Scores of rows at or after ``cut`` by a standardised, regularised logistic regression on rows before."""
     from pyspark.ml import Pipeline

@@ -103,6 +103,12 @@ def week_cluster_quantiles(spark, sf_dir):
     return _rounded(resampling.block_bootstrap(table(spark, sf_dir, "events"), [], week, F.col("value"), repetitions=4000, seed=261117, rule="interpolated", least_blocks=2))
 
 
+@query(_intervals_sql("event_type", "events", "strftime(ts, '%Y-%m-%d')", "value", 200, 7, "q1", "q2", 2))
+def bootstrap_ci(spark, sf_dir):
+    """Mean event value by type with an interval over whole days."""
+    return _rounded(resampling.block_bootstrap(table(spark, sf_dir, "events"), ["event_type"], F.date_format("ts", "yyyy-MM-dd"), F.col("value"), repetitions=200, seed=7, rule="interpolated", least_blocks=2))
+
+
 # --- identity -----------------------------------------------------------------------------------------
 
 #: Claims by an order's priority come in these lanes; the last two of five priorities in none that counts.
