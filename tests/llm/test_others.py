@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.html import Model, default_model, labelled_pages, main_text, train, tree
@@ -73,9 +74,45 @@ def test_topk_is_exact(spark):
             best = sorted((-int(v @ w), i) for i, w in good if i != q)[:5]
             want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
     assert {tuple(r) for r in out} == want
+    split = voronoi_topk(spark.createDataFrame(rows, VECTORS).withColumns({"row": F.lit(1), "q": F.lit("x"), "score": F.lit(2)}), F.col("vec_id") % 20 == 0, k=5, pivots=3, part_rows=7, ask_rows=2).collect()
+    assert {tuple(r) for r in split} == want and len(split) == len(out)
     assert voronoi_topk(spark.createDataFrame([], VECTORS), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_groups_are_bounded(spark):
+    """All vectors in one cell, all of them queries: no group of candidates and queries grows with them."""
+    from tidemark.llm import topk
+
+    sizes, df = [], spark.createDataFrame([(i, [1.0, i / 400]) for i in range(400)], "vec_id int, embedding array<double>")
+    frame, held = type(df), type(df).groupBy
+
+    def counted(self, *keys):
+        if keys == ("cell", "part", "turn"):
+            sizes.extend(r.n for r in held(self, *keys, "ask").agg(F.count(F.lit(1)).alias("n")).collect())
+        return held(self, *keys)
+
+    frame.groupBy = counted
+    try:
+        out = topk.voronoi_topk(df, F.lit(True), k=3, pivots=1, part_rows=50, ask_rows=40).collect()
+    finally:
+        frame.groupBy = held
+    assert len(out) == 1200 and max(sizes) <= 100 and len(sizes) > 100
+
+
+def test_topk_edges(spark):
+    ask = F.col("vec_id") == 0
+    table = lambda rows, kind="bigint": spark.createDataFrame(rows, f"vec_id {kind}, embedding array<double>")
+    twins = voronoi_topk(table([(0, [1.0]), (0, [2.0]), (1, [3.0]), (1, [3.0])]), ask, k=3).orderBy("rank", "vec_id", "score").collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in twins) == sorted([(1, 1, 64 * 192), (2, 1, 64 * 192), (3, 0, 64 * 128), (1, 1, 128 * 192), (2, 1, 128 * 192), (3, 0, 64 * 128)])
+    with pytest.raises(ValueError, match="dimensions"):
+        voronoi_topk(table([(0, [1.0]), (1, [1.0, 2.0])]), ask)
+    with pytest.raises(ValueError, match="53 bits"):
+        voronoi_topk(table([(0, [1e17]), (1, [1.0])]), ask)
+    with pytest.raises(TypeError):
+        voronoi_topk(table([("0", [1.0])], "string"), ask)
+    assert voronoi_topk(table([(0, [1.0])]), ask).count() == 0 and voronoi_topk(table([(5, [1.0]), (6, [1.0])]), ask).count() == 0
+
+
 def test_held_out_pages():
     pages = list(labelled_pages(80, seed=77))
     assert sum(default_model().text(p) == main for p, main in pages) >= 0.85 * len(pages)

@@ -4,15 +4,16 @@ Both sides are grouped by their nearest pivot. A group of candidates is summaris
 the pivot; for a query q and a group with pivot p and radius r no inner product exceeds
 ``q . p + |q| r``. Each query first finds k candidates in the groups that this bound ranks highest, whose
 k-th score is a floor; it then goes only to the groups whose bound reaches the floor. Groups are cut
-into parts by hash, so that none is one task's, and each task solves its part with matrix products and
-returns at most k candidates per query.
+into parts by hash, and so are the queries that ask one, so that no task holds more than about ``PART_ROWS``
+candidates and ``ASK_ROWS`` queries; it solves its part with matrix products and returns at most k candidates per query.
 
-Pivots come from a bounded sample (``PIVOTS`` vectors); they decide how much is replicated, never what is
-found. Vectors are compared as whole numbers, ``floor(scale * x)``.
+Pivots come from a bounded sample, as many as the root of the rows between ``PIVOTS`` and ``MOST_PIVOTS``; they decide
+how much is replicated, never what is found. Vectors are compared as whole numbers, ``floor(scale * x)``.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part, nor do those of
-another dimension than most; ties go to the smaller id; fewer candidates than k give all; an empty table
-gives no rows.
+Defined cases: vectors that are null or hold null or non-finite components take no part; ties go to the smaller
+id; fewer candidates than k give all; an empty table gives no rows. Rows that share an id are rows of their own:
+each asks, with a list of its own under that id, and each is a candidate for the others. Vectors of different
+dimensions raise, as do scores that whole numbers of 53 bits can't hold, and ids that aren't whole numbers. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,17 +28,18 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-PIVOTS = 64
-PART_ROWS, QUERY_ROWS = 2048, 512
+PIVOTS, MOST_PIVOTS = 64, 4096
+PART_ROWS, ASK_ROWS, QUERY_ROWS = 2048, 4096, 512
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def _matrix(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
     return np.array(column.to_pylist() if isinstance(column, pa.Array) else column.tolist(), np.float64).reshape(-1, dim)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each row of scores its k best (ids, scores), ties to the smaller id, without the query itself."""
-    scores = np.where(ids[None, :] == own[:, None], -np.inf, scores)
+def _best(scores: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row of scores its k best (places, scores), ties to the smaller id, without the query itself."""
+    scores = np.where(rows[None, :] == own[:, None], -np.inf, scores)
     out = []
     for row in scores:
         if len(row) > k:
@@ -45,25 +47,33 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[
             at = np.flatnonzero((row >= floor) & np.isfinite(row))
         else:
             at = np.flatnonzero(np.isfinite(row))
-        at = at[np.lexsort((ids[at], -row[at]))][:k]
-        out.append((ids[at], row[at]))
+        at = at[np.lexsort((rows[at], ids[at], -row[at]))][:k]
+        out.append((at, row[at]))
     return out
 
 
-def voronoi_topk(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64, pivots: int = PIVOTS) -> DataFrame:
+def voronoi_topk(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64, pivots: int | None = None, part_rows: int = PART_ROWS, ask_rows: int = ASK_ROWS) -> DataFrame:
     """query_id, rank, ``id_col``, score: every query's k best other rows."""
+    kind = table.schema[id_col].dataType.simpleString()
+    if kind not in _WHOLE:
+        raise TypeError(f"{id_col} must be a whole number, not {kind}")
     spark = table.sparkSession
     scratch = Scratch(spark, "topk")
     v = F.col(vector_col).cast("array<double>")
     good = F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))), F.lit(False)) & F.col(id_col).isNotNull()
-    whole = table.filter(good).select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), F.transform(v, lambda x: F.floor(x * scale)).alias("v"))
+    whole = table.filter(good).select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), F.transform(v, lambda x: F.floor(x * scale)).alias("v"), F.monotonically_increasing_id().alias("row"))
     whole = scratch.keep(whole, "vectors")
-    dims = whole.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dims is None:
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    seen = whole.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most"), F.max(square).alias("square")).first()
+    if not seen.n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint").withColumnRenamed("vec_id", id_col)
-    dim = dims.d
-    whole = whole.filter(F.size("v") == dim)
-    sample = whole.select("v").orderBy(F.xxhash64("v"), "id").limit(pivots).collect()
+    if seen.least != seen.most:
+        raise ValueError(f"vectors have {seen.least} to {seen.most} dimensions")
+    if seen.square >= 2.0**53:  # no product of two of them is larger
+        raise ValueError("scores don't fit whole numbers of 53 bits; use a smaller scale")
+    dim = seen.most
+    count = pivots or int(min(MOST_PIVOTS, max(PIVOTS, seen.n**0.5)))
+    sample = whole.select("v").orderBy(F.xxhash64("v"), "id").limit(count).collect()
     points = spark.sparkContext.broadcast(np.unique(np.array([r.v for r in sample], np.float64), axis=0))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,15 +82,13 @@ def voronoi_topk(table: DataFrame, is_query: Column, *, id_col: str = "vec_id",
             x = _matrix(b.column(2), dim)
             gaps = np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * x @ p.T, 0)
             cell = gaps.argmin(1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(np.sqrt(gaps[np.arange(len(x)), cell]))], names=["id", "q", "v", "cell", "gap"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(np.sqrt(gaps[np.arange(len(x)), cell]))], names=["id", "q", "v", "row", "cell", "gap"])
 
-    celled = scratch.keep(whole.mapInArrow(assign, "id bigint, q boolean, v array<bigint>, cell int, gap double"), "cells")
-    summary = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()
+    celled = scratch.keep(whole.mapInArrow(assign, "id bigint, q boolean, v array<bigint>, row bigint, cell int, gap double"), "cells")
+    summary = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()  # one row per pivot
     cells = {r.cell: (r.n, r.radius) for r in summary}
-    parts = {c: max(1, -(-n // PART_ROWS)) for c, (n, _) in cells.items()}
-    cut = spark.createDataFrame([(c, n) for c, n in parts.items()], "cell int, parts int")
-    data = celled.join(F.broadcast(cut), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "v", F.lit(False).alias("ask"), F.lit(None).cast("double").alias("floor"))
-    queries = celled.filter("q").select("id", "v")
+    parts = {c: max(1, -(-n // part_rows)) for c, (n, _) in cells.items()}
+    queries = celled.filter("q").select("id", "v", "row")
 
     def route(floors: bool):
         """Without floors: the cells of the highest bounds that hold k candidates. With: all others that may matter."""
@@ -98,7 +106,7 @@ def voronoi_topk(table: DataFrame, is_query: Column, *, id_col: str = "vec_id",
                 first = np.zeros_like(bound, bool)
                 np.put_along_axis(first, order, before <= k, axis=1)
                 if floors:
-                    floor = b.column(2).to_numpy(zero_copy_only=False)
+                    floor = b.column(3).to_numpy(zero_copy_only=False)
                     take = ~first & (bound >= np.nan_to_num(floor, nan=-np.inf)[:, None])
                 else:
                     floor, take = np.full(len(x), np.nan), first
@@ -106,7 +114,7 @@ def voronoi_topk(table: DataFrame, is_query: Column, *, id_col: str = "vec_id",
                 many = each[at]
                 row, at = np.repeat(row, many), np.repeat(at, many)
                 part = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(many)))[:-1], many)
-                yield pa.RecordBatch.from_arrays([pa.array(known[at].astype(np.int32)), pa.array(part.astype(np.int32)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(np.ones(len(row), bool)), pa.array(floor[row])], names=["cell", "part", "id", "v", "ask", "floor"])
+                yield pa.RecordBatch.from_arrays([pa.array(known[at].astype(np.int32)), pa.array(part.astype(np.int32)), *(b.column(i).take(pa.array(row)) for i in range(3)), pa.array(floor[row])], names=["cell", "part", "id", "v", "row", "floor"])
 
         return run
 
@@ -114,24 +122,29 @@ def voronoi_topk(table: DataFrame, is_query: Column, *, id_col: str = "vec_id",
         ask, held = pdf[pdf["ask"]], pdf[~pdf["ask"]]
         out = []
         if len(ask) and len(held):
-            y, ids = _matrix(held["v"], dim), held["id"].to_numpy()
+            y, ids, rows = _matrix(held["v"], dim), held["id"].to_numpy(), held["row"].to_numpy()
             for s in range(0, len(ask), QUERY_ROWS):
                 some = ask.iloc[s : s + QUERY_ROWS]
-                own = some["id"].to_numpy()
-                for q, floor, (i, score) in zip(own, some["floor"].to_numpy(), _best(_matrix(some["v"], dim) @ y.T, ids, own, k)):
+                for q, own, floor, (at, score) in zip(some["id"].to_numpy(), some["row"].to_numpy(), some["floor"].to_numpy(), _best(_matrix(some["v"], dim) @ y.T, rows, ids, some["row"].to_numpy(), k)):
                     ok = score >= floor if floor == floor else np.ones(len(score), bool)
-                    out.append((np.full(int(ok.sum()), q), i[ok], score[ok]))
-        q, i, score = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0),) * 3
-        return pd.DataFrame({"query_id": q.astype(np.int64), "id": i.astype(np.int64), "score": score.astype(np.int64)})
-
-    shape = "cell int, part int, id bigint, v array<bigint>, ask boolean, floor double"
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-
-    def answers(asked: DataFrame) -> DataFrame:
-        return asked.unionByName(data).groupBy("cell", "part").applyInPandas(solve, "query_id bigint, id bigint, score bigint")
-
-    first = scratch.keep(answers(queries.mapInArrow(route(False), shape)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "first")
-    floors = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
-    again = queries.join(floors, "id", "left").select("id", "v", "floor").mapInArrow(route(True), shape)
-    both = first.drop("rank").unionByName(answers(again))
+                    n = int(ok.sum())
+                    out.append((np.full(n, q), np.full(n, own), ids[at[ok]], rows[at[ok]], score[ok]))
+        return pd.DataFrame(dict(zip(("query_id", "query_row", "id", "row", "score"), ((np.concatenate(x) if out else np.zeros(0)).astype(np.int64) for x in (zip(*out) if out else [()] * 5)), strict=True)))
+
+    shape = "cell int, part int, id bigint, v array<bigint>, row bigint, floor double"
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "id", "row")
+
+    def answers(asked: DataFrame, name: str) -> DataFrame:
+        """Candidates from the parts that are asked; queries of a cell are dealt to as many turns as they need, its parts go to each."""
+        asked = scratch.keep(asked, f"{name}-asked")
+        askers = {r.cell: -(-r.n // parts[r.cell]) for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per pivot
+        cut = F.broadcast(spark.createDataFrame([(c, parts[c], -(-n // ask_rows)) for c, n in askers.items()], "cell int, parts int, turns int"))
+        mine = asked.join(cut.drop("parts"), "cell").select("cell", "part", F.pmod(F.xxhash64("row"), F.col("turns")).cast("int").alias("turn"), "id", "v", "row", F.lit(True).alias("ask"), "floor")
+        held = celled.join(cut, "cell").select("cell", F.pmod(F.xxhash64("id", "row"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id", "v", "row", F.lit(False).alias("ask"), F.lit(None).cast("double").alias("floor"))
+        return mine.unionByName(held).groupBy("cell", "part", "turn").applyInPandas(solve, "query_id bigint, query_row bigint, id bigint, row bigint, score bigint")
+
+    first = scratch.keep(answers(queries.mapInArrow(route(False), shape), "first").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "first")
+    floors = first.filter(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").cast("double").alias("floor"))
+    again = queries.join(floors, "row", "left").select("id", "v", "row", "floor").mapInArrow(route(True), shape)
+    both = first.drop("rank").unionByName(answers(again, "again"))
     return both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
