@@ -56,6 +56,16 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def only(self, *tables: str) -> None:
+        """Delete all tables but these: what made the result isn't needed behind it."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(self.root)
+        system = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in system.listStatus(root):
+            if status.getPath().getName() not in tables:
+                system.delete(status.getPath(), True)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -245,25 +245,31 @@ def repeated_spans(slim: DataFrame, scratch: Scratch, *, length: int, gram: int,
     shape = "ah bigint, ch bigint, dk bigint, ord bigint, s0 bigint, x bigint, ctx binary"
     runs = scratch.keep(slim.mapInArrow(mark, "ah bigint, ch bigint, dk bigint, ord bigint, s0 int, s1 int, x int"), "runs")
     kinds = scratch.keep(runs.groupBy("ch").agg(F.first("ah").alias("ah"), F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "dk", "s0", "s1", "x")).alias("lead")), "kinds")
-    spans = equal(runs, kinds, F.col("s1") + F.lit(length))
+    spans = scratch.keep(equal(runs, kinds, F.col("s1") + F.lit(length)), "equal")
+    scratch.drop("runs")
     shared, few, crowded = grouped(kinds, "shared")
     wanted = kinds.join(shared, "ah").select("lead.dk", F.struct("k", "ah", "ch", "lead.dk", "lead.ord", "lead.s0", "lead.s1", "lead.x").alias("w")).groupBy("dk").agg(F.collect_list("w").alias("wanted"))
     contexts = scratch.keep(slim.select("dk", "_text").join(wanted, "dk").select("_text", "wanted").mapInArrow(fetch, f"k bigint, {shape}"), "contexts")
+    scratch.drop("kinds", "shared")
 
-    width, level = 1 << max(0, ((length - gram) // 2).bit_length() - 1), 0
+    width, level, last = 1 << max(0, ((length - gram) // 2).bit_length() - 1), 0, "contexts"
     while True:
         parts = max(slim.sparkSession.sparkContext.defaultParallelism, few * 2 * length // TASK_BYTES)
         arrays = contexts.filter(F.col("k") <= most).groupBy(F.pmod(F.xxhash64("ah"), F.lit(parts)).alias("part"))
-        spans = spans.union(arrays.applyInPandas(_repeats(length, keep), "dk bigint, s bigint, e bigint"))
+        spans = spans.union(scratch.keep(arrays.applyInPandas(_repeats(length, keep), "dk bigint, s bigint, e bigint"), f"found-{level}"))
         if not crowded:
+            scratch.drop(last)
             return spans
         crowd = contexts.filter(F.col("k") > most).dropDuplicates(["ah", "ch"]).select("dk", "ord", "s0", "x", "ctx")
         finer = scratch.keep(crowd.mapInArrow(_halves(length, gram, width), shape), f"finer-{level}")
+        scratch.drop(last)
         kinds = scratch.keep(finer.groupBy("ch").agg(F.first("ah").alias("ah"), F.count(F.lit(1)).alias("c"), F.min(F.struct("ord", "dk", "s0")).alias("lead")), f"kinds-{level}")
-        spans = spans.union(equal(finer, kinds, F.col("s0") + F.octet_length("ctx")))
+        spans = spans.union(scratch.keep(equal(finer, kinds, F.col("s0") + F.octet_length("ctx")), f"equal-{level}"))
         shared, few, crowded = grouped(kinds, f"shared-{level}")
         first = kinds.join(shared, "ah").select("ch", "k", F.col("lead.dk").alias("dk"), F.col("lead.s0").alias("s0"))
-        contexts = scratch.keep(finer.join(first, ["ch", "dk", "s0"]).select("k", "ah", "ch", "dk", "ord", "s0", "x", "ctx"), f"contexts-{level}")
+        last = f"contexts-{level}"
+        contexts = scratch.keep(finer.join(first, ["ch", "dk", "s0"]).select("k", "ah", "ch", "dk", "ord", "s0", "x", "ctx"), last)
+        scratch.drop(f"finer-{level}", f"kinds-{level}", f"shared-{level}")
         width, level = max(1, width // 2), level + 1
 
 
@@ -300,6 +306,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     slim = slim.filter(F.octet_length("_text") >= length)
     spans = repeated_spans(slim, scratch, length=length, gram=gram, keep=keep, most=most)
     cuts = scratch.keep(spans.groupBy("dk").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("cuts")), "cuts")
+    scratch.only("cuts")
     listed = base.join(cuts, "dk", "left").select("_id", "_text", "_more", F.col("cuts.s").alias("s"), F.col("cuts.e").alias("e"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
