@@ -44,7 +44,7 @@ MOST_CONTEXTS = 1024
 ARRAY_BYTES, TASK_BYTES = 512 << 10, 8 << 20
 #: Bytes of a word's hash.
 CODE = 6
-_SLICE, _PLACE = 1 << 20, np.uint64((1 << 28) - 1)
+_SLICE, _PLACE = 1 << 18, np.uint64((1 << 28) - 1)
 
 
 def _least(v: np.ndarray, width: int) -> np.ndarray:
