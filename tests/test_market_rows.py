@@ -4,7 +4,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import ticks
+from tidemark.functions import ticks, vendor
 from tidemark.operators import chains
 from tidemark.plans import coverage
 
@@ -63,3 +63,29 @@ def test_required_histories_skip_early_closes(spark):
     assert normal("a") == {3, 5} and normal("b") == {2, 5} and closes("a") == closes("b") == {1, 2, 3, 5}
     assert (got["b", 8].event_minutes, got["b", 8].roles, got["b", 2].normal_minutes, got["a", 3].close_minute) == ("12:59;13:00", "event_point", "13:00", "12:59")
     assert not got["a", 1].needs_quotes_and_shares and got["a", 3].needs_quotes_and_shares and got["a", 5].event_dates == 1
+
+
+def test_contract_codes(spark):
+    rows = [("SPY240119C00450500", "SPY", date(2024, 1, 19), "C", 450.5), ("SPY   240119C00450500", "SPY", date(2024, 1, 19), "C", 450.5), ("SPY240119C00450500", "QQQ", date(2024, 1, 19), "C", 450.5), ("SPY240119C00450500", "SPY", date(2024, 1, 20), "C", 450.5), ("SPY240119C00450500", "SPY", date(2024, 1, 19), "P", 450.5), ("SPY240119C00450500", "SPY", date(2024, 1, 19), "C", 450.0), ("SPY240230C00450500", "SPY", date(2024, 2, 29), "C", 450.5), ("spy", "SPY", date(2024, 1, 19), "C", 450.5), (None, "SPY", date(2024, 1, 19), "C", 450.5)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, code string, root string, expiration date, right string, strike double").orderBy("k")
+    args = [F.col(c) for c in ("root", "expiration", "right", "strike")]
+    assert [r[0] for r in df.select(vendor.contract_reason(F.col("code"), *args)).collect()] == [None, None, "root", "expiration", "right", "strike", "shape", "shape", "shape"]
+    assert [r[0] for r in df.select(vendor.occ_symbol(*args)).collect()][:3] == ["SPY240119C00450500"] * 2 + ["QQQ240119C00450500"]
+    codes = spark.createDataFrame([(0, ".spy240119c450.5 "), (1, "SPY240119P.5"), (2, "SPY240119X1"), (3, "")], "k int, c string").orderBy("k")
+    d = vendor.streamed_parts(F.col("c"))
+    assert [tuple(r) for r in codes.select(d["root"], d["expiration"], d["right"], d["strike"]).collect()] == [("SPY", date(2024, 1, 19), "C", 450.5), ("SPY", date(2024, 1, 19), "P", 0.5), (None,) * 4, (None,) * 4]
+
+
+def test_depth_of_marks(spark):
+    legs = {"short_contract": "SPY240119C00450000", "long_contract": "SPY240119C00455000"}
+    prices = {"short_bid": 2.0, "short_ask": 2.1, "long_bid": 1.0, "long_ask": 1.1}
+    mark = legs | {"decision": 1000.0, "entry": 1010.0, "exit": 5000.0, "entry_quote": 999.0, "exit_quote": 4999.0} | {f"{e}_{s}": p for e in ("entry", "exit") for s, p in prices.items()}
+    depth = legs | {f"{e}_{s}{x}": v for e, t in (("entry", 990.0), ("exit", 4990.0)) for s, p in prices.items() for x, v in (("_size", 5.0), ("_at", t), ("_px", p))}
+    changed = [("ok", {}, {}), ("a", {"short_contract": None}, {}), ("b", {}, {"long_contract": "x"}), ("c", {"long_contract": legs["short_contract"]}, {}), ("d", {"exit": 9001.0}, {}), ("e", {"decision": 1011.0}, {}), ("f", {"entry_quote": 1001.0}, {}), ("g", {}, {"entry_long_ask_at": None}), ("h", {}, {"exit_short_bid_size": 1.0}),
+        ("i", {"exit_long_bid": 1.01}, {}), ("j", {}, {"exit_long_ask_at": 4999.5}), ("k", {}, {"entry_short_ask_at": 880.0}), ("l", {"entry_short_bid": 2.2}, {"entry_short_bid_px": 2.2}), ("m", {}, {"exit_short_bid_at": 4925.0}), ("n", {"exit_long_ask": 0.0}, {"exit_long_ask_px": 0.0})]
+    want = {"ok": None, "a": "missing_contract", "b": "invalid_contract", "c": "mismatch", "d": "future_exit", "e": "clock", "f": "clock", "g": "missing_side", "h": "depth", "i": "price", "j": "future_side", "k": "stale_side", "l": "crossed", "m": "skew", "n": "ask", "only mark": "bad_key", "p": "no_record", "q": "no_mark", "r": "repeated"}
+    kinds = lambda row: ", ".join(["id string", *(f"{c} {'string' if c.endswith('contract') else 'double'}" for c in row)])
+    marks = [(k, *(mark | m).values()) for k, m, _ in changed] + [("only mark", *mark.values()), ("p", *mark.values()), ("r", *mark.values())]
+    records = [(k, *(depth | d).values()) for k, _, d in changed] + [("q", *depth.values()), ("r", *depth.values()), ("r", *depth.values())]
+    out = chains.depth_audit(spark.createDataFrame(marks, kinds(mark)), spark.createDataFrame(records, kinds(depth)), "id", F.lit(9000.0), contracts=2)
+    assert {r.id: r.reason for r in out.collect()} == want

@@ -83,3 +83,39 @@ def quote_flags(bid: Column, ask: Column, wide: float) -> dict[str, Column]:
     """What is odd about a quote; rows are kept, whatever is."""
     good = (bid > 0) & (ask > 0)
     return {"no_bid": ~(bid > 0), "no_ask": ~(ask > 0), "crossed": good & (bid > ask), "locked": good & (bid == ask), "wide": good & (ask - bid > wide * (ask + bid) / 2)}
+
+
+#: The shape of an exchange's option contract (root, day, right, strike in thousandths), and of a streamed one.
+OCC = r"^([A-Z]{1,6}) *(\d{6})([CP])(\d{8})$"
+STREAMED = r"^\.?([A-Z][A-Z0-9]*?)(\d{6})([CP])(\d*\.?\d+)$"
+
+
+def occ_parts(code: Column) -> dict[str, Column]:
+    """Root, expiration, right (C or P) and strike of a contract's code; nulls for other shapes and days that aren't in the calendar."""
+    part = lambda k: F.regexp_extract(code, OCC, k)
+    expiry = F.try_to_date(part(2), "yyMMdd")
+    fits = F.coalesce(code.rlike(OCC) & expiry.isNotNull(), F.lit(False))
+    return {"root": F.when(fits, part(1)), "expiration": F.when(fits, expiry), "right": F.when(fits, part(3)), "strike": F.when(fits, part(4).try_cast("long") / 1000)}
+
+
+def occ_symbol(root: Column, expiration: Column, right: Column, strike: Column) -> Column:
+    """The code of a contract; null unless its root has 1 to 6 letters, its right is C or P and its strike is above 0 in whole thousandths."""
+    mills = F.round(strike.cast("double") * 1000).cast("long")
+    ok = root.rlike("^[A-Z]{1,6}$") & right.isin("C", "P") & (mills > 0) & (mills < 10**8) & expiration.isNotNull()
+    return F.when(ok, F.concat(root, F.date_format(expiration, "yyMMdd"), right, F.lpad(mills.cast("string"), 8, "0")))
+
+
+def contract_reason(code: Column, root: Column, expiration: Column, right: Column, strike: Column) -> Column:
+    """What a contract's code and the row about it disagree on: shape, root, expiration, right, strike; null if nothing."""
+    own = occ_parts(code)
+    rules = [("shape", own["root"].isNotNull()), ("root", own["root"] == root), ("expiration", own["expiration"] == expiration), ("right", own["right"] == right), ("strike", F.round(own["strike"] * 1000) == F.round(strike.cast("double") * 1000))]
+    return F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules))
+
+
+def streamed_parts(code: Column) -> dict[str, Column]:
+    """The same of a streamed symbol, whose strike is written out; case and spaces around it don't count."""
+    text = F.upper(F.trim(code))
+    part = lambda k: F.regexp_extract(text, STREAMED, k)
+    expiry = F.try_to_date(part(2), "yyMMdd")
+    fits = F.coalesce(text.rlike(STREAMED) & expiry.isNotNull(), F.lit(False))
+    return {"root": F.when(fits, part(1)), "expiration": F.when(fits, expiry), "right": F.when(fits, part(3)), "strike": F.when(fits, part(4).try_cast("double"))}

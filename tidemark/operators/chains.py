@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields, vendor
@@ -62,3 +62,51 @@ def greeks_stage(right: Column, own: Column, lot: Column, strike: Column, bid: C
         .when(late < -60, "future").when(late > OLDEST_GREEKS, "stale").otherwise("fresh")
     )
     return F.when(F.coalesce(inside, F.lit(False)), reason)
+
+
+#: Seconds that a side may be older than its event, and that the sides of an event may lie apart.
+MOST_SIDE_AGE, MOST_SKEW = 120, 60
+_SIDES = ("short_bid", "short_ask", "long_bid", "long_ask")
+_EVENTS = ("entry", "exit")
+
+
+def depth_reason(asof: Column, contracts: int = 1) -> Column:
+    """Why a mark and its depth record don't bear each other out, as the first rule that fails; null if they do.
+
+    Columns of the mark are ``p_*``, of the record ``d_*``: both have short_contract and long_contract, the mark decision, and per event (entry,
+    exit) its time, the time of its quote (``p_entry_quote``) and the price of each side; the record per side a size, a time (``_at``) and a
+    price (``_px``). Times are seconds. Order: missing_contract, invalid_contract, mismatch, future_exit, clock, then for each
+    event: clock, and for each side missing, depth, price, future, stale; then ask, crossed, skew.
+    """
+    c = F.col
+    codes = [c(f"{side}_{leg}_contract") for side in "pd" for leg in ("short", "long")]
+    bad = lambda ok: ~F.coalesce(ok, F.lit(False))
+    rules = [
+        ("missing_contract", F.greatest(*(x.isNull() for x in codes))), ("invalid_contract", F.greatest(*(bad(x.rlike(vendor.OCC)) for x in codes))),
+        ("mismatch", (codes[0] == codes[1]) | (codes[2] == codes[3]) | (codes[0] != codes[2]) | (codes[1] != codes[3])), ("future_exit", bad(c("p_exit") <= asof)), ("clock", bad((c("p_decision") <= c("p_entry")) & (c("p_entry") < c("p_exit")))),
+    ]
+    for event in _EVENTS:
+        at, quote = c(f"p_{event}"), c(f"p_{event}_quote")
+        limit = c("p_decision") if event == "entry" else at
+        rules.append(("clock", bad((at <= asof) & (quote <= limit))))
+        for side in _SIDES:
+            size, told, price = (c(f"d_{event}_{side}{x}") for x in ("_size", "_at", "_px"))
+            rules += [
+                ("missing_side", size.isNull() | told.isNull() | price.isNull()), ("depth", bad(size >= contracts)), ("price", bad(price == c(f"p_{event}_{side}"))),
+                ("future_side", bad((told <= quote) & (told <= limit))), ("stale_side", bad((at - told).between(0, MOST_SIDE_AGE))),
+            ]
+        for leg in ("short", "long"):
+            bid, ask = c(f"d_{event}_{leg}_bid_px"), c(f"d_{event}_{leg}_ask_px")
+            rules += [("ask", ask == 0), ("crossed", bid > ask)]
+        times = [c(f"d_{event}_{side}_at") for side in _SIDES]
+        rules.append(("skew", F.greatest(*times) - F.least(*times) > MOST_SKEW))
+    return F.coalesce(*(F.when(condition, F.lit(name)) for name, condition in rules))
+
+
+def depth_audit(marks: DataFrame, records: DataFrame, key: str, asof: Column, contracts: int = 1) -> DataFrame:
+    """``key`` and ``reason`` for every mark and record; besides ``depth_reason``: repeated (a key that isn't alone on its side), no_record, no_mark, bad_key."""
+    one = lambda df, p: df.groupBy(key).agg(F.count(F.lit(1)).alias(f"{p}_n"), *(F.first(c).alias(f"{p}_{c}") for c in df.columns if c != key))
+    both = one(marks, "p").join(one(records, "d"), key, "full")
+    named = F.when(~F.coalesce(F.col(key).rlike("^[A-Za-z0-9_-]{1,48}$"), F.lit(False)), "bad_key")
+    counted = F.when(F.col("d_n").isNull(), "no_record").when(F.col("p_n").isNull(), "no_mark").when((F.col("p_n") > 1) | (F.col("d_n") > 1), "repeated")
+    return both.select(key, F.coalesce(named, counted, depth_reason(asof, contracts)).alias("reason"))
