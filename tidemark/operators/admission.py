@@ -28,6 +28,8 @@ MOST_DELAY, LEAST_HOLD, BUDGET = 120, 60, 10_000
 
 EVENTS = "book string, received_at timestamp_ntz, seq long, kind string, decision_id string, decided_at timestamp_ntz, exit_at timestamp_ntz, expires_at timestamp_ntz, risk long"
 VERDICTS = "book string, seq long, kind string, decision_id string, verdict string, open_risk long"
+#: Events of one receipt and number are taken by their exit and risk, nulls first.
+_ORDER = ("received_at", "seq", "exit_at", "risk")
 _NAMES = [part.split()[0] for part in EVENTS.split(", ")]
 
 
@@ -119,7 +121,7 @@ def admissions(events: DataFrame, budget: int = BUDGET) -> DataFrame:
                 judged += _judged(book, part)
             yield _verdicts(rows, judged)
 
-    ordered = events.select(*_NAMES).withColumn("book", F.coalesce("book", F.lit(""))).repartition("book").sortWithinPartitions("book", "received_at", "seq")
+    ordered = events.select(*_NAMES).withColumn("book", F.coalesce("book", F.lit(""))).repartition("book").sortWithinPartitions("book", *_ORDER)
     return ordered.mapInPandas(fold, VERDICTS)
 
 
@@ -135,7 +137,7 @@ class Admission(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         registered, last = self.meta.get() if self.meta.exists() else (None, None)
-        batch = pd.concat(list(rows)).sort_values(["received_at", "seq"], kind="stable").reset_index(drop=True)
+        batch = pd.concat(list(rows)).sort_values(list(_ORDER), kind="stable", na_position="first").reset_index(drop=True)
         book = Book(self.budget, registered, {k[0]: tuple(v) for k, v in self.opened.iterator()})
         ids = {d for d in batch["decision_id"] if isinstance(d, str)}
         book.closed = {d for d in ids if self.closed.containsKey((d,))}

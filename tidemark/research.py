@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import query, table
 from .functions import ticks
-from .operators import admission, assignment, chains, history, identity, modelling, orderbook, resampling
+from .operators import admission, assignment, chains, history, identity, modelling, orderbook, ownership, resampling
 from .plans import coverage
 from .sources import filings
 
@@ -32,7 +32,7 @@ def _journal(spark, sf_dir):
 @query(f"""WITH RECURSIVE base AS (SELECT CAST(l_suppkey AS VARCHAR) AS book, o_orderdate, l_shipdate, l_orderkey || '-' || l_linenumber AS id, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS number, CAST(round(l_extendedprice * 100) AS BIGINT) AS risk FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
     ev AS (SELECT book, o_orderdate AS t, number * 2 + 1 AS seq, 'ADMIT' AS kind, id, o_orderdate AS decided, l_shipdate AS leave, risk FROM base UNION ALL SELECT book, l_shipdate, number * 2, 'EXIT', id, o_orderdate, l_shipdate, risk FROM base
         UNION ALL SELECT CAST(s_suppkey AS VARCHAR), TIMESTAMP '1995-03-01', 0, 'DESIGN', NULL, NULL, NULL, NULL FROM supplier),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY t, seq) AS rn FROM ev),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY t, seq, leave NULLS FIRST, risk NULLS FIRST) AS rn FROM ev),
     fold AS (SELECT book, CAST(0 AS BIGINT) AS rn, false AS registered, CAST([] AS STRUCT(id VARCHAR, leave TIMESTAMP, decided TIMESTAMP, risk BIGINT)[]) AS held, CAST([] AS VARCHAR[]) AS gone, CAST(NULL AS BIGINT) AS seq, '' AS kind, '' AS id, '' AS verdict, CAST(0 AS BIGINT) AS before FROM (SELECT DISTINCT book FROM ev)
         UNION ALL
         SELECT book, rn, registered OR kind = 'DESIGN', CASE verdict WHEN 'ADMITTED' THEN list_append(held, {{'id': id, 'leave': leave, 'decided': decided, 'risk': risk}}) WHEN 'CLOSED_NOW' THEN list_filter(held, lambda h: h.id <> id) ELSE held END,
@@ -361,3 +361,30 @@ def history_needs(spark, sf_dir):
     cal = coverage.sessions(spark, date(2023, 11, 1), date(2024, 2, 28), holidays=_CLOSED, early=_SHORT)
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("symbol"), F.col("ts").alias("cutoff"))
     return coverage.history_requirements(cal, events, normal=21, closes=30)[0]
+
+
+@query("""WITH l AS (SELECT l_partkey AS part, l_suppkey AS manager, last_day(date_trunc('quarter', CAST(l_shipdate AS DATE)) + INTERVAL 2 MONTH) AS period, l_linestatus AS kind, CAST(l_quantity AS BIGINT) AS q, CAST(l_shipdate AS DATE) AS shipped, l_returnflag FROM lineitem),
+    sub AS (SELECT DISTINCT manager, period, manager || '-' || period || '-' || kind AS accession, period + CASE kind WHEN 'F' THEN 20 ELSE 45 END AS filed FROM l), sp AS (SELECT *, lead(filed) OVER (PARTITION BY manager, period ORDER BY filed, accession) AS until FROM sub),
+    h AS (SELECT manager || '-' || period || '-' || kind AS accession, part, sum(q) AS q FROM l GROUP BY ALL), t AS (SELECT DISTINCT part, shipped AS d FROM l WHERE l_returnflag = 'R'),
+    n AS (SELECT t.*, CASE WHEN p_size <= 40 AND d >= DATE '1995-06-01' THEN 'C' || part END AS cusip, p_size FROM t JOIN part ON part = p_partkey),
+    s AS (SELECT n.part, d, period, sum(q) AS q FROM n JOIN h ON h.part = n.part AND cusip IS NOT NULL JOIN sp ON sp.accession = h.accession AND d > filed AND (until IS NULL OR d <= until) GROUP BY ALL HAVING sum(q) > 0),
+    a AS (SELECT s.*, (SELECT max(filed) FROM sub WHERE sub.period = s.period AND filed < d) AS filed FROM s), b AS (SELECT part, d, arg_max(q, period) AS q, max(period) AS period, arg_max(filed, period) AS filed FROM a GROUP BY ALL),
+    j AS (SELECT n.part, n.d, cusip, period, filed, q, CASE WHEN n.d > DATE '1998-06-01' THEN p_size * 40 WHEN n.d > DATE '1996-01-01' THEN p_size * 20 END AS outstanding FROM n LEFT JOIN b ON n.part = b.part AND n.d = b.d)
+    SELECT part, d AS event_date, cusip, CAST(period AS DATE) AS report_period, CAST(filed AS DATE) AS filed, CAST(q AS BIGINT) AS institutional_shares, CASE WHEN cusip IS NULL THEN 'no_name' WHEN q IS NULL THEN 'no_holdings' WHEN outstanding IS NULL THEN 'no_shares' WHEN q / outstanding > 1.25 THEN 'implausible' END AS reason,
+        CASE WHEN cusip IS NOT NULL AND q / outstanding <= 1.25 THEN round(q / outstanding, 9) END AS ratio FROM j""")
+def institutional_ownership(spark, sf_dir):
+    """What suppliers had reported of a part by its return, by quarters and filings known then, against the count of that time."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("symbol"), F.col("l_suppkey").alias("manager"), F.last_day(F.add_months(F.trunc(F.to_date("l_shipdate"), "quarter"), 2)).alias("report_period"), "l_linestatus", F.col("l_quantity").cast("long").alias("q"), F.to_date("l_shipdate").alias("shipped"), "l_returnflag")
+    accession = F.concat_ws("-", F.col("manager").cast("string"), F.col("report_period").cast("string"), "l_linestatus")
+    l = l.withColumn("accession", accession)  # noqa: E741
+    submissions = l.select("accession", "manager", "report_period", F.when(F.col("l_linestatus") == "F", F.date_add("report_period", 20)).otherwise(F.date_add("report_period", 45)).alias("filing_date")).distinct()
+    holdings = l.groupBy("accession", F.concat(F.lit("C"), "symbol").alias("cusip")).agg(F.sum("q").alias("shares"))
+    targets = l.filter("l_returnflag = 'R'").select("symbol", F.col("shipped").alias("event_date")).distinct()
+    targets = targets.withColumn("cutoff", F.to_utc_timestamp(F.col("event_date").cast("timestamp") + F.expr("INTERVAL 16 HOURS"), "America/New_York"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("symbol"), "p_size")
+    names = parts.filter("p_size <= 40").select("symbol", F.concat(F.lit("C"), "symbol").alias("cusip"), F.lit(date(1995, 6, 1)).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    steps = F.array(*(F.struct(F.lit(d).alias("day"), F.lit(k).alias("k")) for d, k in ((date(1996, 1, 1), 20), (date(1998, 6, 1), 40))))
+    counts = targets.join(parts, "symbol").select("symbol", "event_date", "p_size", F.explode(steps).alias("s")).select("symbol", "event_date", ownership.end_of_day(F.col("s.day")).alias("available_at"), (F.col("p_size") * F.col("s.k")).cast("long").alias("shares"))
+    out = ownership.ownership(targets, names, submissions, holdings, counts)
+    filed = F.to_date(F.from_utc_timestamp(F.col("available_at").cast("timestamp"), "America/New_York"))
+    return out.select(F.col("symbol").cast("long").alias("part"), "event_date", "cusip", "report_period", filed.alias("filed"), "institutional_shares", "reason", F.round("ratio", 9).alias("ratio"))

@@ -90,7 +90,7 @@ def recent_filings(files: DataFrame) -> DataFrame:
     return rows.select("path", text("r.accessionNumber").alias("accession_number"), F.substring(text("r.filingDate"), 1, 10).alias("filing_date"), F.upper(text("r.form")).alias("form")).filter("accession_number <> ''")
 
 
-def holdings(positions: DataFrame, submissions: DataFrame, forms: tuple[str, ...] = ("13F-HR", "13F-HR/A")) -> DataFrame:
+def holdings(positions: DataFrame, submissions: DataFrame, forms: tuple[str, ...] = ("13F-HR",)) -> DataFrame:
     """accession, cusip, shares: whole shares held by filing and security, of filings with one of ``forms``.
 
     ``positions`` are texts ACCESSION_NUMBER, CUSIP, SSHPRNAMT, SSHPRNAMTTYPE, PUTCALL; only shares count (type SH, no option).
