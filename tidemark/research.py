@@ -260,7 +260,7 @@ def grouped_oof_metrics(spark, sf_dir):
     r AS (SELECT l_partkey AS part, l_shipdate AS minute, max(l_extendedprice) / 30000 AS l2, max(l_tax) * 40 AS spread_z FROM l GROUP BY ALL),
     rel AS (SELECT DISTINCT r.part, r.minute, b.l_partkey AS peer FROM r JOIN first a ON a.l_partkey = r.part AND a.seen <= r.minute JOIN first b ON b.l_suppkey = a.l_suppkey AND b.l_partkey <> r.part AND b.seen <= r.minute),
     p AS (SELECT rel.part, rel.minute, count(*) AS related, count(q.part) AS peers, count(*) FILTER (q.l2 >= 2) AS unusual, count(*) FILTER (q.spread_z >= 1.5) AS spread_wide, max(q.l2) AS max_l2, avg(q.l2) AS mean_l2, sum(greatest(q.l2 - 2, 0)) / nullif(count(q.l2), 0) AS anomaly FROM rel LEFT JOIN r q ON q.part = rel.peer AND q.minute = rel.minute GROUP BY ALL)
-    SELECT r.part, r.minute, coalesce(related, 0) AS related, coalesce(related, 0) AS second_hop, round(coalesce(related, 0) * 0.9 * 0.9 * 0.92 / 2, 6) AS breadth, CASE WHEN related > 0 THEN round(0.9 * 0.9 * 0.92, 6) END AS mean_confidence, coalesce(peers, 0) AS peers, coalesce(unusual, 0) AS unusual, coalesce(spread_wide, 0) AS spread_wide,
+    SELECT r.part, r.minute, coalesce(related, 0) AS related, coalesce(related, 0) AS second_hop, round(coalesce(related, 0) * 0.9 * 0.9 * 0.92 / 2, 6) AS breadth, CASE WHEN related > 0 THEN CAST(round(0.9 * 0.9 * 0.92, 6) AS DOUBLE) END AS mean_confidence, coalesce(peers, 0) AS peers, coalesce(unusual, 0) AS unusual, coalesce(spread_wide, 0) AS spread_wide,
         round(max_l2, 6) AS max_l2, round(mean_l2, 6) AS mean_l2, round(greatest(r.l2 - 2, 0) * anomaly, 6) AS propagation, CASE WHEN related IS NULL THEN 'no_related_securities' WHEN peers = 0 THEN 'no_peer_features' WHEN peers < related THEN 'partial' ELSE 'full' END AS status FROM r LEFT JOIN p USING (part, minute)""")
 def graph_event_features(spark, sf_dir):
     """For the largest lines of highest discount: what parts of the same suppliers, known as such by then, did on that day."""
