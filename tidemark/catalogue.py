@@ -152,18 +152,18 @@ _NEAR = "WINDOW near AS (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts RANGE
 
 @query(f"WITH {_TAPE} SELECT seq, symbol, count(*) OVER near AS points, round(max(price) OVER near, 6) AS peak, CAST(sum(CASE WHEN price >= 60 THEN 1 ELSE 0 END) OVER near AS BIGINT) AS at_least FROM tape {_NEAR}")
 def trail_peak_count(spark, sf_dir):
-    return market.trailing(_tape(spark, sf_dir), 900, 60.0).select("seq", "symbol", "points", F.round("peak", 6).alias("peak"), "at_least")
+    return market.trailing(_tape(spark, sf_dir), 900, 60.0, ("points", "peak", "at_least")).select("seq", "symbol", "points", F.round("peak", 6).alias("peak"), "at_least")
 
 
 @query(f"""WITH {_TAPE}, w AS (SELECT seq, symbol, list(price) OVER near AS p, list(epoch_us(ts) / 6e7) OVER near AS x FROM tape {_NEAR})
     SELECT seq, symbol, round(list_sum(list_transform(p, lambda v, i: (v - list_avg(p)) * (x[i] - list_avg(x)))) / nullif(list_sum(list_transform(x, lambda v: (v - list_avg(x)) * (v - list_avg(x)))), 0), 2) AS slope FROM w""")
 def trail_slope(spark, sf_dir):
-    return market.trailing(_tape(spark, sf_dir), 900, 60.0).select("seq", "symbol", F.round("slope", 2).alias("slope"))
+    return market.trailing(_tape(spark, sf_dir), 900, 60.0, ("slope",)).select("seq", "symbol", F.round("slope", 2).alias("slope"))
 
 
 @query(f"WITH {_TAPE} SELECT seq, symbol, round(price - avg(price) OVER prior, 5) AS acceleration FROM tape {_NEAR}")
 def accel_vs_prior(spark, sf_dir):
-    return market.trailing(_tape(spark, sf_dir), 900, 60.0).select("seq", "symbol", F.round("acceleration", 5).alias("acceleration"))
+    return market.trailing(_tape(spark, sf_dir), 900, 60.0, ("acceleration",)).select("seq", "symbol", F.round("acceleration", 5).alias("acceleration"))
 
 
 @query(f"""WITH {_TAPE} SELECT seq, symbol, round(price / nullif(arg_max(price, (ts, seq)) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts RANGE BETWEEN INTERVAL 20 MINUTE PRECEDING AND INTERVAL 15 MINUTE PRECEDING), 0) - 1, 5) AS lagged_return FROM tape""")
