@@ -341,9 +341,8 @@ def matched_controls(spark, sf_dir):
     t = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
     c = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
     size = lambda x: F.log1p(F.greatest(F.col(x), F.lit(0.0)))
-    d = statistics.within_caliper(t.withColumn("x", size("c_acctbal")), c.withColumn("y", size("s_acctbal")), ["nation"], "x", "y", 3.0)
-    d = d.withColumn("pool", F.count(F.lit(1)).over(Window.partitionBy("c_custkey"))).filter("pool >= 2")
-    return primitives.latest_per_group(d, ["c_custkey"], [F.round("distance", 9), F.col("s_suppkey")], 3).select("c_custkey", "s_suppkey", F.col("rank_in_group").alias("control_rank"), "pool", F.round("distance", 5).alias("distance"))
+    d = statistics.nearest_within(t.withColumn("x", size("c_acctbal")), c.withColumn("y", size("s_acctbal")), ["nation"], "x", "y", 3.0, "s_suppkey", 3).filter("pool >= 2")
+    return d.select("c_custkey", "s_suppkey", F.col("rank_in_group").alias("control_rank"), "pool", F.round("distance", 5).alias("distance"))
 
 
 # --- aggregates and evaluation ------------------------------------------------------------------------

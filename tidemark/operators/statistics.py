@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .primitives import asof_join
+
 
 def _numbered_by_bucket(df: DataFrame, order: list[Column], bucket: Column) -> DataFrame:
     """Global ranks in ``order`` without one global sort: positions within buckets plus counts of earlier ones."""
@@ -68,6 +70,34 @@ def within_caliper(treated: DataFrame, controls: DataFrame, keys: list[str], x:
     return t.join(controls.withColumn("_band", band(y)), [*keys, "_band"]).withColumn("distance", F.abs(F.col(x) - F.col(y))).filter(F.col("distance") <= caliper).drop("_band")
 
 
+def nearest_within(treated: DataFrame, controls: DataFrame, keys: list[str], x: str, y: str, caliper: float, control: str, k: int, digits: int = 9) -> DataFrame:
+    """The ``k`` nearest controls of the same ``keys`` at most ``caliper`` away: rank_in_group, ``control``, distance, and ``pool``, how many there are.
+
+    Distances count as rounded to ``digits``, ties go to the smaller ``control``. No pair is made: controls of one value are one row with
+    their first ``k``, each value knows its neighbours and how many controls lie up to it, and a treated value finds its place among
+    them by as-of joins. Different values on one side must differ by more than the rounding.
+    """
+    near = Window.partitionBy(*keys, "_y")
+    c = controls.select(*keys, F.col(y).cast("double").alias("_y"), F.col(control).alias("_id")).filter("_y IS NOT NULL AND NOT isnan(_y)")
+    c = c.withColumns({"_n": F.count(F.lit(1)).over(near), "_rn": F.row_number().over(near.orderBy("_id"))}).filter(F.col("_rn") <= k)
+    c = c.groupBy(*keys, "_y", "_n").agg(F.sort_array(F.collect_list("_id")).alias("_ids"))
+    line = Window.partitionBy(*keys).orderBy("_y")  # a row per value
+    side = F.struct("_y", "_ids")
+    c = c.withColumns({"_below": F.collect_list(side).over(line.rowsBetween(1 - k, 0)), "_above": F.collect_list(side).over(line.rowsBetween(0, k - 1)), "_upto": F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, 0))})
+    c = c.withColumn("_before", F.col("_upto") - F.col("_n"))
+    known = treated.filter(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")))
+    t = known.select(*keys, F.col(x).cast("double").alias("_x")).distinct().withColumns({"_lo": F.col("_x") - caliper, "_hi": F.col("_x") + caliper})
+    for at, column, forward in (("_x", "_below", False), ("_x", "_above", True), ("_hi", "_upto", False), ("_lo", "_before", True)):
+        t = asof_join(t, c, keys, at, "_y", [column], forward=forward).drop("matched_ts")
+    none = F.array().cast(c.schema["_below"].dataType)
+    around = F.concat(F.coalesce("_below", none), F.coalesce("_above", none))
+    gap = lambda v: F.abs(F.col("_x") - v["_y"])
+    found = F.flatten(F.transform(F.filter(around, lambda v: gap(v) <= caliper), lambda v: F.transform(v["_ids"], lambda i: F.struct(F.round(gap(v), digits).alias("r"), i.alias("id"), gap(v).alias("d")))))
+    t = t.select(*keys, "_x", (F.col("_upto") - F.col("_before")).alias("pool"), F.slice(F.sort_array(F.array_distinct(found)), 1, k).alias("_found")).filter(F.size("_found") > 0)
+    met = known.withColumn("_x", F.col(x).cast("double")).join(t, [*keys, "_x"]).select(*treated.columns, "pool", F.posexplode("_found").alias("_p", "_f"))
+    return met.select(*treated.columns, "pool", (F.col("_p") + 1).alias("rank_in_group"), F.col("_f.id").alias(control), F.col("_f.d").alias("distance"))
+
+
 def robust_scale(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median and 1.4826 MAD per group, else the sample deviation where the MAD is zero."""
     mid = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"), F.stddev_samp(value).alias("std"))
