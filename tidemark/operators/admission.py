@@ -42,9 +42,12 @@ class Book:
     open: dict[str, tuple[int, int, int]] = field(default_factory=dict)  # decided_at, exit_at, risk
     closed: set[str] = field(default_factory=set)
 
+    def __post_init__(self) -> None:
+        self.held = sum(terms[2] for terms in self.open.values())  # kept, not summed again for each event
+
     def take(self, received: int, kind: str, decision: str | None, decided: int | None, leave: int | None, expires: int | None, risk: int | None) -> tuple[str, int]:
         """The verdict on one event, and the open risk before it; times are microseconds."""
-        before = sum(terms[2] for did, terms in self.open.items() if did != decision)
+        before = self.held - (self.open[decision][2] if decision in self.open else 0)
         return (self._exit(received, decision) if kind == "EXIT" else self._design(received) if kind == "DESIGN" else self._admit(received, decision, decided, leave, expires, risk, before)), before
 
     def _design(self, received: int) -> str:
@@ -73,6 +76,7 @@ class Book:
         if before + risk > self.budget:
             return "OVER_BUDGET"
         self.open[decision] = (decided, leave, risk)
+        self.held += risk
         return "ADMITTED"
 
     def _exit(self, received: int, decision: str | None) -> str:
@@ -82,7 +86,7 @@ class Book:
             return "UNKNOWN"
         if not 0 <= received - self.open[decision][1] <= MOST_DELAY * 1_000_000:
             return "LATE"
-        del self.open[decision]
+        self.held -= self.open.pop(decision)[2]
         self.closed.add(decision)
         return "CLOSED_NOW"
 
@@ -95,12 +99,17 @@ def _micros(x) -> int | None:
     return None if _value(x) is None else pd.Timestamp(x).value // 1000
 
 
+def _times(column: pd.Series) -> list[int | None]:
+    at = pd.to_datetime(column)
+    return [None if missing else v for v, missing in zip(at.to_numpy("datetime64[us]").astype("int64").tolist(), at.isna().tolist(), strict=True)]
+
+
 def _whole(x) -> int | None:
     return None if _value(x) is None else int(x)
 
 
 def _judged(book: Book, rows: pd.DataFrame) -> list[tuple[str, int]]:
-    columns = [[_micros(v) for v in rows["received_at"]], rows["kind"], [_value(v) for v in rows["decision_id"]], *([_micros(v) for v in rows[c]] for c in ("decided_at", "exit_at", "expires_at")), [_whole(v) for v in rows["risk"]]]
+    columns = [_times(rows["received_at"]), rows["kind"], [_value(v) for v in rows["decision_id"]], *(_times(rows[c]) for c in ("decided_at", "exit_at", "expires_at")), [_whole(v) for v in rows["risk"]]]
     return [book.take(*row) for row in zip(*columns, strict=True)]
 
 
