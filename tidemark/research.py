@@ -287,7 +287,8 @@ def graph_event_features(spark, sf_dir):
 def share_fact_files(spark, sf_dir):
     """Customers' orders as nested facts files (64 of a customer at most), some with a list where an object belongs; facts by the name of their time, rejects by reason."""
     shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(shipped, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    # customers come last, so that their orders lie together for the files
+    o = table(spark, sf_dir, "orders").join(shipped, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     value = F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice")).otherwise(F.floor("o_totalprice")).cast("decimal(18,2)")
     fact = F.to_json(F.struct(day("o_orderdate").alias("end"), day("shipped").alias("filed"), value.alias("val"), F.col("o_orderkey").cast("string").alias("accn")))

@@ -49,13 +49,17 @@ def share_facts(files: DataFrame, symbols: DataFrame) -> DataFrame:
     for kind in levels[1:-1]:
         wrong = wrong | F.coalesce(kind != "OBJECT", F.lit(False))
     wrong = wrong | F.coalesce(levels[-1] != "ARRAY", F.lit(False))
-    held = files.select("path", v.alias("v")).select("path", "v", F.coalesce(wrong, F.lit(True)).alias("bad"))
+    # where the list can be read, all levels above it are objects; kinds are asked for only where it can't
+    listed = files.select("path", v.alias("v")).select("path", "v", F.try_variant_get("v", SHARES, "array<variant>").alias("rows"))
+    held = listed.select("path", "v", "rows", F.when(F.col("rows").isNotNull(), False).otherwise(F.coalesce(wrong, F.lit(True))).alias("bad"))
     digits = F.regexp_replace(F.coalesce(F.try_variant_get("v", "$.cik", "string"), F.lit("")), r"\D", "")
     cik = F.when(digits != "", F.lpad(digits, 10, "0"))
-    rows = F.when(F.col("bad"), F.array(F.lit(None).cast("variant"))).otherwise(F.try_variant_get("v", SHARES, "array<variant>"))
+    rows = F.when(F.col("bad"), F.array(F.lit(None).cast("variant"))).otherwise(F.col("rows"))
     one = held.select("path", "bad", cik.alias("cik"), F.explode(rows).alias("o"))
     get = lambda name: F.coalesce(F.try_variant_get("o", f"$.{name}", "string"), F.lit(""))
-    o = one.select("path", "bad", "cik", _kind(F.col("o")).alias("kind"), _kind(F.try_variant_get("o", "$.val", "variant")).alias("val_kind"), get("val").alias("val"), get("end").alias("end"), get("filed").alias("filed"), get("form").alias("form"), get("accn").alias("accession"))
+    valued = one.select("path", "bad", "cik", "o", F.try_variant_get("o", "$.val", "variant").alias("val_v"))
+    kind = F.when(F.col("val_v").isNotNull(), "OBJECT").otherwise(_kind(F.col("o")))
+    o = valued.select("path", "bad", "cik", kind.alias("kind"), _kind(F.col("val_v")).alias("val_kind"), get("val").alias("val"), get("end").alias("end"), get("filed").alias("filed"), get("form").alias("form"), get("accn").alias("accession"))
     number = F.col("val").try_cast("decimal(38,9)")
     day = lambda c: F.when(F.col(c).rlike(DAY), F.try_to_date(F.col(c), "yyyy-MM-dd"))
     fact, filed = day("end"), day("filed")
@@ -65,13 +69,14 @@ def share_facts(files: DataFrame, symbols: DataFrame) -> DataFrame:
     o = o.select("path", "cik", fact.alias("fact_date"), filed.alias("filed"), F.col("val").alias("shares_outstanding"), "form", "accession", reason.alias("reason")).withColumn("_n", F.monotonically_increasing_id())
     blank = lambda c, other: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(other)).try_cast("date")
     m = symbols.select(F.lpad(F.regexp_replace("cik", r"\D", ""), 10, "0").alias("_cik"), blank("effective_from", "0001-01-01").alias("_from"), blank("effective_to", "9999-12-31").alias("_to"), F.nullif(F.trim("historical_symbol"), F.lit("")).alias("_symbol")).filter("_symbol IS NOT NULL")
-    inside = F.expr("reason IS NULL AND cik = _cik AND fact_date BETWEEN _from AND _to")
-    named = o.join(m, inside, "left").groupBy("_n", "path", "cik", "fact_date", "filed", "shares_outstanding", "form", "accession", "reason").agg(F.max(F.struct("_from", "_symbol")).alias("_s"))
+    spans = m.groupBy("_cik").agg(F.collect_list(F.struct("_from", "_to", "_symbol")).alias("_spans"))  # one company's names
+    inside = F.filter("_spans", lambda s: F.col("reason").isNull() & F.col("fact_date").between(s["_from"], s["_to"]))
+    named = o.join(spans, F.col("cik") == F.col("_cik"), "left").withColumn("_s", F.array_max(F.transform(inside, lambda s: F.struct(s["_from"], s["_symbol"]))))
     available = F.to_utc_timestamp(F.concat_ws(" ", F.col("filed").cast("string"), F.lit("23:59:59")).try_cast("timestamp"), "America/New_York")
-    out = named.select("path", "cik", F.col("_s._symbol").alias("historical_symbol"), "fact_date", F.when(F.col("reason").isNull(), available).alias("available_at"), "shares_outstanding", "form", "accession", F.coalesce("reason", F.when(F.col("_s._symbol").isNull(), "no_symbol")).alias("reason"))
-    # exact repeats are one fact; amendments differ in their accession or in when they were filed
-    good = out.filter("reason IS NULL").dropDuplicates(["historical_symbol", "fact_date", "available_at", "shares_outstanding", "accession"])
-    return good.unionByName(out.filter("reason IS NOT NULL"))
+    out = named.select("path", "cik", F.col("_s._symbol").alias("historical_symbol"), "fact_date", F.when(F.col("reason").isNull(), available).alias("available_at"), "shares_outstanding", "form", "accession", F.coalesce("reason", F.when(F.col("_s._symbol").isNull(), "no_symbol")).alias("reason"), "_n")
+    # exact repeats are one fact; amendments differ in their accession or in when they were filed; rejects keep their number, so that each stays
+    numbered = out.withColumn("_n", F.when(F.col("reason").isNotNull(), F.col("_n")))
+    return numbered.dropDuplicates(["historical_symbol", "fact_date", "available_at", "shares_outstanding", "accession", "reason", "_n"]).drop("_n")
 
 
 def recent_filings(files: DataFrame) -> DataFrame:
