@@ -33,16 +33,19 @@ def ownership(targets: DataFrame, names: DataFrame, submissions: DataFrame, hold
     filed = submissions.select("accession", "manager", "report_period", "filing_date").withColumn("until", F.lead("filing_date").over(order))
     held = holdings.join(filed, "accession").select(F.col("cusip").alias("_cusip"), "report_period", "filing_date", "until", F.col("shares").alias("_shares"))
     met = named.join(held, F.expr("cusip = _cusip AND event_date > filing_date AND (until IS NULL OR event_date <= until)"))
-    sums = met.groupBy("symbol", "event_date", "cutoff", "report_period").agg(F.sum("_shares").alias("institutional_shares")).filter("institutional_shares > 0")
+    # grouped with the cusip, by which the join has dealt the rows, so that a target's periods aren't shuffled again
+    sums = met.groupBy("_cusip", "symbol", "event_date", "cutoff", "report_period").agg(F.sum("_shares").alias("institutional_shares")).filter("institutional_shares > 0")
     days = submissions.select(F.col("report_period").alias("_period"), F.col("filing_date").alias("_filed")).distinct()
-    spans = days.withColumn("_next", F.lead("_filed").over(Window.partitionBy("_period").orderBy("_filed")))
-    known = sums.join(spans, F.expr("report_period = _period AND event_date > _filed AND (_next IS NULL OR event_date <= _next)")).withColumn("available_at", end_of_day(F.col("_filed"))).filter("available_at <= cutoff")
-    best = known.groupBy("symbol", "event_date", "cutoff").agg(F.max(F.struct("report_period", "available_at", "institutional_shares")).alias("b"))
+    spans = days.withColumn("_next", F.lead("_filed").over(Window.partitionBy("_period").orderBy("_filed"))).withColumn("available_at", end_of_day(F.col("_filed")))
+    # a row per period and day of filing: bounded by the calendar
+    known = sums.join(F.broadcast(spans), F.expr("report_period = _period AND event_date > _filed AND (_next IS NULL OR event_date <= _next) AND available_at <= cutoff"))
+    latest_of = lambda c: F.max_by(c, "report_period").alias(c)
+    best = known.groupBy("_cusip", "symbol", "event_date", "cutoff").agg(latest_of("available_at"), latest_of("institutional_shares"), F.max("report_period").alias("report_period")).drop("_cusip")
     counts = shares.select("symbol", "event_date", F.col("available_at").cast("timestamp_ntz").alias("_at"), F.col("shares").alias("_n"))
     latest = t.join(counts, ["symbol", "event_date"]).filter("_at <= cutoff").groupBy("symbol", "event_date", "cutoff").agg(F.max(F.struct("_at", "_n")).alias("s"))
     key = ["symbol", "event_date", "cutoff"]
     out = named.join(best, key, "left").join(latest, key, "left")
-    ratio = F.col("b.institutional_shares") / F.nullif(F.col("s._n"), F.lit(0))
-    reason = F.when(F.col("cusip").isNull(), "no_name").when(F.col("b").isNull(), "no_holdings").when(ratio.isNull(), "no_shares").when(ratio > MOST_RATIO, "implausible")
+    ratio = F.col("institutional_shares") / F.nullif(F.col("s._n"), F.lit(0))
+    reason = F.when(F.col("cusip").isNull(), "no_name").when(F.col("report_period").isNull(), "no_holdings").when(ratio.isNull(), "no_shares").when(ratio > MOST_RATIO, "implausible")
     good = lambda c: F.when(reason.isNull(), c)
-    return out.select("symbol", "event_date", "cusip", F.col("b.report_period").alias("report_period"), F.col("b.available_at").alias("available_at"), F.col("b.institutional_shares").alias("institutional_shares"), F.col("s._n").alias("shares_outstanding"), good(ratio).alias("ratio"), reason.alias("reason"))
+    return out.select("symbol", "event_date", "cusip", "report_period", "available_at", "institutional_shares", F.col("s._n").alias("shares_outstanding"), good(ratio).alias("ratio"), reason.alias("reason"))

@@ -388,8 +388,8 @@ def institutional_ownership(spark, sf_dir):
     targets = targets.withColumn("cutoff", F.to_utc_timestamp(F.col("event_date").cast("timestamp") + F.expr("INTERVAL 16 HOURS"), "America/New_York"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("symbol"), "p_size")
     names = parts.filter("p_size <= 40").select("symbol", F.concat(F.lit("C"), "symbol").alias("cusip"), F.lit(date(1995, 6, 1)).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
-    steps = F.array(*(F.struct(F.lit(d).alias("day"), F.lit(k).alias("k")) for d, k in ((date(1996, 1, 1), 20), (date(1998, 6, 1), 40))))
-    counts = targets.join(parts, "symbol").select("symbol", "event_date", "p_size", F.explode(steps).alias("s")).select("symbol", "event_date", ownership.end_of_day(F.col("s.day")).alias("available_at"), (F.col("p_size") * F.col("s.k")).cast("long").alias("shares"))
+    steps = F.array(*(F.struct(ownership.end_of_day(F.lit(d)).alias("at"), F.lit(k).alias("k")) for d, k in ((date(1996, 1, 1), 20), (date(1998, 6, 1), 40))))
+    counts = targets.join(parts, "symbol").select("symbol", "event_date", "p_size", F.explode(steps).alias("s")).select("symbol", "event_date", F.col("s.at").alias("available_at"), (F.col("p_size") * F.col("s.k")).cast("long").alias("shares"))
     out = ownership.ownership(targets, names, submissions, holdings, counts)
     filed = F.to_date(F.from_utc_timestamp(F.col("available_at").cast("timestamp"), "America/New_York"))
     return out.select(F.col("symbol").cast("long").alias("part"), "event_date", "cusip", "report_period", filed.alias("filed"), "institutional_shares", "reason", F.round("ratio", 9).alias("ratio"))
