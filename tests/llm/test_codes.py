@@ -41,6 +41,17 @@ def test_long_units_go_through_the_heap():
     assert own_ids([text]) == [codec().library.encode(text)]
 
 
+def test_the_library_reads_rows_with_new_units_only():
+    from tidemark.llm import pieces
+
+    c = pieces.PieceCodec(pieces.vocabulary_path(pieces.MODEL))
+    texts = ["one two three", "", "three two one one", "one " * 50 + "quattuor", "two " + "x" * 200, "two " + "x" * 200]
+    assert c.encode_new(texts[:2])[1] == [0]
+    coded, new = c.encode_new(texts)
+    assert new == [3, 4, 5] and [np.frombuffer(x, "<i4").tolist() for x in coded] == c.library.encode(texts)
+    assert c.encode_new(texts)[1] == [4, 5]  # long units aren't remembered
+
+
 def test_decoding_equals_the_library_on_any_ids():
     r, c = random.Random(5), codec()
     for _ in range(2000):
