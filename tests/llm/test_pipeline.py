@@ -84,3 +84,17 @@ def test_repeated_words_against_brute_force(spark):
         gone[(d, t)] = [x for x, m in zip(w, marks) if not m]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, lang string")
     assert {(r.doc_id, tuple(r.kept.split())) for r in suffix_dedup(docs, words=51).collect()} == {(d, tuple(x for x in w if x)) for (d, _), w in gone.items()}
+
+
+def test_no_task_of_the_passages_holds_two_python_workers(spark, sf_dir, monkeypatch):
+    """A worker that codes words beside one that marks them is what took the executor's memory."""
+    plans, keep = {}, Scratch.keep
+
+    def seen(self, df, table, partitions=None):
+        plans[table] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, table, partitions)
+
+    monkeypatch.setattr(Scratch, "keep", seen)
+    docs = spark.createDataFrame(awkward(), "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, _text string")
+    corpus_pipeline.repeated_passages(spark, docs, sf_dir)
+    assert {"runs", "contexts"} <= set(plans) and all(len(re.findall("MapInArrow|InPandas", p)) <= 1 for p in plans.values())
