@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,44 @@ def test_the_library_reads_rows_with_new_units_only():
     assert c.encode_new(texts)[1] == [4, 5]  # long units aren't remembered
 
 
+def test_units_set_apart_equal_the_library_and_differences_raise(spark, monkeypatch):
+    """After a task's first slice the library reads the new units alone; a wrong one raises in either slice."""
+    r, c = random.Random(11), codec()
+    read = []
+
+    class Reader:
+        def encode(self, texts, **more):
+            read.append(sum(map(len, texts)))
+            return held.encode(texts, **more)
+
+        def decode(self, *a, **more):
+            return held.decode(*a, **more)
+
+    held = c.library
+    monkeypatch.setattr(c, "library", Reader())
+    monkeypatch.setattr(c, "known", {})
+    df = spark.createDataFrame([], "doc_id bigint, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: f)
+    run = encode_pieces(df)
+    common = ["".join(r.choice("etaoin") for _ in range(5)) for _ in range(300)]
+    word = lambda: r.choice(common) if r.random() < 0.9 else "".join(r.choice("abcé▁語\n\x00 🙂") for _ in range(r.randint(1, 9)))
+    slices = [[" ".join(word() for _ in range(400)) for _ in range(60)] for _ in range(3)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(x, pa.string())], names=["doc_id", "_text"]) for x in slices]
+    got = [b.column(1).to_pylist() for b in run(iter(batches))]
+    assert got == [held.encode(x, add_eos=True, num_threads=1) for x in slices]
+    assert read[0] > 0.9 * sum(map(len, slices[0])) and all(0 < n < 0.5 * sum(map(len, x)) for n, x in zip(read[1:], slices[1:]))
+    merge = c.merge
+    monkeypatch.setattr(c, "merge", lambda units: [ids + ids if len(u) > 1 else ids for u, ids in zip(units, merge(units))])
+    for at in (0, 1):
+        monkeypatch.setattr(c, "known", {})
+        first = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["a"] if at else ["new words"], pa.string())], names=["doc_id", "_text"])
+        with monkeypatch.context() as m:
+            if at:  # the first slice is right
+                m.setattr(c, "known", dict(zip(units := c.unit.findall("▁a"), merge(units))))
+            with pytest.raises(ValueError, match="differ on ids"):
+                list(run(iter([first, batches[0]])))
+
+
 def test_decoding_equals_the_library_on_any_ids():
     r, c = random.Random(5), codec()
     for _ in range(2000):

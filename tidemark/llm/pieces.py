@@ -6,11 +6,12 @@ Characters that are no piece become bytes. Two neighbours that stand side by sid
 merged, nor is anything across them, so a text falls into units there and each distinct unit is merged
 once per worker: short units all in step (a merge of each per round), long ones with a heap.
 
-Each unit's ids and surface are compared with the published library's where a worker first meets the unit: the
-whole row that holds it is encoded and decoded by the library too, inside the same Arrow batch, and a difference
-raises. A row made only of units that were compared before, and not forgotten since, isn't compared again. What
-the agenda doesn't know raises as well: a vocabulary without byte pieces, one
-with unused pieces, or one whose normal form changes texts.
+Each unit's ids and surface are compared with the published library's where a worker first meets the unit, inside
+the same Arrow batch, and a difference raises. In a task's first slice the whole row that holds the unit is encoded
+and decoded by the library too; later the new units of a slice are, set apart by a character that no longer piece
+holds, and not the known ones around them. Without such a character all rows with a new unit are read whole. A unit
+that was compared before, and not forgotten since, isn't compared again. What the agenda doesn't know raises as
+well: a vocabulary without byte pieces, one with unused pieces, or one whose normal form changes texts.
 
 Defined cases: null and empty texts are the end id alone; rows that repeat are encoded each on its own;
 columns carried along keep their names unless an output has the name; an empty table gives no rows. A
@@ -36,6 +37,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Units that a worker remembers, the longest one of them in characters, and the longest that is merged in step.
 MOST_UNITS, LONGEST_UNIT, LONG = 300_000, 64, 48
+#: New units in one text that the library reads.
+TOGETHER = 512
 _NONE = np.iinfo(np.int64).max
 
 codecs.register_error("byte by byte", lambda e: ("�", e.start + 1))
@@ -59,6 +62,8 @@ class PieceCodec:
         self._surfaces(known, raw)
         single = [c for c in map(chr, range(128)) if c != SPACE and not any(c in p for p in known if len(p) > 1)]
         alone = "".join(map(re.escape, single))
+        #: A character that is a unit wherever it stands; None if the vocabulary has none.
+        self.apart = next(iter(single), None)
         self.unit = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.known: dict[str, bytes] = {}
 
@@ -206,17 +211,29 @@ class PieceCodec:
 
     def encode_new(self, texts: list[str]) -> tuple[list[bytes], list[int]]:
         """The same, and which texts hold a unit that wasn't known before."""
+        return self.encode_units(texts)[:2]
+
+    def encode_units(self, texts: list[str]) -> tuple[list[bytes], list[int], dict[str, bytes]]:
+        """The same, and these units with their ids."""
         split = [self.unit.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > MOST_UNITS:
             self.known = {}
-        found = [list(map(self.known.get, units)) for units in split]
-        gaps = [(n, k, split[n][k]) for n, ids in enumerate(found) if None in ids for k, x in enumerate(ids) if x is None]
-        fresh = list({unit for _, _, unit in gaps})
-        own = dict(zip(fresh, self.merge(fresh), strict=True)) if fresh else {}
-        for n, k, unit in gaps:
-            found[n][k] = own[unit]
-        self.known.update((u, ids) for u, ids in own.items() if len(u) <= LONGEST_UNIT)
-        return [b"".join(ids) for ids in found], sorted({n for n, _, _ in gaps})
+        fresh = set().union(*split).difference(self.known)
+        own = dict(zip(fresh, self.merge(list(fresh)), strict=True)) if fresh else {}
+        self.known.update(own)
+        coded = [b"".join(map(self.known.__getitem__, units)) for units in split]
+        for u in own:
+            if len(u) > LONGEST_UNIT:
+                del self.known[u]
+        return coded, [n for n, units in enumerate(split) if not fresh.isdisjoint(units)], own
+
+    def set_apart(self, own: dict[str, bytes]) -> Iterator[tuple[str, bytes]]:
+        """Texts made of units only, a character between them that joins neither, and the ids that they must have."""
+        mark, before = self.merge([self.apart])[0], self.merge([SPACE])[0]
+        units = list(own)
+        for k in range(0, len(units), TOGETHER):
+            some = units[k : k + TOGETHER]
+            yield self.apart + self.apart.join(some), before + mark + mark.join([own[u] for u in some])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: a space before the first piece goes, each byte that is no UTF-8 becomes U+FFFD."""
@@ -261,18 +278,22 @@ def encode_pieces(df: DataFrame, *, carry: tuple[str, ...] = ("doc_id",), text_c
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for b in slices(batches, "_text"):
+        for place, b in enumerate(slices(batches, "_text")):
             texts = _texts(b.column(len(carry)))
             tail = int(own.end).to_bytes(4, "little") if end_id else b""
-            coded, new = own.encode_new(texts)
+            coded, new, units = own.encode_units(texts)
             data = [ids + tail for ids in coded]
             values = np.frombuffer(b"".join(data), "<i4")
             decoded = [own.decode(np.frombuffer(ids, "<i4").tolist()) for ids in data]
-            library = own.library.encode([texts[n] for n in new], add_eos=end_id, num_threads=1)
+            if place and own.apart:
+                read = [(t, ids + tail, own.decode(np.frombuffer(ids, "<i4").tolist())) for t, ids in own.set_apart(units)]
+            else:
+                read = [(texts[n], data[n], decoded[n]) for n in new]
+            library = own.library.encode([t for t, _, _ in read], add_eos=end_id, num_threads=1)
             try:
-                for n, ids in zip(new, library, strict=True):
-                    _checked("ids", data[n], np.array(ids, "<i4").tobytes())
-                _checked("decoded texts", [decoded[n] for n in new], own.library.decode(library, num_threads=1) if new else [])
+                for (_, wanted, _), ids in zip(read, library, strict=True):
+                    _checked("ids", wanted, np.array(ids, "<i4").tobytes())
+                _checked("decoded texts", [t for _, _, t in read], own.library.decode(library, num_threads=1) if read else [])
             except ValueError:
                 own.known = {}  # not taken as compared if this worker goes on
                 raise
