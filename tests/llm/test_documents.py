@@ -134,6 +134,25 @@ def test_jaccard_components(spark, table, chunk, block):
     assert Counter(map(tuple, ngram_jaccard(docs, chunk=chunk, block=block).collect())) == want
 
 
+def test_jaccard_writes_only_the_sets_it_compares(spark, monkeypatch):
+    """Sets take more room than texts: of those without a likely partner none is written."""
+    r = random.Random(21)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([text() for _ in range(60)] * 2 + ["a " * 9] * 3)] + [(900, x := text()), (901, x + " more")], "doc_id bigint, text string")
+    written, keep = {}, Scratch.keep
+
+    def counted(self, df, table, partitions=None):
+        kept = keep(self, df, table, partitions)
+        if "members" in kept.columns:
+            written[table] = kept.count()
+        return kept
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    got = {x.doc_id: x.component_id for x in ngram_jaccard(docs).collect()}
+    assert got == {i: i % 60 for i in range(120)} | {120: 120, 121: 120, 122: 120, 900: 900, 901: 900}
+    assert written and max(written.values()) <= 2, written
+
+
 def crowded():
     """Short lines and passages that many documents share, at all places."""
     r = random.Random(12)

@@ -98,3 +98,16 @@ def test_no_task_of_the_passages_holds_two_python_workers(spark, sf_dir, monkeyp
     docs = spark.createDataFrame(awkward(), "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, _text string")
     corpus_pipeline.repeated_passages(spark, docs, sf_dir)
     assert {"runs", "contexts"} <= set(plans) and all(len(re.findall("MapInArrow|InPandas", p)) <= 1 for p in plans.values())
+
+
+def test_copies_go_without_a_shuffle_of_texts(spark, docs, sf_dir):
+    """The ids that go are counted and broadcast, whatever Spark's own limit for that is."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        left = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+        plan = left._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set(limit, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
