@@ -8,7 +8,9 @@ into parts by hash, and so are the queries that ask one, so that no task holds m
 candidates and ``ASK_ROWS`` queries; it solves its part with matrix products and returns at most k candidates per query.
 
 Pivots come from a bounded sample, as many as the root of the rows between ``PIVOTS`` and ``MOST_PIVOTS``; they decide
-how much is replicated, never what is found. Vectors are compared as whole numbers, ``floor(scale * x)``.
+how much is replicated, never what is found. Vectors are compared as whole numbers, ``floor(scale * x)``, and travel
+packed at the least width that holds them all. Where bounds are weak a query asks every cell, so tasks hold bounds of
+a few queries at a time and send their rows in pieces.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; ties go to the smaller
 id; fewer candidates than k give all; an empty table gives no rows. Rows that share an id are rows of their own:
@@ -30,11 +32,27 @@ from .scratch import Scratch
 
 PIVOTS, MOST_PIVOTS = 64, 4096
 PART_ROWS, ASK_ROWS, QUERY_ROWS = 2048, 4096, 512
+#: Numbers of a table of vectors by pivots that a task holds, and rows that it sends at once.
+TABLE, SENT_ROWS = 1 << 20, 1 << 14
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
-def _matrix(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
-    return np.array(column.to_pylist() if isinstance(column, pa.Array) else column.tolist(), np.float64).reshape(-1, dim)
+def _packed(x: np.ndarray, kind: str) -> pa.Array:
+    """A binary value for each row, of whole numbers of ``kind``."""
+    raw, width = x.astype(kind).tobytes(), x.shape[1] * np.dtype(kind).itemsize
+    return pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())
+
+
+def _matrix(column: pa.Array | pd.Series, dim: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist() if isinstance(column, pa.Array) else column.tolist()), kind).reshape(-1, dim).astype(np.float64)
+
+
+def _some(batches: Iterator[pa.RecordBatch], pivots: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a number for each row and pivot stays within ``TABLE``."""
+    step = max(1, TABLE // max(1, pivots))
+    for b in batches:
+        for s in range(0, b.num_rows, step):
+            yield b.slice(s, step)
 
 
 def _best(scores: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -54,9 +72,9 @@ def _best(scores: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np.ndarray
 
 def voronoi_topk(table: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64, pivots: int | None = None, part_rows: int = PART_ROWS, ask_rows: int = ASK_ROWS) -> DataFrame:
     """query_id, rank, ``id_col``, score: every query's k best other rows."""
-    kind = table.schema[id_col].dataType.simpleString()
-    if kind not in _WHOLE:
-        raise TypeError(f"{id_col} must be a whole number, not {kind}")
+    of = table.schema[id_col].dataType.simpleString()
+    if of not in _WHOLE:
+        raise TypeError(f"{id_col} must be a whole number, not {of}")
     spark = table.sparkSession
     scratch = Scratch(spark, "topk")
     v = F.col(vector_col).cast("array<double>")
@@ -64,27 +82,27 @@ def voronoi_topk(table: DataFrame, is_query: Column, *, id_col: str = "vec_id",
     whole = table.filter(good).select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), F.transform(v, lambda x: F.floor(x * scale)).alias("v"), F.monotonically_increasing_id().alias("row"))
     whole = scratch.keep(whole, "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    seen = whole.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most"), F.max(square).alias("square")).first()
+    seen = whole.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most"), F.max(square).alias("square"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("top")).first()
     if not seen.n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint").withColumnRenamed("vec_id", id_col)
     if seen.least != seen.most:
         raise ValueError(f"vectors have {seen.least} to {seen.most} dimensions")
     if seen.square >= 2.0**53:  # no product of two of them is larger
         raise ValueError("scores don't fit whole numbers of 53 bits; use a smaller scale")
-    dim = seen.most
+    dim, kind = seen.most, next(k for k in ("<i1", "<i2", "<i4", "<i8") if seen.top <= np.iinfo(k).max)
     count = pivots or int(min(MOST_PIVOTS, max(PIVOTS, seen.n**0.5)))
     sample = whole.select("v").orderBy(F.xxhash64("v"), "id").limit(count).collect()
     points = spark.sparkContext.broadcast(np.unique(np.array([r.v for r in sample], np.float64), axis=0))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = points.value
-        for b in batches:
-            x = _matrix(b.column(2), dim)
+        for b in _some(batches, len(p)):
+            x = b.column(2).flatten().to_numpy().reshape(-1, dim).astype(np.float64)
             gaps = np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * x @ p.T, 0)
             cell = gaps.argmin(1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(np.sqrt(gaps[np.arange(len(x)), cell]))], names=["id", "q", "v", "row", "cell", "gap"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], _packed(x, kind), b.column(3), pa.array(cell.astype(np.int32)), pa.array(np.sqrt(gaps[np.arange(len(x)), cell]))], names=["id", "q", "v", "row", "cell", "gap"])
 
-    celled = scratch.keep(whole.mapInArrow(assign, "id bigint, q boolean, v array<bigint>, row bigint, cell int, gap double"), "cells")
+    celled = scratch.keep(whole.mapInArrow(assign, "id bigint, q boolean, v binary, row bigint, cell int, gap double"), "cells")
     summary = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()  # one row per pivot
     cells = {r.cell: (r.n, r.radius) for r in summary}
     parts = {c: max(1, -(-n // part_rows)) for c, (n, _) in cells.items()}
@@ -98,8 +116,8 @@ def voronoi_topk(table: DataFrame, is_query: Column, *, id_col: str = "vec_id",
             known = np.array(sorted(cells))
             n, radius = (np.array([cells[c][i] for c in known], float) for i in (0, 1))
             each = np.array([parts[c] for c in known])
-            for b in batches:
-                x = _matrix(b.column(1), dim)
+            for b in _some(batches, len(known)):
+                x = _matrix(b.column(1), dim, kind)
                 bound = x @ p[known].T + np.sqrt((x * x).sum(1))[:, None] * radius[None, :] * (1 + 1e-9) + 1e-6
                 order = np.argsort(-bound, axis=1, kind="stable")
                 before = np.cumsum(n[order], axis=1) - n[order]
@@ -114,7 +132,9 @@ def voronoi_topk(table: DataFrame, is_query: Column, *, id_col: str = "vec_id",
                 many = each[at]
                 row, at = np.repeat(row, many), np.repeat(at, many)
                 part = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(many)))[:-1], many)
-                yield pa.RecordBatch.from_arrays([pa.array(known[at].astype(np.int32)), pa.array(part.astype(np.int32)), *(b.column(i).take(pa.array(row)) for i in range(3)), pa.array(floor[row])], names=["cell", "part", "id", "v", "row", "floor"])
+                for s in range(0, len(row), SENT_ROWS):  # a query may ask every cell
+                    to, at_, part_ = (c[s : s + SENT_ROWS] for c in (row, at, part))
+                    yield pa.RecordBatch.from_arrays([pa.array(known[at_].astype(np.int32)), pa.array(part_.astype(np.int32)), *(b.column(i).take(pa.array(to)) for i in range(3)), pa.array(floor[to])], names=["cell", "part", "id", "v", "row", "floor"])
 
         return run
 
@@ -122,16 +142,16 @@ def voronoi_topk(table: DataFrame, is_query: Column, *, id_col: str = "vec_id",
         ask, held = pdf[pdf["ask"]], pdf[~pdf["ask"]]
         out = []
         if len(ask) and len(held):
-            y, ids, rows = _matrix(held["v"], dim), held["id"].to_numpy(), held["row"].to_numpy()
+            y, ids, rows = _matrix(held["v"], dim, kind), held["id"].to_numpy(), held["row"].to_numpy()
             for s in range(0, len(ask), QUERY_ROWS):
                 some = ask.iloc[s : s + QUERY_ROWS]
-                for q, own, floor, (at, score) in zip(some["id"].to_numpy(), some["row"].to_numpy(), some["floor"].to_numpy(), _best(_matrix(some["v"], dim) @ y.T, rows, ids, some["row"].to_numpy(), k)):
+                for q, own, floor, (at, score) in zip(some["id"].to_numpy(), some["row"].to_numpy(), some["floor"].to_numpy(), _best(_matrix(some["v"], dim, kind) @ y.T, rows, ids, some["row"].to_numpy(), k)):
                     ok = score >= floor if floor == floor else np.ones(len(score), bool)
                     n = int(ok.sum())
                     out.append((np.full(n, q), np.full(n, own), ids[at[ok]], rows[at[ok]], score[ok]))
         return pd.DataFrame(dict(zip(("query_id", "query_row", "id", "row", "score"), ((np.concatenate(x) if out else np.zeros(0)).astype(np.int64) for x in (zip(*out) if out else [()] * 5)), strict=True)))
 
-    shape = "cell int, part int, id bigint, v array<bigint>, row bigint, floor double"
+    shape = "cell int, part int, id bigint, v binary, row bigint, floor double"
     best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "id", "row")
 
     def answers(asked: DataFrame, name: str) -> DataFrame:
